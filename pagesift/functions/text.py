@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 _RUN = f"[{SPACE_CLASS}]+"
-_EDGES = f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$(?![\\n\\r\\x85\\x{{2028}}\\x{{2029}}])"
+_EDGES = rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
 
 
 def strip(col: Column) -> Column:

@@ -34,8 +34,6 @@ IMAGE_ATTRS = ("src", "alt", "title", "width", "height")
 LINK_ATTRS = ("href", "title", "rel")
 DIGEST_BUDGET = 2000
 
-_NODES, _BASE = F.col("nodes"), F.col("base")
-
 
 def _nodes(pages: DataFrame, tags: tuple[str, ...], attrs: tuple[str, ...] = (), **options) -> DataFrame:
     """Node arrays limited to what a mode reads, with the page URL taken apart once."""
@@ -192,25 +190,25 @@ def distinct_ordered(arr: Column) -> Column:
 def links(pages: DataFrame, clean: bool = True) -> DataFrame:
     """One row per link: page_id, url, pos, text, href, title, rel."""
     parsed = _nodes(pages, ("a",), LINK_ATTRS)
-    return explode_items(parsed.withColumn("items", links_of(_NODES, _BASE, clean)))
+    return explode_items(parsed.withColumn("items", links_of(F.col("nodes"), F.col("base"), clean)))
 
 
 def text_blocks(pages: DataFrame, clean: bool = True) -> DataFrame:
     """One row per text block: page_id, url, pos, tag, content."""
     parsed = page_nodes(pages, tags=TEXT_TAGS, attrs=())
-    return explode_items(parsed.withColumn("items", text_blocks_of(_NODES, clean)))
+    return explode_items(parsed.withColumn("items", text_blocks_of(F.col("nodes"), clean)))
 
 
 def images(pages: DataFrame) -> DataFrame:
     """One row per image: page_id, url, pos, src, alt, title, width, height."""
     parsed = _nodes(pages, ("img",), IMAGE_ATTRS)
-    return explode_items(parsed.withColumn("items", images_of(_NODES, _BASE)))
+    return explode_items(parsed.withColumn("items", images_of(F.col("nodes"), F.col("base"))))
 
 
 def html_tables(pages: DataFrame, clean: bool = True) -> DataFrame:
     """One row per table: page_id, url, table_index, caption, has_header, rows."""
     parsed = page_nodes(pages, tags=TABLE_TAGS, attrs=())
-    return explode_items(parsed.withColumn("items", tables_of(_NODES, clean))).drop("pos")
+    return explode_items(parsed.withColumn("items", tables_of(F.col("nodes"), clean))).drop("pos")
 
 
 def html_table_cells(pages: DataFrame, clean: bool = True) -> DataFrame:
@@ -226,52 +224,52 @@ def html_table_cells(pages: DataFrame, clean: bool = True) -> DataFrame:
 def meta_tags(pages: DataFrame) -> DataFrame:
     """One row per meta tag: page_id, url, pos, name, property, content, http_equiv, charset."""
     parsed = page_nodes(pages, tags=("meta",), attrs=META_ATTRS)
-    return explode_items(parsed.withColumn("items", meta_of(_NODES)))
+    return explode_items(parsed.withColumn("items", meta_of(F.col("nodes"))))
 
 
 def select(pages: DataFrame, css: str, clean: bool = True) -> DataFrame:
     """One row per element a CSS selector hits: page_id, url, index, tag, content, html."""
     parsed = page_nodes(pages)
-    return explode_items(parsed.withColumn("items", hits_of(_NODES, css, clean))).drop("pos")
+    return explode_items(parsed.withColumn("items", hits_of(F.col("nodes"), css, clean))).drop("pos")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
     """page_id, url, title."""
     parsed = page_nodes(pages, tags=("title",), attrs=())
-    return parsed.select("page_id", "url", title_of(_NODES).alias("title"))
+    return parsed.select("page_id", "url", title_of(F.col("nodes")).alias("title"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """One row per h1-h3: page_id, url, pos, content."""
     parsed = page_nodes(pages, tags=HEADING_TAGS, attrs=())
-    return _explode_texts(parsed, texts_of(_NODES, *HEADING_TAGS))
+    return _explode_texts(parsed, texts_of(F.col("nodes"), *HEADING_TAGS))
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """One row per paragraph: page_id, url, pos, content."""
-    return _explode_texts(page_nodes(pages, tags=("p",), attrs=()), texts_of(_NODES, "p"))
+    return _explode_texts(page_nodes(pages, tags=("p",), attrs=()), texts_of(F.col("nodes"), "p"))
 
 
 def budgeted_text(pages: DataFrame, budget: int = DIGEST_BUDGET) -> DataFrame:
     """The text chunks of a page that fit its digest: page_id, url, pos, content."""
     parsed = page_nodes(pages, tags=DIGEST_TAGS, attrs=(), keep_noise=True)
-    return _explode_texts(parsed, budgeted_of(digest_chunks_of(_NODES), budget))
+    return _explode_texts(parsed, budgeted_of(digest_chunks_of(F.col("nodes")), budget))
 
 
 def page_record(pages: DataFrame, clean: bool = True, include_meta: bool = False) -> DataFrame:
     """One row per page with every section; ``meta`` is NULL unless asked for."""
     tags = ("title", *HEADING_TAGS, "p", "a", "img", *TABLE_TAGS) + (("meta",) if include_meta else ())
     attrs = (*LINK_ATTRS, *IMAGE_ATTRS) + (META_ATTRS if include_meta else ())
-    meta = meta_of(_NODES)
+    meta = meta_of(F.col("nodes"))
     return _nodes(pages, tags, attrs).select(
         "page_id",
         "url",
-        title_of(_NODES).alias("title"),
-        texts_of(_NODES, *HEADING_TAGS).alias("headings"),
-        texts_of(_NODES, "p").alias("paragraphs"),
-        links_of(_NODES, _BASE, clean).alias("links"),
-        images_of(_NODES, _BASE).alias("images"),
-        tables_of(_NODES, clean).alias("tables"),
+        title_of(F.col("nodes")).alias("title"),
+        texts_of(F.col("nodes"), *HEADING_TAGS).alias("headings"),
+        texts_of(F.col("nodes"), "p").alias("paragraphs"),
+        links_of(F.col("nodes"), F.col("base"), clean).alias("links"),
+        images_of(F.col("nodes"), F.col("base")).alias("images"),
+        tables_of(F.col("nodes"), clean).alias("tables"),
         (meta if include_meta else F.when(F.lit(False), meta)).alias("meta"),
     )
 
@@ -279,7 +277,7 @@ def page_record(pages: DataFrame, clean: bool = True, include_meta: bool = False
 def page_digest(pages: DataFrame, clean: bool = True) -> DataFrame:
     """One row per page: page_id, url, title, description, main_text, pdf_links."""
     return _digest_nodes(pages).select(
-        "page_id", F.inline(F.array(digest_of(_NODES, _BASE, F.col("url"), clean)))
+        "page_id", F.inline(F.array(digest_of(F.col("nodes"), F.col("base"), F.col("url"), clean)))
     )
 
 
@@ -288,8 +286,8 @@ def essential(pages: DataFrame, clean: bool = True) -> DataFrame:
     with_blob = pages.withColumn("blob", blob_of(F.col("html"), F.col("url")))
     parsed = _digest_nodes(with_blob, keep=("page_id", "url", "blob"))
     parsed = parsed.withColumn("data", F.try_parse_json("blob"))
-    digest = digest_of(_NODES, _BASE, F.col("url"), clean)
-    video = video_of(F.col("data"), _NODES, F.col("url"))
+    digest = digest_of(F.col("nodes"), F.col("base"), F.col("url"), clean)
+    video = video_of(F.col("data"), F.col("nodes"), F.col("url"))
     found = is_record(F.col("data"))
     return parsed.select(
         "page_id", "url", F.when(~found, digest).alias("digest"), F.when(found, video).alias("video")
@@ -318,12 +316,12 @@ def extract(
     if mode == "essential":
         return essential(pages, clean)
     parsed, items = {
-        "links": lambda: (_nodes(pages, ("a",), LINK_ATTRS), links_of(_NODES, _BASE, clean)),
-        "text": lambda: (page_nodes(pages, TEXT_TAGS, ()), text_blocks_of(_NODES, clean)),
-        "images": lambda: (_nodes(pages, ("img",), IMAGE_ATTRS), images_of(_NODES, _BASE)),
-        "tables": lambda: (page_nodes(pages, TABLE_TAGS, ()), tables_of(_NODES, clean)),
-        "meta": lambda: (page_nodes(pages, ("meta",), META_ATTRS), meta_of(_NODES)),
-        "custom": lambda: (page_nodes(pages), hits_of(_NODES, selector, clean)),
+        "links": lambda: (_nodes(pages, ("a",), LINK_ATTRS), links_of(F.col("nodes"), F.col("base"), clean)),
+        "text": lambda: (page_nodes(pages, TEXT_TAGS, ()), text_blocks_of(F.col("nodes"), clean)),
+        "images": lambda: (_nodes(pages, ("img",), IMAGE_ATTRS), images_of(F.col("nodes"), F.col("base"))),
+        "tables": lambda: (page_nodes(pages, TABLE_TAGS, ()), tables_of(F.col("nodes"), clean)),
+        "meta": lambda: (page_nodes(pages, ("meta",), META_ATTRS), meta_of(F.col("nodes"))),
+        "custom": lambda: (page_nodes(pages), hits_of(F.col("nodes"), selector, clean)),
     }[mode]()
     return parsed.select("page_id", "url", items.alias("items"))
 

@@ -71,6 +71,8 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTES = re.compile(rf"({_NAME})(?:{_EQUALS}({_VALUE}))?+")
+# A tag that the input ends in is dropped; any other "<" without markup is text.
+_CUT_TAG = re.compile(r"</?[a-zA-Z]")
 _REFERENCE = re.compile(r"&#?\w+;")
 
 
@@ -253,7 +255,11 @@ def _add_page(
             break
         markup = _MARKUP.match(html, tag_at)
         if markup is None:
-            pending.append(html[at : tag_at + 1])
+            pending.append(html[at:tag_at])
+            if _CUT_TAG.match(html, tag_at):
+                at = len(html)
+                break
+            pending.append("<")
             at = tag_at + 1
             continue
         if tag_at > at:

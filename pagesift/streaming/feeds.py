@@ -22,7 +22,7 @@ EVERYTHING = {"availableNow": True}
 
 
 def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files as they arrive under ``path``."""
+    """Parquet files as they arrive in a folder, or as they match a glob."""
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
@@ -34,7 +34,7 @@ def stream_extract(
     """Pages arriving: extraction results appended. List modes give one row per item."""
     extracted = extract(pages, mode, **options)
     rows = extracted if mode in ("all", "essential") else explode_items(extracted)
-    return _append(rows, out, checkpoint, trigger)
+    return append(rows, out, checkpoint, trigger)
 
 
 def stream_docs(
@@ -42,7 +42,7 @@ def stream_docs(
 ) -> StreamingQuery:
     """Landed documents arriving: processed rows appended. A document is one row, so the
     ordered text needs no state."""
-    return _append(process_docs(docs, op, **options), out, checkpoint, trigger)
+    return append(process_docs(docs, op, **options), out, checkpoint, trigger)
 
 
 def stream_runs(
@@ -86,7 +86,8 @@ def stream_job_dedupe(changes: DataFrame, delay: str, ts: str = "ts", key: str =
     return once.drop("event_time")
 
 
-def _append(rows: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+def append(rows: DataFrame, out: str, checkpoint: str, trigger: dict = EVERYTHING) -> StreamingQuery:
+    """Rows to parquet as they come."""
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
