@@ -102,7 +102,7 @@ def base_parts(url: Column) -> Column:
         url_part(tidy, "scheme").alias("scheme"),
         url_part(tidy, "host").alias("host"),
         path.alias("path"),
-        F.regexp_replace(path, "[^/]*$", "").alias("folder"),
+        F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")).alias("folder"),
         url_part(tidy, "query").alias("query"),
     )
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import partial
 from html import unescape
 
@@ -215,20 +215,21 @@ def _add_page(
             if gone.row >= 0:
                 out.last[gone.row] = end
 
-    def close_nearest(names: frozenset, walls: frozenset) -> None:
+    def find_open(names: Container[str], walls: Container[str]) -> int:
+        """Depth of the nearest open element with one of the names, 0 if none is in reach."""
         for depth in range(len(stack) - 1, 0, -1):
             name = stack[depth].name
             if name in names:
-                close_to(depth)
-                return
+                return depth
             if name in walls:
-                return
+                return 0
+        return 0
 
     def open_element(name: str, source: str) -> None:
-        if name in _ENDS_PARAGRAPH:
-            close_nearest(_PARAGRAPH, _CELL_WALL)
-        if name in _ENDS_OWN_KIND:
-            close_nearest(*_ENDS_OWN_KIND[name])
+        if name in _ENDS_PARAGRAPH and (depth := find_open(_PARAGRAPH, _CELL_WALL)):
+            close_to(depth)
+        if name in _ENDS_OWN_KIND and (depth := find_open(*_ENDS_OWN_KIND[name])):
+            close_to(depth)
         parent = stack[-1]
         noise = parent.noise or name in NOISE_TAGS
         if keep_noise or not noise:
@@ -271,10 +272,9 @@ def _add_page(
             continue
         name = name.lower()
         if markup[1]:
-            walls = frozenset() if name in _TABLE_PARTS else _CELL_WALL
-            if any(e.name == name for e in stack):
+            if depth := find_open((name,), () if name in _TABLE_PARTS else _CELL_WALL):
                 flush()
-                close_nearest(frozenset((name,)), walls)
+                close_to(depth)
             continue
         flush()
         open_element(name, markup[3])
