@@ -117,7 +117,8 @@ def page_ranges(spark, folder):
         "doc_id", F.size(F.split("text", "\n")).alias("total"), F.explode(specs).alias("spec")
     )
     expanded = paged.expand_ranges(docs)
-    return expanded.select("doc_id", "spec", F.posexplode("pages").alias("pos", "page_index"))
+    named = expanded.select("doc_id", "spec", F.posexplode_outer("pages").alias("pos", "page_index"))
+    return named.filter("pos is not null")
 
 
 @query(

@@ -296,7 +296,8 @@ def pdf_links(spark, folder):
 )
 def distinct_pdf_links(spark, folder):
     digest = X.page_digest(derived.pdf_link_pages(spark, folder))
-    return digest.select("page_id", F.posexplode("pdf_links").alias("pos", "href"))
+    found = digest.select("page_id", F.posexplode_outer("pdf_links").alias("pos", "href"))
+    return found.filter("pos is not null")
 
 
 @query(

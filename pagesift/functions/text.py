@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character Python's str.isspace() accepts, written as a
+# Every character Python's str.isspace() accepts, as a string and as a
 # character class that Java's regex engine and RE2 read alike.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-_RUN = f"[{SPACE_CLASS}]+"
-_EDGES = rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
+# The same set in Java's terms, which match faster than the long class.
+_RUN = r"(?U)[\s\x1c-\x1f]+"
+_BLANKS = r"[ \t]{2,}|\t"
 
 
 def strip(col: Column) -> Column:
-    """Remove whitespace of any kind from both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(col, _EDGES, "")
+    """Remove whitespace of any kind from both ends (plain ``trim`` removes only spaces)."""
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def clean_ws(col: Column) -> Column:
@@ -25,7 +31,7 @@ def clean_ws(col: Column) -> Column:
 
 def normalise_page(col: Column) -> Column:
     """Collapse blanks and tabs, keep at most one empty line in a row, strip."""
-    blanks = F.regexp_replace(col, r"[ \t]+", " ")
+    blanks = F.regexp_replace(col, _BLANKS, " ")
     return strip(F.regexp_replace(blanks, r"\n{3,}", "\n\n"))
 
 

@@ -54,8 +54,7 @@ def tables_of_doc(grids: Column) -> Column:
 
 def doc_tables(docs: DataFrame) -> DataFrame:
     """One row per table: doc_id, page_no, table_index, caption, headers, rows, row_count, col_count."""
-    raw = docs.select("doc_id", F.explode("grids").alias("raw"))
-    tables = raw.select("doc_id", table_of(F.col("raw")).alias("t"))
+    tables = docs.select("doc_id", F.explode_outer(F.transform("grids", table_of)).alias("t"))
     return tables.filter("t is not null").select("doc_id", "t.*")
 
 
@@ -144,8 +143,10 @@ def table_rows_long(tables: DataFrame) -> DataFrame:
         "page_no",
         "table_index",
         headers.alias("names"),
-        F.posexplode(F.transform("rows", lambda r: pad_row(r, F.size(headers)))).alias("row_no", "cells"),
-    )
+        F.posexplode_outer(F.transform("rows", lambda r: pad_row(r, F.size(headers)))).alias(
+            "row_no", "cells"
+        ),
+    ).filter("row_no is not null")
     cells = rows.select("*", F.posexplode("cells").alias("col_no", "value"))
     return cells.select(
         "doc_id",

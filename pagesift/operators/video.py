@@ -77,11 +77,15 @@ def video_metadata(pages: DataFrame) -> DataFrame:
         "blob", blob_of(F.col("html"), F.col("url"))
     )
     parsed = page_nodes(
-        watch.filter(is_record(F.try_parse_json("blob"))),
+        watch,
         tags=("meta",),
         attrs=("property", "content"),
         keep_noise=True,
         keep=("page_id", "url", "blob"),
     ).withColumn("data", F.try_parse_json("blob"))
     video = video_of(F.col("data"), F.col("nodes"), F.col("url"))
-    return parsed.select("page_id", video.alias("video")).select("page_id", "video.*")
+    # As the item of a generator, because a filter on a plain column would be pushed
+    # down and parse the data a second time.
+    found = F.array(F.when(is_record(F.col("data")), video))
+    rows = parsed.select("page_id", F.explode_outer(found).alias("video"))
+    return rows.filter("video is not null").select("page_id", "video.*")

@@ -13,6 +13,8 @@ from pagesift.operators.write import write_as
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import FORMATS, check_choice
 
+# Up to this many start URLs are sent to all executors: some megabytes.
+BROADCAST_URLS = 100_000
 # Modes whose result holds a list of links to follow.
 FOLLOW_MODES = ("all", "links")
 
@@ -59,14 +61,14 @@ def pdf_worklist(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """What each request asks to process: request_id, pos, target, source.
 
     A start URL that is a PDF is its own work (``direct``); otherwise the PDF links of
-    the page are, where the request follows them (``followed``). Pages nobody follows
-    are dropped before they are parsed, and each page is parsed once however many
-    requests start from it.
+    the page are, where the request follows them (``followed``). ``pages`` has each URL
+    once. Pages nobody follows are dropped before they are parsed, and each page is
+    parsed once however many requests start from it.
     """
     url = F.col("url")
     follows = F.col("follow_pdfs") & F.col("scrape_mode").isin(*FOLLOW_MODES) & ~is_pdf_url(url)
     wanted = requests.filter(follows).select("url").distinct()
-    hrefs = page_pdf_links(pages.join(wanted, "url", "left_semi"))
+    hrefs = page_pdf_links(_only_urls(pages, wanted))
     tagged = requests.withColumn("follows", follows).join(hrefs, "url", "left")
     work = (
         F.when(is_pdf_url(url), F.array(_work(url, "direct")))
@@ -80,6 +82,18 @@ def pdf_worklist(requests: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def _only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages with a wanted URL.
+
+    The markup is by far the widest column, so it should not be shuffled: a list of
+    URLs that is counted and found short goes to the pages. A longer one is joined on
+    the URL, which moves no markup either where both tables are bucketed by it.
+    """
+    if wanted.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS:
+        wanted = F.broadcast(wanted)
+    return pages.join(wanted, "url", "left_semi")
+
+
 def _work(target: Column, source: str) -> Column:
     return F.struct(target.alias("target"), F.lit(source).alias("source"))
 
