@@ -63,7 +63,7 @@ def doc_info(spark, folder):
     FROM doc_pages GROUP BY doc_id""",
 )
 def doc_char_totals(spark, folder):
-    return paged.doc_char_totals(paged.select_pages(derived.paged_documents(spark, folder)))
+    return paged.doc_totals(derived.paged_documents(spark, folder))
 
 
 @query(

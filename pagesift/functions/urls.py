@@ -20,6 +20,11 @@ _PARTS = {
     "fragment": r"(?s)^[^#]*#(.*)$",
 }
 
+# References that need no work: absolute ones, and plain paths from the root. Neither has
+# a query or fragment, whose empty forms would have to go, or anything to tidy.
+_PLAIN_ABSOLUTE = r"^https?://[^?#\t\r\n]+\z"
+_PLAIN_ROOTED = r"^/(?:[^/?#\t\r\n.][^?#\t\r\n]*)?\z"
+
 # Schemes that take relative references.
 RELATIVE_SCHEMES = (
     "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
@@ -96,11 +101,15 @@ def url_filename(col: Column) -> Column:
 def base_parts(url: Column) -> Column:
     """A base URL taken apart once, so that many links can be resolved against it."""
     tidy = _tidy(F.coalesce(url, F.lit("")))
-    path = url_part(tidy, "path")
+    scheme, host, path = (url_part(tidy, part) for part in ("scheme", "host", "path"))
     return F.struct(
         F.coalesce(url, F.lit("")).alias("url"),
-        url_part(tidy, "scheme").alias("scheme"),
-        url_part(tidy, "host").alias("host"),
+        scheme.alias("scheme"),
+        host.alias("host"),
+        F.when(
+            scheme.isin(*RELATIVE_SCHEMES) & (scheme != "") & (host != ""),
+            F.concat(scheme, F.lit("://"), host),
+        ).alias("origin"),
         path.alias("path"),
         F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")).alias("folder"),
         url_part(tidy, "query").alias("query"),
@@ -141,6 +150,11 @@ def resolve_against(base: Column, href: Column) -> Column:
     return (
         F.when(base["url"] == "", href)
         .when(href == "", base["url"])
+        .when(href.rlike(_PLAIN_ABSOLUTE), href)
+        .when(
+            base["origin"].isNotNull() & href.rlike(_PLAIN_ROOTED) & ~href.contains("/."),
+            F.concat(base["origin"], href),
+        )
         .otherwise(let(_tidy(href), lambda ref: let(_parts(ref), from_parts)))
     )
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.nodes import inside, node_text
+from pagesift.functions.nodes import at, inside, node_text, span
 from pagesift.functions.text import clean_ws
 
 MARKUP_LIMIT = 500
@@ -63,10 +63,10 @@ def hits_of(nodes: Column, css: str, clean: bool = True) -> Column:
         ids = F.array_sort(ids)
 
     def hit(node_id: Column, index: Column) -> Column:
-        node = F.get(nodes, node_id)
+        node = at(nodes, node_id)
         text = node_text(nodes, node)
         # A selected script or style shows its own string.
-        own = F.get(inside(nodes, node), F.lit(0))["text"]
+        own = F.when(node["last"] > node_id, at(nodes, node_id + 1)["text"])
         content = F.when(node["tag"].isin("script", "style"), F.coalesce(own, F.lit(""))).otherwise(text)
         return F.struct(
             index.alias("index"),
@@ -83,16 +83,16 @@ def markup_of(nodes: Column, node: Column, limit: int = MARKUP_LIMIT) -> Column:
 
     Every node yields a character or more, so nodes past the first ``limit`` are not needed.
     """
-    count = F.least(node["last"] - node["id"] + 1, F.lit(limit))
-    shown = F.slice(nodes, node["id"] + 1, count)
+    shown = span(node["id"], F.least(node["last"], node["id"] + limit - 1))
 
-    def piece(n: Column) -> Column:
-        ended = F.filter(
-            F.slice(nodes, node["id"] + 1, n["id"] - node["id"] + 1),
-            lambda e: (e["last"] == n["id"]) & e["pos"].isNotNull() & ~_is_void(e),
-        )
-        closing = F.transform(F.reverse(ended), lambda e: F.concat(F.lit("</"), e["tag"], F.lit(">")))
-        return F.concat(_opening(n), F.array_join(closing, ""))
+    def piece(i: Column) -> Column:
+        def ends_here(j: Column) -> Column:
+            other = at(nodes, j)
+            return (other["last"] == i) & other["pos"].isNotNull() & ~_is_void(other)
+
+        ended = F.reverse(F.filter(span(node["id"], i), ends_here))
+        closing = F.transform(ended, lambda j: F.concat(F.lit("</"), at(nodes, j)["tag"], F.lit(">")))
+        return F.concat(_opening(at(nodes, i)), F.array_join(closing, ""))
 
     return F.array_join(F.transform(shown, piece), "")
 
@@ -146,20 +146,16 @@ def _reach(nodes: Column, ids: Column, combinator: str) -> Column:
     none = F.array().cast("array<int>")
 
     def from_one(node_id: Column) -> Column:
-        node = F.get(nodes, node_id)
+        node = at(nodes, node_id)
         if combinator == "+":
             return F.when(node["next"].isNotNull(), F.array(node["next"])).otherwise(none)
         if combinator == " ":
-            return F.when(
-                node["last"] > node_id, F.sequence(node_id + 1, F.greatest(node["last"], node_id + 1))
-            ).otherwise(none)
+            return inside(node)
         if combinator == ">":
-            related = F.filter(inside(nodes, node), lambda d: d["parent"] == node_id)
-        else:
-            family_end = F.coalesce(F.get(nodes, node["parent"])["last"], F.size(nodes) - 1)
-            later = F.slice(nodes, node["last"] + 2, family_end - node["last"])
-            related = F.filter(later, lambda d: d["parent"] == node["parent"])
-        return F.transform(related, lambda d: d["id"])
+            return F.filter(inside(node), lambda i: at(nodes, i)["parent"] == node_id)
+        family_end = F.coalesce(at(nodes, node["parent"])["last"], F.size(nodes) - 1)
+        later = span(node["last"] + 1, family_end)
+        return F.filter(later, lambda i: at(nodes, i)["parent"] == node["parent"])
 
     return F.flatten(F.transform(ids, from_one))
 

@@ -10,7 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.nodes import attr, inside, node_text, node_text_spaced, only_string, with_tag
+from pagesift.functions.binding import let
+from pagesift.functions.nodes import (
+    at,
+    attr,
+    ids_with_tag,
+    inside,
+    node_text,
+    node_text_spaced,
+    not_noise,
+    only_string,
+    with_tag,
+)
 from pagesift.functions.text import clean_ws, strip
 from pagesift.functions.urls import (
     base_parts,
@@ -92,18 +103,18 @@ def tables_of(nodes: Column, clean: bool = True) -> Column:
     one. The index counts all tables, also those dropped for having no filled row.
     """
 
-    def row_cells(row: Column) -> Column:
-        cells = with_tag(inside(nodes, row), "td", "th")
-        return F.transform(cells, lambda c: _shown(node_text(nodes, c), clean))
+    def row_cells(row_id: Column) -> Column:
+        cells = ids_with_tag(nodes, inside(at(nodes, row_id)), "td", "th")
+        return F.transform(cells, lambda i: _shown(node_text(nodes, at(nodes, i)), clean))
 
     def one(table: Column, index: Column) -> Column:
-        body = inside(nodes, table)
-        caption = F.get(with_tag(body, "caption"), F.lit(0))
-        rows = F.transform(with_tag(body, "tr"), row_cells)
+        body = inside(table)
+        caption = at(nodes, F.get(ids_with_tag(nodes, body, "caption"), F.lit(0)))
+        rows = F.transform(ids_with_tag(nodes, body, "tr"), row_cells)
         return F.struct(
             index.alias("table_index"),
             F.coalesce(clean_ws(node_text(nodes, caption)), F.lit("")).alias("caption"),
-            F.exists(body, lambda n: n["tag"] == "th").alias("has_header"),
+            F.exists(body, lambda i: at(nodes, i)["tag"] == "th").alias("has_header"),
             F.filter(rows, lambda r: F.exists(r, lambda c: c != "")).alias("rows"),
         )
 
@@ -327,12 +338,19 @@ def extract(
 
 
 def node_counts(pages: DataFrame) -> DataFrame:
-    """Elements per page and tag, noise left out: page_id, tag, n."""
-    elements = page_nodes(pages, attrs=(), keep_noise=True, keep=("page_id",)).select(
-        "page_id", F.inline("nodes")
-    )
-    found = elements.filter("not noise and not startswith(tag, '#')")
-    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    """Elements per page and tag, noise left out: page_id, tag, n. Counted in the row,
+    as a page is one row: no shuffle."""
+    elements = F.filter("nodes", lambda n: not_noise(n) & n["pos"].isNotNull())
+    tags = F.transform(elements, lambda n: n["tag"])
+
+    def count(tag: Column, all_tags: Column) -> Column:
+        n = F.size(F.filter(all_tags, lambda other: other == tag)).cast("bigint")
+        return F.struct(tag.alias("tag"), n.alias("n"))
+
+    counts = let(tags, lambda t: F.transform(F.array_distinct(t), lambda tag: count(tag, t)))
+    parsed = page_nodes(pages, attrs=(), keep_noise=True, keep=("page_id",))
+    rows = parsed.select("page_id", F.explode_outer(counts).alias("c")).filter("c is not null")
+    return rows.select("page_id", "c.tag", "c.n")
 
 
 def section_counts(records: DataFrame) -> DataFrame:

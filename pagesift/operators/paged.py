@@ -69,6 +69,17 @@ def doc_char_totals(pages: DataFrame) -> DataFrame:
     )
 
 
+def doc_totals(docs: DataFrame, spec: str | Column = "all") -> DataFrame:
+    """The same for landed documents, counted in the row."""
+    chosen = docs.select("doc_id", chosen_pages_of(F.col("pages"), spec).alias("chosen"))
+    chars = F.aggregate(
+        "chosen", F.lit(0).cast("bigint"), lambda total, page: total + F.length(page["text"])
+    )
+    return chosen.select(
+        "doc_id", F.size("chosen").cast("bigint").alias("n_pages"), chars.alias("total_chars")
+    )
+
+
 def page_entry(page_no: Column, text: Column) -> Column:
     """A page in a running text."""
     return F.concat(F.lit("[Page "), page_no.cast("string"), F.lit("]\n"), text)

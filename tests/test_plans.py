@@ -29,7 +29,7 @@ def test_extraction_never_shuffles(stored, mode):
     assert plan.count("MapInArrow") == 1
 
 
-@pytest.mark.parametrize("name", ["links", "text_blocks", "images", "html_tables", "meta_tags", "headings"])
+@pytest.mark.parametrize("name", ["links", "text_blocks", "images", "html_tables", "meta_tags", "headings", "node_counts"])
 def test_exploded_views_compute_the_array_once(stored, name):
     plan = physical(getattr(X, name)(stored[0]))
     assert "Exchange" not in plan and "(size(transform" not in plan and "size(filter" not in plan
