@@ -127,8 +127,10 @@ def resolve_against(base: Column, href: Column) -> Column:
         merged = F.when(ref["path"].startswith("/"), ref["path"]).otherwise(
             _drop_inner_slashes(F.concat(base["folder"], ref["path"]))
         )
-        new_path = F.when(ref["path"] == "", base["path"]).otherwise(_fold_dots(merged))
-        new_query = F.when((ref["path"] == "") & (ref["query"] == ""), base["query"])
+        new_path = F.when(ref["path"] == "", base["path"]).otherwise(let(merged, _fold_dots))
+        new_query = F.when((ref["path"] == "") & (ref["query"] == ""), base["query"]).otherwise(
+            ref["query"]
+        )
         own_scheme = (ref["scheme"] != "") & (ref["scheme"] != base["scheme"])
         return (
             F.when(own_scheme | ~base["scheme"].isin(*RELATIVE_SCHEMES), href)
@@ -137,12 +139,9 @@ def resolve_against(base: Column, href: Column) -> Column:
                 _join(base["scheme"], ref["host"], ref["path"], ref["query"], ref["fragment"]),
             )
             .otherwise(
-                _join(
-                    base["scheme"],
-                    base["host"],
+                let(
                     new_path,
-                    new_query.otherwise(ref["query"]),
-                    ref["fragment"],
+                    lambda path: _join(base["scheme"], base["host"], path, new_query, ref["fragment"]),
                 )
             )
         )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.pageranges import bad_spec_reason, check_spec, page_range
 from pagesift.functions.text import normalise_page, strip
+from pagesift.plans.skew import HOT_KEYS, HOT_ROWS
 from pagesift.schema import PROMPT_CHARS
 
 
@@ -97,18 +98,45 @@ def doc_full_text(docs: DataFrame, spec: str = "all") -> DataFrame:
     return docs.select("doc_id", text.alias("full_text"))
 
 
-def leading_text(pages: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
+def leading_text(pages: DataFrame, limit: int = PROMPT_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first ``limit`` characters of each document's running text, from page rows.
 
     Each page that is not blank adds at least 12 characters (mark, text, joint), so
     pages past ``limit`` / 12 + 1 cannot show. Spark cuts each document to that many
-    pages before the shuffle (a window group limit), which bounds what one task gathers
-    however long a document is.
+    pages per task before the shuffle (a window group limit). A document that is found
+    in very many tasks would still gather from all of them, so for documents of
+    ``hot_rows`` pages and more, most pages past the cut are dropped beforehand.
     """
+    needed = limit // 12 + 1
     entry = F.substring(page_entry(F.col("page_no"), F.col("text")), 1, limit)
-    filled = pages.filter(strip(F.col("text")) != "").select("doc_id", "page_no", entry.alias("entry"))
+    filled = pages.filter(strip(F.col("text")) != "")
+    near = _drop_far_pages(filled, needed, hot_rows).select("doc_id", "page_no", entry.alias("entry"))
     first = Window.partitionBy("doc_id").orderBy("page_no")
-    ranked = filled.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit // 12 + 1)
+    ranked = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= needed)
     entries = F.array_sort(F.collect_list(F.struct("page_no", "entry")))
     joined = F.array_join(F.transform(entries, lambda e: e["entry"]), "\n\n")
     return ranked.groupBy("doc_id").agg(F.substring(joined, 1, limit).alias("text"))
+
+
+def _drop_far_pages(filled: DataFrame, needed: int, hot_rows: int, block: int = 1000) -> DataFrame:
+    """Without the pages of hot documents that lie past the block in which the needed
+    number of pages is reached. Pages are counted per block of page numbers; at most
+    ``HOT_KEYS`` documents are hot, which bounds both broadcasts."""
+    hot = (
+        filled.groupBy("doc_id")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= hot_rows)
+        .orderBy(F.desc("n"))
+        .limit(HOT_KEYS)
+    )
+    block_no = F.floor(F.col("page_no") / block)
+    blocks = (
+        filled.join(F.broadcast(hot.select("doc_id")), "doc_id", "left_semi")
+        .groupBy("doc_id", block_no.alias("block"))
+        .agg(F.count("*").alias("n"))
+    )
+    so_far = F.sum("n").over(Window.partitionBy("doc_id").orderBy("block"))
+    reached = blocks.withColumn("so_far", so_far).filter(F.col("so_far") >= needed)
+    cuts = reached.groupBy("doc_id").agg(((F.min("block") + 1) * block).alias("cut"))
+    marked = filled.join(F.broadcast(cuts), "doc_id", "left")
+    return marked.filter(F.col("cut").isNull() | (F.col("page_no") < F.col("cut"))).drop("cut")

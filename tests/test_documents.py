@@ -57,9 +57,17 @@ def test_pages(docs):
 def test_leading_text_of_page_rows_equals_the_cut_full_text(spark):
     rows = [(1, n, "x" * (n % 7)) for n in range(1, 3000)] + [(2, 1, "é" * 9000), (2, 2, "y"), (3, 1, " ")]
     df = spark.createDataFrame(rows, "doc_id bigint, page_no int, text string")
-    found = {r.doc_id: r.text for r in paged.leading_text(df).collect()}
     whole = "\n\n".join(f"[Page {n}]\n{t}" for d, n, t in rows if d == 1 and t)
-    assert found == {1: whole[:8000], 2: ("[Page 1]\n" + "é" * 9000)[:8000]}
+    for hot_rows in (1_000_000, 2000, 1):
+        found = {r.doc_id: r.text for r in paged.leading_text(df, hot_rows=hot_rows).collect()}
+        assert found == {1: whole[:8000], 2: ("[Page 1]\n" + "é" * 9000)[:8000]}
+
+
+def test_far_pages_of_hot_documents_are_dropped_early(spark):
+    df = spark.range(1, 50_001).selectExpr("id % 2 as doc_id", "cast(id div 2 as int) as page_no", "'x' as text")
+    near = paged._drop_far_pages(df, needed=667, hot_rows=20_000)
+    assert near.groupBy("doc_id").agg(F.max("page_no").alias("m")).filter("m >= 1000").count() == 0
+    assert near.count() == 1999
 
 
 def test_leading_text_limits_groups_before_the_shuffle(spark):
