@@ -414,12 +414,15 @@ def doc_report_json(spark, folder):
                          rows, [[]::VARCHAR[]])) WITH ORDINALITY AS u(cells, n) WHERE page_no <= n_pages
     UNION ALL SELECT doc_id, 8, n, cells FROM documents,
       unnest([['# Extracted Text'], ['page', 'text']]) WITH ORDINALITY AS u(cells, n)
-    UNION ALL SELECT doc_id, 9, page_no, [page_no::VARCHAR, norm] FROM doc_pages)
+    UNION ALL SELECT doc_id, 9, page_no, [page_no::VARCHAR, norm] FROM doc_pages
+    UNION ALL SELECT doc_id, 10, n, cells FROM
+      (SELECT doc_id, bool_and(norm = '') AS no_text FROM doc_pages GROUP BY doc_id),
+      unnest([['# AI Summary'], [{SUMMARY}]]) WITH ORDINALITY AS u(cells, n))
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block, n) - 1)::INTEGER AS seq,
            len(cells)::INTEGER AS n_cells, array_to_string(cells, '|') AS cells FROM lines""",
 )
 def doc_report_rows(spark, folder):
-    done = process_docs(derived.paged_documents(spark, folder)).withColumn("summary", F.lit(""))
+    done = process_docs(derived.paged_documents(spark, folder))
     rows = reports.doc_report_rows(done)
     return rows.select("doc_id", "seq", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
 

@@ -25,7 +25,7 @@ def flat(cells):
     return F.array_join(F.transform(cells, lambda r: F.array_join(r, "|")), ";")
 
 
-LINKS = f"""{PLAIN}, found AS (
+FOUND_LINKS = f"""found AS (
   SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs,
          regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS texts
   FROM plain), links AS (
@@ -35,6 +35,7 @@ LINKS = f"""{PLAIN}, found AS (
   SELECT page_id, url, pos, {clean(unescape("raw_text"))} AS text,
          {ORIGIN} || {unescape("raw_href")} AS href
   FROM links)"""
+LINKS = f"{PLAIN}, {FOUND_LINKS}"
 
 PARAGRAPHS = f"""{PLAIN}, found AS (
   SELECT page_id, regexp_extract_all(html, '<p>({INLINE})', 1) AS raws FROM plain), raws AS (
@@ -43,9 +44,9 @@ PARAGRAPHS = f"""{PLAIN}, found AS (
   SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS pos, content
   FROM cleaned WHERE content <> '')"""
 
-BLOCKS = f"""{PLAIN}, found AS (
+FOUND_BLOCKS = f"""block_lists AS (
   SELECT page_id, regexp_extract_all(html, '<(?:h1|p|li)>{INLINE}') AS raws FROM plain), raws AS (
-  SELECT page_id, raw, n FROM found, unnest(raws) WITH ORDINALITY AS u(raw, n)), cleaned AS (
+  SELECT page_id, raw, n FROM block_lists, unnest(raws) WITH ORDINALITY AS u(raw, n)), cleaned AS (
   SELECT page_id, n, regexp_extract(raw, '^<([a-z0-9]+)>', 1) AS tag,
          {clean(unescape(no_tags("raw")))} AS content,
          {clean(unescape(no_tags("raw", " ")))} AS spaced
@@ -53,6 +54,7 @@ BLOCKS = f"""{PLAIN}, found AS (
   SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS pos, tag,
          content, spaced
   FROM cleaned WHERE content <> '')"""
+BLOCKS = f"{PLAIN}, {FOUND_BLOCKS}"
 
 BUDGETED = f"""{BLOCKS}, before AS (
   SELECT page_id, pos, spaced AS content,
@@ -60,9 +62,10 @@ BUDGETED = f"""{BLOCKS}, before AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
   FROM blocks), kept AS (SELECT page_id, pos, content FROM before WHERE used <= 2000)"""
 
-TITLES = f"""{PLAIN}, titles AS (
+FOUND_TITLES = f"""titles AS (
   SELECT page_id, url, trim({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title
   FROM plain)"""
+TITLES = f"{PLAIN}, {FOUND_TITLES}"
 
 
 @query("pages_scan", "SELECT page_id, url, length(html) AS n_chars FROM pages")
@@ -364,8 +367,7 @@ def links_markdown(spark, folder):
 
 @query(
     "page_markdown",
-    f"""WITH {LINKS}, {BLOCKS.partition("found AS (")[0].replace(PLAIN + ", ", "")}
-    found2 AS ({BLOCKS.partition("found AS (")[2].replace("FROM found,", "FROM found2,")},
+    f"""WITH {LINKS}, {FOUND_BLOCKS},
     l AS (SELECT page_id, string_agg('| ' || {md_cut("text")} || ' | ' || {md_cut("href")} || ' |  |  |',
                                      chr(10) ORDER BY pos) AS lines FROM resolved GROUP BY page_id),
     h AS (SELECT page_id, string_agg('- ' || content, chr(10) ORDER BY pos) AS lines
@@ -430,16 +432,19 @@ def page_json(spark, folder):
 
 @query(
     "flatten_sections",
-    f"""WITH {LINKS}, {TITLES.replace(PLAIN + ", ", "")}
+    f"""WITH {LINKS}, {FOUND_TITLES}, {FOUND_BLOCKS}, headed AS (
+    SELECT page_id, CASE tag WHEN 'h1' THEN 'headings' ELSE 'paragraphs' END AS section, content,
+           (row_number() OVER (PARTITION BY page_id, tag ORDER BY pos) - 1)::INTEGER AS pos
+    FROM blocks WHERE tag IN ('h1', 'p'))
     SELECT page_id, 'title' AS section, 0 AS pos, title AS value, NULL::VARCHAR AS text, NULL::VARCHAR AS href,
            NULL::VARCHAR AS charset FROM titles
+    UNION ALL SELECT page_id, section, pos, content, NULL, NULL, NULL FROM headed
     UNION ALL SELECT page_id, 'links', pos, NULL, text, href, NULL FROM resolved
     UNION ALL SELECT page_id, 'meta', 0, NULL, NULL, NULL, 'utf-8' FROM pages""",
 )
 def flatten_sections(spark, folder):
     rows = render.flatten_sections(X.page_record(given_pages(spark, folder), include_meta=True))
-    kept = rows.filter(F.col("section").isin("title", "links", "meta"))
-    return kept.select("page_id", "section", "pos", "value", "text", "href", "charset")
+    return rows.select("page_id", "section", "pos", "value", "text", "href", "charset")
 
 
 @query(

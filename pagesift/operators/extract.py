@@ -75,6 +75,12 @@ def links_of(nodes: Column, base: Column, clean: bool = True) -> Column:
     )
 
 
+def hrefs_of(nodes: Column, base: Column) -> Column:
+    """The targets alone of ``links_of``."""
+    hrefs = F.transform(with_tag(nodes, "a"), lambda a: clean_href(a["attrs"].getItem("href")))
+    return F.transform(F.filter(hrefs, keep_href), lambda href: resolve_against(base, href))
+
+
 def text_blocks_of(nodes: Column, clean: bool = True) -> Column:
     """``array<struct<tag, content>>``; a paragraph in a list item appears as both."""
     blocks = F.transform(
@@ -204,6 +210,12 @@ def links(pages: DataFrame, clean: bool = True) -> DataFrame:
     return explode_items(parsed.withColumn("items", links_of(F.col("nodes"), F.col("base"), clean)))
 
 
+def link_targets(pages: DataFrame) -> DataFrame:
+    """One row per page: page_id, url, hrefs in page order."""
+    parsed = _nodes(pages, ("a",), ("href",))
+    return parsed.select("page_id", "url", hrefs_of(F.col("nodes"), F.col("base")).alias("hrefs"))
+
+
 def text_blocks(pages: DataFrame, clean: bool = True) -> DataFrame:
     """One row per text block: page_id, url, pos, tag, content."""
     parsed = page_nodes(pages, tags=TEXT_TAGS, attrs=())

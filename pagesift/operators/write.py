@@ -17,7 +17,6 @@ def write_as(df: DataFrame, fmt: str, path: str, mode: str = "errorifexists") ->
     write the ``body`` column (or, for CSV reports, ``line``).
     """
     check_choice("format", fmt, FORMATS)
-    writer = None
     if "body" in df.columns:
         df.select("body").write.mode(mode).text(path)
     elif fmt == "csv" and "line" in df.columns:
@@ -25,13 +24,12 @@ def write_as(df: DataFrame, fmt: str, path: str, mode: str = "errorifexists") ->
     elif fmt == "json":
         df.write.mode(mode).json(path)
     elif fmt == "csv":
+        nested = (T.ArrayType, T.StructType, T.MapType)
         flat = [
-            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
-            else F.col(f.name)
+            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
             for f in df.schema.fields
         ]
-        writer = df.select(*flat).write.mode(mode).option("header", True).option("escape", '"')
-        writer.csv(path)
+        df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"Format '{fmt}' needs a body column")
     return path

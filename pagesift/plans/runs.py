@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import file_stem, output_name
 from pagesift.functions.urls import is_pdf_href, is_pdf_url, url_filename
-from pagesift.operators.extract import MODES, extract
+from pagesift.operators.extract import MODES, extract, link_targets
 from pagesift.operators.render import render_pages
 from pagesift.operators.write import write_as
 from pagesift.plans.skew import split_hot_keys_join
@@ -53,8 +53,7 @@ def _lookup(links: DataFrame, docs: DataFrame, how: str, splits: int | None) ->
 
 def page_pdf_links(pages: DataFrame) -> DataFrame:
     """url and the PDF links of each page, in page order."""
-    hrefs = F.transform("items", lambda item: item["href"])
-    return extract(pages, "links").select("url", F.filter(hrefs, is_pdf_href).alias("hrefs"))
+    return link_targets(pages).select("url", F.filter("hrefs", is_pdf_href).alias("hrefs"))
 
 
 def pdf_worklist(requests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -103,7 +102,8 @@ def run_outputs(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Colu
 
     A target that has not landed leaves neither, as a failed download does.
     """
-    landed = pages.select("url").distinct().withColumn("landed", F.lit(True))
+    asked = _only_urls(pages.select("url"), requests.select("url").distinct())
+    landed = asked.distinct().withColumn("landed", F.lit(True))
     problem = (
         F.when(
             ~F.col("scrape_mode").isin(*MODES),

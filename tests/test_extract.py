@@ -51,6 +51,11 @@ def test_links(pages):
     assert (found[0]["title"], found[0]["rel"]) == ("T", "nofollow noopener")
 
 
+def test_link_targets_are_the_hrefs_of_links(pages):
+    df = pages((URL, RICH))
+    assert X.link_targets(df).first().hrefs == [x["href"] for x in items(df, "links")]
+
+
 def test_links_without_base_stay_raw(pages):
     assert items(pages(("", RICH)), "links")[0]["href"] == "c.html"
 
