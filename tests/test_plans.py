@@ -29,12 +29,17 @@ def test_extraction_never_shuffles(stored, mode):
     assert plan.count("MapInArrow") == 1
 
 
-@pytest.mark.parametrize("name", ["links", "text_blocks", "images", "html_tables", "meta_tags", "headings", "node_counts"])
+@pytest.mark.parametrize("name", ["links", "text_blocks", "images", "html_tables", "meta_tags", "headings"])
 def test_exploded_views_compute_the_array_once(stored, name):
     plan = physical(getattr(X, name)(stored[0]))
     assert "Exchange" not in plan and "(size(transform" not in plan and "size(filter" not in plan
 
 
+def test_elements_are_counted_in_the_row(stored):
+    plan = physical(X.node_counts(stored[0]))
+    assert "Exchange" not in plan and plan.count("array_distinct") == 1
+
+
 def test_document_work_never_shuffles_and_reads_only_its_columns(stored):
     plan = physical(process_docs(stored[1], "all", "1-3"))
     assert "Exchange" not in plan
