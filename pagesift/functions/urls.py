@@ -37,11 +37,9 @@ VIDEO_PATH = "/watch"
 
 def url_part(col: Column, part: str) -> Column:
     """``scheme`` (lower case), ``host`` (with port), ``path``, ``query`` or ``fragment``."""
-    if part == "scheme":
-        return F.lower(F.regexp_extract(col, _SCHEME, 1))
-    if part not in _PARTS:
+    if part != "scheme" and part not in _PARTS:
         raise ValueError(f"Unknown URL part '{part}'. Valid: {['scheme', *_PARTS]}")
-    return F.regexp_extract(col, _PARTS[part], 1)
+    return _tidy_part(_tidy(col), part)
 
 
 def url_reject_reason(col: Column) -> Column:
@@ -101,7 +99,7 @@ def url_filename(col: Column) -> Column:
 def base_parts(url: Column) -> Column:
     """A base URL taken apart once, so that many links can be resolved against it."""
     tidy = _tidy(F.coalesce(url, F.lit("")))
-    scheme, host, path = (url_part(tidy, part) for part in ("scheme", "host", "path"))
+    scheme, host, path = (_tidy_part(tidy, part) for part in ("scheme", "host", "path"))
     return F.struct(
         F.coalesce(url, F.lit("")).alias("url"),
         scheme.alias("scheme"),
@@ -112,7 +110,7 @@ def base_parts(url: Column) -> Column:
         ).alias("origin"),
         path.alias("path"),
         F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")).alias("folder"),
-        url_part(tidy, "query").alias("query"),
+        _tidy_part(tidy, "query").alias("query"),
     )
 
 
@@ -168,8 +166,14 @@ def clean_href(raw: Column) -> Column:
     return strip(raw)
 
 
+def _tidy_part(url: Column, part: str) -> Column:
+    if part == "scheme":
+        return F.lower(F.regexp_extract(url, _SCHEME, 1))
+    return F.regexp_extract(url, _PARTS[part], 1)
+
+
 def _parts(url: Column) -> Column:
-    return F.struct(*[url_part(url, p).alias(p) for p in ("scheme", *_PARTS)])
+    return F.struct(*[_tidy_part(url, p).alias(p) for p in ("scheme", *_PARTS)])
 
 
 def _tidy(url: Column) -> Column:

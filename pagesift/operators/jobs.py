@@ -104,6 +104,8 @@ def active_key_count(keys: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``df`` and those of ``rows`` whose key it lacks, each key once."""
-    fresh = rows.dropDuplicates([key]).join(df.select(key), key, "left_anti")
-    return df.unionByName(fresh)
+    """``df`` and those of ``rows`` whose key it lacks. Of rows with the same key the
+    smallest goes in, so that a repeated run inserts the same one."""
+    rest = [c for c in rows.columns if c != key]
+    once = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+    return df.unionByName(once.join(df.select(key), key, "left_anti"))

@@ -25,8 +25,8 @@ def pdf_links(links: DataFrame) -> DataFrame:
 
 
 def landed_urls(docs: DataFrame) -> DataFrame:
-    """url and doc_id of landed documents: the slim side of every link lookup."""
-    return docs.select("url", "doc_id").filter("url is not null").dropDuplicates(["url"])
+    """url and doc_id of landed documents, each URL once: the slim side of link lookups."""
+    return docs.filter("url is not null").groupBy("url").agg(F.min("doc_id").alias("doc_id"))
 
 
 def follow_links(links: DataFrame, docs: DataFrame, splits: int | None = None) -> DataFrame:

@@ -48,6 +48,12 @@ def pdf_validity(df: DataFrame) -> DataFrame:
     )
 
 
+def split_valid_pdfs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a PDF payload, and the rejected rows with a ``reason``."""
+    checked = pdf_validity(df)
+    return checked.filter("is_valid").drop("is_valid", "reason"), checked.filter("not is_valid").drop("is_valid")
+
+
 def page_count(content: Column) -> Column:
     """Pages in a file by its page objects, at least 1. ``/Pages`` does not count."""
     text = F.decode(content, "ISO-8859-1")

@@ -40,6 +40,16 @@ def test_pdf_files(spark, tmp_path):
         pdf.read_pdf_files(spark, str(tmp_path / "none.pdf"))
 
 
+def test_payloads_are_split(spark):
+    rows = [("text/html", b"<p>"), ("application/octet-stream", b"%PDF-1"), (None, None), ("x application/PDF", b"")]
+    df = spark.createDataFrame(rows, "content_type string, content binary")
+    good, bad = pdf.split_valid_pdfs(df)
+    assert good.columns == df.columns and good.count() == 2
+    assert sorted(r.reason for r in bad.collect()) == [
+        "not a PDF, content type ?", "not a PDF, content type text/html",
+    ]
+
+
 def test_pages(docs):
     df = docs((["one", None, " x\t y \n\n\n\nz "], []), ([], []))
     assert [tuple(r) for r in paged.doc_pages(df).orderBy("page_no").collect()] == [

@@ -84,6 +84,10 @@ SEGMENTS = st.sampled_from(["a", "b.pdf", "..", ".", "", "x y", "c;p", "..a", "
 PATHS = st.lists(SEGMENTS, max_size=5).map("/".join)
 TAILS = st.sampled_from(["", "?q=1", "?", "#f", "#", "?q=a/../b#f?x"])
 ORIGINS = st.sampled_from(["http://h.example", "https://h.example:81", "HTTP://H.example", "ftp://f", ""])
+LEADS = st.sampled_from(["", "", "", " ", "\t\x00"])
+UNTIDY = st.builds(
+    lambda lead, o, p, t: lead + (o + "/" + p).replace("a", "a\n") + t, LEADS, ORIGINS, PATHS, TAILS
+)
 BASES = st.builds(lambda o, p, t: o + ("/" + p if o else p) + t, ORIGINS, PATHS, TAILS)
 REFS = st.builds(
     lambda o, p, t: o + p + t,
@@ -109,7 +113,7 @@ def test_resolve_url(spark, pairs):
 
 
 @SPARK
-@given(st.lists(BASES, min_size=100, max_size=120))
+@given(st.lists(st.one_of(BASES, UNTIDY), min_size=100, max_size=120))
 def test_url_parts(values, inputs):
     for part, field in (("scheme", "scheme"), ("host", "netloc"), ("query", "query"), ("fragment", "fragment")):
         assert values(lambda c: urls.url_part(c, part), inputs) == [getattr(urlparse(u), field) for u in inputs]
@@ -118,12 +122,25 @@ def test_url_parts(values, inputs):
 
 
 @SPARK
-@given(st.lists(BASES, min_size=100, max_size=120))
+@given(st.lists(st.one_of(BASES, UNTIDY), min_size=100, max_size=120))
 def test_is_pdf_url(values, inputs):
     plain = [urlparse(u).path.lower().endswith(".pdf") for u in inputs]
     assert values(urls.is_pdf_url, inputs) == plain
 
 
+def test_valid_urls_are_split_from_rejects(spark):
+    rows = ["https://a/x y", " http://a", "ftp://a", "https:///x", None, "a"]
+    df = spark.createDataFrame([(u,) for u in rows], "url string")
+    good, bad = urls.split_valid_urls(df)
+    assert sorted(r.url for r in good.collect()) == [" http://a", "https://a/x y"]
+    assert {r.url: r.reason for r in bad.collect()} == {
+        "ftp://a": "scheme is not http or https",
+        "https:///x": "no host",
+        None: "missing",
+        "a": "scheme is not http or https",
+    }
+
+
 def test_keep_href(values):
     hrefs = ["javascript:x", "JavaScript:x", "mailto:a", "#x", ""]
     assert values(urls.keep_href, hrefs) == [False, True, True, True, True]
