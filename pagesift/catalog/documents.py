@@ -391,7 +391,7 @@ def doc_report_json(spark, folder):
     bodies = reports.doc_json(done, AT)
     shape = (
         "metadata struct<op: string, page_range: string, total_pages: int>, summary string, "
-        "text_pages map<string, string>, tables array<struct<page_no: int>>"
+        "text_pages map<string, string>, tables array<struct<page: int>>"
     )
     back = bodies.select("doc_id", "body", F.from_json("body", shape).alias("b"))
     return back.select(

@@ -118,11 +118,21 @@ def doc_json(docs: DataFrame, at: str | Column) -> DataFrame:
     pages = F.map_from_entries(
         F.transform("text_pages", lambda p: F.struct(p["page_no"].cast("string"), p["text"]))
     )
+    tables = F.transform(
+        "tables",
+        lambda t: F.struct(
+            t["page_no"].alias("page"),
+            *[
+                t[name].alias(name)
+                for name in ("table_index", "caption", "headers", "rows", "row_count", "col_count")
+            ],
+        ),
+    )
     payload = F.struct(
         metadata.alias("metadata"),
         F.nullif(F.col("summary"), F.lit("")).alias("summary"),
         pages.alias("text_pages"),
-        F.col("tables").alias("tables"),
+        tables.alias("tables"),
     )
     return _bodies(docs, F.to_json(payload, {"ignoreNullFields": "false"}))
 

@@ -156,9 +156,19 @@ def run_manifest(outputs: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def run_requests(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column) -> DataFrame:
-    """Manifests of a table of requests."""
-    return run_manifest(run_outputs(requests, pages, docs, at), requests)
+def run_requests(
+    requests: DataFrame,
+    pages: DataFrame,
+    docs: DataFrame,
+    at: Column,
+    completed_at: Column | None = None,
+) -> DataFrame:
+    """Manifests of a table of requests: request_id, started_at, completed_at, url, outputs,
+    errors. ``at`` also dates the file names."""
+    manifest = run_manifest(run_outputs(requests, pages, docs, at), requests)
+    times = {"started_at": at, "completed_at": at if completed_at is None else completed_at}
+    shown = [F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss").alias(n) for n, t in times.items()]
+    return manifest.select("request_id", *shown, "url", "outputs", "errors")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> str:

@@ -214,6 +214,7 @@ def test_json_report(docs):
     assert data["summary"] is None
     assert data["text_pages"] == {"1": "Text one", "2": ""}
     assert data["tables"][0]["headers"] == ["Name", "Note|x"]
+    assert list(data["tables"][0])[:2] == ["page", "table_index"]
     assert data["metadata"]["total_pages"] == 2
     assert json.loads(empty)["text_pages"] == {}
 

@@ -132,6 +132,7 @@ def test_runs(world):
         n: ([(o.type, o.file, o.source.rsplit("/", 1)[-1]) for o in r.outputs], r.errors)
         for n, r in manifest.items()
     }
+    assert manifest[1].started_at == manifest[1].completed_at == "2024-05-06T07:08:09"
     pdf = ("pdf", "pdf/x_all_20240506_070809.md", "x.pdf")
     assert shown == {
         1: ([("scrape", "scraped_all_20240506_070809.json", "a"), pdf, pdf], []),
