@@ -43,8 +43,9 @@ class Seeds(NamedTuple):
 
 
 def plain(text: bytes) -> bytes:
-    """Lower case, ASCII punctuation as blanks; offsets stay."""
-    return text.lower().translate(_PLAIN)
+    """Lower case of every script, ASCII punctuation as blanks."""
+    lower = text.lower() if text.isascii() else text.decode(errors="replace").lower().encode()
+    return lower.translate(_PLAIN)
 
 
 def read_items(rows: list, n: int) -> list[Item]:
@@ -115,8 +116,8 @@ def find_items(
     text: bytes, items: list[Item], seeds: list[Seeds], threshold: float, powers: Powers
 ) -> list[tuple[int, float, int, int]]:
     """``(item_id, score, start, end)`` for items in a text: the best alignment of each,
-    with byte offsets. Exact upper bounds spare most alignments."""
-    words, starts, ends = word_hashes(plain(text), powers)
+    with numbers of words. Exact upper bounds spare most alignments."""
+    words = word_hashes(plain(text), powers)[0]
     near: dict[int, list[int]] = {}
     for group in seeds:
         for place, which in zip(*seed_hits(words, group), strict=True):
@@ -141,7 +142,7 @@ def find_items(
                 begin = max(0, place - reach) if begin is None else begin
                 until = min(len(words) - 1, place + reach)
         if best[0] >= threshold * whole:
-            found.append((item.item_id, best[0] / whole, int(starts[best[1]]), int(ends[best[2]])))
+            found.append((item.item_id, best[0] / whole, best[1], best[2] + 1))
     return sorted(found)
 
 
@@ -195,9 +196,10 @@ def find_benchmark(
 ) -> DataFrame:
     """The columns in ``carry`` and ``hits``: the benchmark items in each document.
 
-    A hit has ``item_id``, ``score`` (1: every word of the item in order) and the byte
-    offsets ``start``, ``end`` of the aligned passage; hits are sorted by item and have
-    a score of ``threshold`` or more. One row for each row of ``docs``.
+    A hit has ``item_id``, ``score`` (1: every word of the item in order) and the place of
+    the aligned passage among the document's words, ``start`` to ``end``, exclusive; hits
+    are sorted by item and have a score of ``threshold`` or more. One row for each row of
+    ``docs``.
 
     Missing and empty texts have no hits, nor have items without words, and without items
     there are none at all. Equal items are found each on its own; equal rows get equal

@@ -2,7 +2,7 @@
 
 A text is a vector of hashed byte trigram counts, dampened and weighted by how few
 labelled texts have a trigram. The singular vectors of the labelled texts span the latent
-space. Every document is compared with every labelled vector, in blocks, by cosine; the
+space. A last term holds the share of words that only repeat the word before. Every document is compared with every labelled vector, in blocks, by cosine; the
 nearest ones vote with their similarity as weight.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.text import add_results, as_bytes
+from pagesift.llm.text import Powers, add_results, as_bytes, word_hashes
 
 #: At most so many labelled documents of each class are used, those with the smallest hash
 #: of their id, so that what is fitted on the driver and broadcast is bounded.
@@ -33,15 +33,17 @@ class Model(NamedTuple):
     labels: np.ndarray
 
 
-def trigram_counts(text: bytes) -> np.ndarray:
-    """Hashed counts of the byte trigrams of a whole text."""
-    counts = np.zeros(_BUCKETS, np.float32)
+def term_counts(text: bytes, powers: Powers) -> np.ndarray:
+    """Hashed counts of the byte trigrams of a whole text, and the share of repeating words."""
+    counts = np.zeros(_BUCKETS + 1, np.float32)
     letters = np.frombuffer(text, np.uint8)
     for start in range(0, max(0, len(letters) - 2), _PIECE):
         part = letters[start : start + _PIECE + 2].astype(np.uint32)
         codes = part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]
         hashed = codes * np.uint32(2654435761) >> np.uint32(21)
-        counts += np.bincount(hashed, minlength=_BUCKETS)
+        counts[:-1] += np.bincount(hashed, minlength=_BUCKETS)
+    words = word_hashes(text, powers)[0]
+    counts[-1] = (words[1:] == words[:-1]).mean() if len(words) > 1 else 0
     return counts
 
 
@@ -49,10 +51,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
+def _terms(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of weighted terms; the share counts as much as all trigrams together."""
+    return _unit(np.hstack([_unit(np.log1p(counts[:, :-1]) * idf), np.sqrt(counts[:, -1:])]))
+
+
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int) -> Model:
     """The latent space of labelled texts, and their places in it."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    weighed = _unit(np.log1p(counts) * idf)
+    idf = np.log((1 + len(counts)) / (1 + (counts[:, :-1] > 0).sum(axis=0))).astype(np.float32) + 1
+    weighed = _terms(counts, idf)
     values, vectors = np.linalg.eigh(weighed.T @ weighed)
     basis = vectors[:, np.argsort(-values)[:dimensions]].astype(np.float32)
     return Model(idf, basis, _unit(weighed @ basis), labels.astype(np.float32))
@@ -63,7 +70,7 @@ def vote(counts: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
     k = min(neighbours, len(model.labels))
     if not k:
         return np.full(len(counts), 0.5)
-    places = _unit(_unit(np.log1p(counts) * model.idf) @ model.basis)
+    places = _unit(_terms(counts, model.idf) @ model.basis)
     cosines = places @ model.vectors.T
     nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
     # The power makes near neighbours count more; nobody on the other side counts.
@@ -88,7 +95,8 @@ def labelled_sample(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 
 
 def _counts(column: pa.Array) -> list[pa.Array]:
-    return [pa.array([trigram_counts(text).tobytes() for text in as_bytes(column)], pa.binary())]
+    powers = Powers()
+    return [pa.array([term_counts(text, powers).tobytes() for text in as_bytes(column)], pa.binary())]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, dimensions: int = 64, per_class: int = PER_CLASS) -> Model:
@@ -97,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, dimensions: int = 64, per_cl
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
     rows = add_results(texts, ["doc_id", "label"], lambda: _counts, "counts binary").collect()
     rows.sort(key=lambda row: (row["doc_id"], row["label"], row["counts"]))
-    counts = np.frombuffer(b"".join(row["counts"] for row in rows), np.float32).reshape(-1, _BUCKETS)
+    counts = np.frombuffer(b"".join(row["counts"] for row in rows), np.float32).reshape(-1, _BUCKETS + 1)
     return fit(counts, np.array([row["label"] for row in rows]), dimensions)
 
 
@@ -120,10 +128,12 @@ def score_quality(
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, dimensions, per_class))
 
     def make() -> Callable:
+        powers = Powers()
+
         def per_batch(column: pa.Array) -> list[pa.Array]:
             texts, scores = list(as_bytes(column)), []
             for start in range(0, len(texts), _BLOCK):
-                counts = np.stack([trigram_counts(text) for text in texts[start : start + _BLOCK]])
+                counts = np.stack([term_counts(text, powers) for text in texts[start : start + _BLOCK]])
                 scores.append(vote(counts, model.value, neighbours))
             return [pa.array(np.concatenate(scores) if scores else [], pa.float64())]
 
