@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.decontaminate import find_benchmark
+from pagesift.llm.main_text import extract_main_text
 from pagesift.llm.mixing import mix_sources
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.pii import find_personal_data
 from pagesift.llm.quality import held_out, score_quality
+from pagesift.llm.simhash import search_every
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +135,13 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         for kind in ("email", "ip", "card", "phone")
     ]
     return found.select("doc_id", *count, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return search_every(table(spark, folder, "documents"))
