@@ -16,6 +16,7 @@ from pagesift.llm.mixing import mix_sources
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.pii import find_personal_data
 from pagesift.llm.quality import held_out, score_quality
+from pagesift.llm.repeats import remove_repeats
 from pagesift.llm.simhash import search_every
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +146,28 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return search_every(table(spark, folder, "documents"))
+
+
+@query(
+    "op8_super_k_mer_repeats",
+    f"""
+WITH
+  docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+  windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM docs WHERE len(w) >= 13),
+  firsts AS (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least
+    FROM windows),
+  covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM firsts WHERE least < doc_id),
+  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs),
+  stay AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept
+    FROM words ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN stay USING (doc_id)""",
+)
+def op8_super_k_mer_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
