@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.decontaminate import find_benchmark
+from pagesift.llm.likelihood import score_likelihood
 from pagesift.llm.main_text import extract_main_text
 from pagesift.llm.mixing import mix_sources
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.pii import find_personal_data
 from pagesift.llm.quality import held_out, score_quality
 from pagesift.llm.repeats import remove_repeats
+from pagesift.llm.revisits import captures_of, resolve_revisits
 from pagesift.llm.simhash import search_every
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,14 +155,13 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     f"""
 WITH
   docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs),
   windows AS (
-    SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM docs WHERE len(w) >= 13),
-  firsts AS (
-    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least
-    FROM windows),
+    SELECT doc_id, place AS i, string_agg(word, ' ') OVER w AS g, count(*) OVER w AS n FROM words
+    WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+  firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows WHERE n = 13),
   covered AS (
     SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM firsts WHERE least < doc_id),
-  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs),
   stay AS (
     SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept
     FROM words ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
@@ -171,3 +172,61 @@ FROM docs LEFT JOIN stay USING (doc_id)""",
 def op8_super_k_mer_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_masked_likelihood")
+def op4_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return score_likelihood(table(spark, folder, "documents"))
+
+
+@query(
+    "op5_revisits",
+    r"""
+WITH
+  hashed AS (SELECT page_id, url, md5(html) AS h, 1700000000 + page_id * 7919 % 2592000 AS t, strlen(html) AS size FROM pages),
+  captures AS (
+    SELECT page_id * 4 AS record_id, url, t AS captured, 'response' AS kind,
+           '"' || h || '"' AS etag, t::VARCHAR AS modified, 'max-age=60' AS cache, size FROM hashed
+    UNION ALL SELECT page_id * 4 + 1, regexp_replace(url, '^http', 'HTTP'), t + 3600, 'revisit',
+           'W/"' || h || '"', NULL, 'max-age=600', 0 FROM hashed
+    UNION ALL SELECT page_id * 4 + 2, url || '#again', t + 7200, 'revisit', '"x' || h || '"', NULL, 'max-age=600', 0 FROM hashed
+    UNION ALL SELECT page_id * 4 + 3, url, t - 100, 'revisit', NULL, t::VARCHAR, 'max-age=600', 0 FROM hashed),
+  parts AS (
+    SELECT *, regexp_extract(regexp_replace(url, '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)(/[^?]*)?(?:\?(.*))?$',
+                             ['host', 'path', 'search'], 's') AS p
+    FROM captures),
+  keyed AS (
+    SELECT *, regexp_replace(regexp_replace(lower(p.host), ':(80|443)$', ''), '^www\.', '')
+              || regexp_replace(p.path, '/+$', '')
+              || CASE WHEN p.search = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(p.search, '&')), '&') END AS key
+    FROM parts),
+  nearest AS (
+    SELECT r.*, f.record_id AS response_id, f.etag AS old_etag, f.modified AS old_modified,
+           f.cache AS old_cache, f.size AS old_size, f.captured AS old_captured
+    FROM (SELECT * FROM keyed WHERE kind = 'revisit') r
+    LEFT JOIN (SELECT * FROM keyed WHERE kind = 'response') f ON f.key = r.key AND f.captured < r.captured
+    QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.captured DESC NULLS LAST, f.record_id DESC) = 1),
+  judged AS (
+    SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
+        WHEN etag IS NOT NULL THEN
+          CASE WHEN regexp_replace(etag, '^W/', '') = old_etag THEN 'resolved' ELSE 'mismatch' END
+        WHEN modified = old_modified THEN 'resolved' ELSE 'mismatch' END AS status
+    FROM nearest)
+SELECT record_id, key AS canonical_url, captured, status, response_id,
+       CASE WHEN status = 'resolved' THEN
+         'cache-control: ' || cache || chr(10) || 'content-length: ' || old_size || chr(10)
+         || 'content-type: text/html' || chr(10) || 'etag: ' || coalesce(etag, old_etag) || chr(10)
+         || 'last-modified: ' || coalesce(modified, old_modified) END AS headers
+FROM judged""",
+)
+def op5_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    resolved = resolve_revisits(captures_of(table(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return resolved.select(
+        "record_id",
+        "canonical_url",
+        "captured",
+        "status",
+        "response_id",
+        F.array_join(lines, "\n").alias("headers"),
+    )
