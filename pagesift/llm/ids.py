@@ -1,0 +1,16 @@
+"""Documents chosen by a list of ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Up to so many ids are broadcast; more of them take part in a join on both sides.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join on ``doc_id``. A count decides whether the ids are broadcast, so that
+    texts are not shuffled for the sake of a short list."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.graph import components
+from pagesift.llm.ids import by_ids
 from pagesift.llm.text import Powers, as_bytes, shingles, word_hashes
 from pagesift.plans.scratch import written
 
@@ -163,8 +164,9 @@ def near_duplicates(
 
 def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """``node, members``: the shingle sets of all nodes in ``pairs``."""
-    wanted = pairs.select("node").union(pairs.select("other")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"])
+    wanted = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("other")).distinct()
+    texts = by_ids(docs, written(wanted, "wanted"), "left_semi")
+    texts = texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
     return texts.mapInArrow(partial(_sets, shingle=shingle), "node bigint, members array<bigint>")
 
 

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.llm.ids import by_ids
 from pagesift.llm.text import Powers, as_bytes, mix, shingles, word_hashes
 from pagesift.plans.scratch import written
 
@@ -33,8 +34,6 @@ LONGEST = 64
 #: One in so many documents tells which buckets are hot.
 SAMPLED = 64
 _LEAST = 32
-#: Up to so many ids are broadcast; a join takes more of them.
-BROADCAST_IDS = 1_000_000
 # Rows put into one Arrow batch.
 _ROWS = 50_000
 # In front of what is no packed string but the hash of a window that is known to repeat.
@@ -204,12 +203,6 @@ def _hot_buckets(docs: DataFrame, window: int, run: int) -> list[int]:
     return [row["bucket"] for row in often.collect()]
 
 
-def _ids_join(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """A semi or anti join on ``doc_id``, by broadcast if a count shows that the ids are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
-
-
 def repeated_windows(
     docs: DataFrame, window: int = 13, run: int = 2, held: int = HELD, hot: list[int] | None = None
 ) -> DataFrame:
@@ -264,7 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, run: int = 2, held: int =
     # An id with several texts is no copy as a whole.
     several = hashed.groupBy("doc_id").agg(F.count_distinct("h").alias("n")).filter("n > 1")
     copies = written(copies.join(several, "doc_id", "left_anti"), "copies")
-    found = written(repeated_windows(_ids_join(docs, copies, "left_anti"), window, run, held), "repeats")
+    found = written(repeated_windows(by_ids(docs, copies, "left_anti"), window, run, held), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +277,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, run: int = 2, held: int =
 
     runs = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "check")).alias("runs"))
     ids = found.select("doc_id").distinct()
-    touched = _ids_join(docs, ids, "left_semi").join(runs, "doc_id")
+    touched = by_ids(docs, ids, "left_semi").join(runs, "doc_id")
     touched = touched.select("doc_id", "text", "runs", F.lit(False).alias("copy"))
     none = F.lit(None).cast(runs.schema["runs"].dataType)
-    copied = _ids_join(docs, copies, "left_semi").select("doc_id", "text", none.alias("runs"), F.lit(True).alias("copy"))
-    rest = _ids_join(_ids_join(docs, copies, "left_anti"), ids, "left_anti")
+    copied = by_ids(docs, copies, "left_semi").select("doc_id", "text", none.alias("runs"), F.lit(True).alias("copy"))
+    rest = by_ids(by_ids(docs, copies, "left_anti"), ids, "left_anti")
     rest = rest.select("doc_id", "text", none.alias("runs"), F.lit(False).alias("copy"))
     everything = touched.union(copied).union(rest)
     return everything.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
