@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.graph import components
 from pagesift.llm.ids import by_ids
-from pagesift.llm.text import Powers, as_bytes, shingles, word_hashes
+from pagesift.llm.text import Powers, as_bytes, in_slices, shingles, word_hashes
 from pagesift.plans.scratch import written
 
 _CHUNK = 4096
@@ -57,7 +57,7 @@ def _signatures(
     batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int
 ) -> Iterator[pa.RecordBatch]:
     powers, (factors, summands) = Powers(), permutations((bands * rows + 1) // 2)
-    for batch in batches:
+    for batch in in_slices(batches):
         sizes, digests, keys = [], [], []
         for text in as_bytes(batch.column(1)):
             values = shingle_set(text, shingle, powers)
@@ -86,7 +86,7 @@ def _signatures(
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingle_set(text, shingle, powers).view(np.int64) for text in as_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"]

@@ -22,7 +22,7 @@ from pagesift.llm.text import Powers, add_results, as_bytes, word_hashes
 #: of their id, so that what is fitted on the driver and broadcast is bounded.
 PER_CLASS = 2000
 _BUCKETS = 2048
-_BLOCK = 512
+_BLOCK = 128
 _PIECE = 1 << 20
 
 

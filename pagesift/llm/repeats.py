@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.llm.ids import by_ids
-from pagesift.llm.text import Powers, as_bytes, mix, shingles, word_hashes
+from pagesift.llm.text import Powers, as_bytes, in_slices, mix, shingles, word_hashes
 from pagesift.plans.scratch import written
 
 #: Windows of one bucket that a task holds; what comes after is settled by a join.
@@ -86,7 +86,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int, hot: list[in
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
     out: tuple[list, ...] = ([], [], [], [])
 
-    for batch in batches:
+    for batch in in_slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
             if doc_id is None:
                 continue
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, run: int = 2, held: int =
     found = written(repeated_windows(by_ids(docs, copies, "left_anti"), window, run, held), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, runs = as_bytes(batch.column(1)), batch.column(2).to_pylist()
             copies = batch.column(3).to_pylist()
             rows = []

@@ -20,6 +20,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Words are hashed as polynomials in an odd 64-bit base, whose inverse is needed as well.
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 19
+# Rows of a slice.
+_ROWS = 512
 
 
 class Powers:
@@ -96,21 +98,32 @@ def as_strings(column: pa.Array) -> Iterator[str]:
     return (value or "" for value in column.to_pylist())
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds little more than what Spark sends at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(start, _ROWS)
+
+
 def add_results(
     docs: DataFrame, carry: Sequence[str], make: Callable[[], Callable], results: str, text: str = "text"
 ) -> DataFrame:
     """The columns ``carry`` of every row and those named in ``results`` (DDL).
 
-    ``make()`` runs once per task and returns a function from the column of texts of a
-    batch to a list with one Arrow array per result. Nothing is shuffled.
+    ``make()`` runs once per task and returns a function from the column of some texts to a
+    list with one Arrow array per result. Nothing is shuffled.
     """
-    rows = docs.select(F.col(text).alias("__text"), *carry)
-    schema = T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(results).fields])
+    rest = [name for name in carry if name != text]
+    rows = docs.select(text, *rest)
+    kept = rows.schema.fields if text in carry else rows.schema.fields[1:]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(results).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_batch = make()
-        for batch in batches:
-            arrays = [*batch.columns[1:], *per_batch(batch.column(0))]
+        for batch in in_slices(batches):
+            columns = batch.columns if len(kept) > len(rest) else batch.columns[1:]
+            arrays = [*columns, *per_batch(batch.column(0))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    added = T.StructType.fromDDL(results).names
+    return rows.mapInArrow(run, schema).select(*carry, *added)
