@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.text import Powers, mix, shingles, word_hashes
@@ -156,9 +156,11 @@ def _tables(batches: Iterator[pa.RecordBatch], radius: int, keys: int) -> Iterat
             ]
             for n in range(len(prints))
         ]
-        words = pa.array(list(raw.view(np.int64)), pa.list_(pa.int64()))
+        words = raw.view(">i8").astype(np.int64)
+        columns = [pa.array(words[:, k]) for k in range(words.shape[1])]
+        names = [f"w{k}" for k in range(len(columns))]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, words, pa.array(found, pa.list_(pa.int64()))], names=["fingerprint", "n", "words", "keys"]
+            [batch.column(1), *columns, pa.array(found, pa.list_(pa.int64()))], names=["n", *names, "keys"]
         )
 
 
@@ -170,20 +172,21 @@ def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = 7, ke
     Equal fingerprints are one from the start, so copies cost nothing. Missing ones are
     ignored. A pair is found in every table in which it agrees, and listed once.
     """
-    ddl = "fingerprint string, n bigint, words array<bigint>, keys array<bigint>"
+    words = [f"w{k}" for k in range(BITS // 64)]
+    ddl = f"n bigint, {', '.join(f'{w} bigint' for w in words)}, keys array<bigint>"
 
     def tables(df: DataFrame) -> DataFrame:
         counted = df.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
         keyed = counted.mapInArrow(partial(_tables, radius=radius, keys=keys), ddl)
-        return keyed.select("fingerprint", "n", "words", F.explode("keys").alias("key"))
+        return keyed.select("n", *words, F.explode("keys").alias("key"))
 
-    asked, there = tables(queries).alias("q"), tables(prints).alias("p")
-    differing = sum(
-        (F.bit_count(F.expr(f"q.words[{k}] ^ p.words[{k}]")) for k in range(1, BITS // 64)),
-        F.bit_count(F.expr("q.words[0] ^ p.words[0]")),
-    )
+    def hexed(side: str) -> Column:
+        return F.concat(*[F.lower(F.lpad(F.hex(f"{side}.{w}"), 16, "0")) for w in words])
+
+    asked, there = tables(queries).drop("n").alias("q"), tables(prints).alias("p")
+    differing = F.expr(" + ".join(f"bit_count(q.{w} ^ p.{w})" for w in words))
     met = asked.join(there, (F.expr("q.key = p.key")) & (differing <= radius))
-    return met.select("q.fingerprint", F.col("p.fingerprint").alias("other"), "p.n").distinct()
+    return met.select(hexed("q").alias("fingerprint"), hexed("p").alias("other"), "p.n").distinct()
 
 
 def search_every(docs: DataFrame, step: int = 20, radius: int = 7, keys: int = 1) -> DataFrame:
