@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagesift.functions.text import bool_cell, first_filled, md_cell
 from pagesift.schema import FORMATS, check_choice
@@ -47,6 +48,7 @@ FLAT_FIELDS = (
     "table_index", "caption", "has_header", "rows", "name", "property", "content",
     "http_equiv", "charset",
 )
+_SECTION_ROWS = "array<struct<section: string, value: string>>"
 _TYPED = {"table_index": "int", "index": "int", "has_header": "bool", "rows": "json"}
 
 
@@ -129,17 +131,37 @@ def _txt_section(name: str, kind: str, value: Column) -> Column:
     return F.concat(heading, body, _lines(""))
 
 
-def _record_lines(source: Column | None, mode: str, section) -> Column:
-    """The lines of all sections; a section that is NULL was not asked for and is left out."""
-    parts = []
-    for name, kind in SECTIONS[mode]:
-        value = F.col(name) if source is None else source[name]
-        parts.append(F.when(value.isNotNull(), section(name, kind, value)).otherwise(_none()))
-    return F.concat(*parts)
+def _sections(extracted: DataFrame, mode: str) -> list[tuple[str, str, Column]]:
+    """Name, kind and value of every section; one that is NULL was not asked for.
+
+    An ``essential`` page has a digest or a video record; the sections of the other are NULL.
+    """
+    if mode != "essential":
+        return [(name, kind, F.col(name)) for name, kind in SECTIONS[mode]]
+    digest = [(name, kind, F.col("digest")[name]) for name, kind in SECTIONS[mode]]
+    return digest + [
+        (field.name, "value", F.when(F.col("video").isNotNull(), _video_cell(field)))
+        for field in extracted.schema["video"].dataType.fields
+    ]
 
 
-def _record(mode: str) -> Column | None:
-    return F.col("digest") if mode == "essential" else None
+def _video_cell(field: T.StructField) -> Column:
+    value = F.col("video")[field.name]
+    if isinstance(field.dataType, T.BooleanType):
+        value = bool_cell(value)
+    elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
+        value = F.to_json(value)
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _record_lines(extracted: DataFrame, mode: str, section) -> Column:
+    """The lines of all sections that were asked for."""
+    return F.concat(
+        *[
+            F.when(value.isNotNull(), section(name, kind, value)).otherwise(_none())
+            for name, kind, value in _sections(extracted, mode)
+        ]
+    )
 
 
 def page_txt(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
@@ -148,7 +170,7 @@ def page_txt(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
         F.concat(F.lit("# Scraped: "), "url"), f"# Mode: {mode}", F.concat(F.lit("# At: "), _at(at)), ""
     )
     if mode in SECTIONS:
-        lines = _record_lines(_record(mode), mode, _txt_section)
+        lines = _record_lines(extracted, mode, _txt_section)
     else:
         lines = F.transform(
             "items",
@@ -170,7 +192,7 @@ def page_md(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
         "",
     )
     if mode in SECTIONS:
-        lines = _record_lines(_record(mode), mode, lambda n, k, v: _md_section(n, k, v, mode))
+        lines = _record_lines(extracted, mode, lambda n, k, v: _md_section(n, k, v, mode))
     else:
         lines = F.when(F.size("items") > 0, _md_table(F.col("items"), mode)).otherwise(
             _lines("_No items found._")
@@ -223,20 +245,31 @@ def flatten_sections(records: DataFrame) -> DataFrame:
 
 
 def page_csv_rows(extracted: DataFrame, mode: str) -> DataFrame:
-    """The rows of a CSV export: stacked sections, or the items with every field as text."""
+    """The rows of a CSV export: stacked sections, one row per section and value of a digest or
+    video record, or the items with every field as text."""
     if mode == "all":
         return flatten_sections(extracted)
     if mode == "essential":
-        digest = F.col("digest")
-        return extracted.filter("digest is not null").select(
-            "page_id", *[digest[n].alias(n) for n, _ in SECTIONS[mode][:-1]],
-            F.to_json(digest["pdf_links"]).alias("pdf_links"),
-        )
+        return _section_rows(extracted, mode)
     items = extracted.select("page_id", F.posexplode_outer("items").alias("pos", "item"))
     cells = [scalar_cell(F.col("item"), f).alias(f) for f in FIELDS[mode]]
     return items.filter("pos is not null").select("page_id", "pos", *cells)
 
 
+def _section_rows(extracted: DataFrame, mode: str) -> DataFrame:
+    """page_id, pos, section, value: a row for each value of each section of a record."""
+
+    def cells(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("section"), v.alias("value")))
+
+    parts = []
+    for name, kind, value in _sections(extracted, mode):
+        values = value if kind == "values" else F.array(value.cast("string"))
+        parts.append(F.when(value.isNotNull(), cells(name, values)).otherwise(F.array().cast(_SECTION_ROWS)))
+    rows = extracted.select("page_id", F.posexplode(F.concat(*parts)).alias("pos", "row"))
+    return rows.select("page_id", "pos", "row.section", "row.value")
+
+
 def render_pages(extracted: DataFrame, mode: str, fmt: str, at: str | Column) -> DataFrame:
     """Bodies (json, txt, md) or rows (csv) in a format by name."""
     check_choice("format", fmt, FORMATS)

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagesift.functions.text import strip
 from pagesift.schema import DEFAULT_PROMPT, NO_TEXT_NOTICE, PROMPT_CHARS, PROMPT_JOINT
@@ -50,9 +48,14 @@ def summarise(
     if fn is None:
         notice = F.when(blank, NO_TEXT_NOTICE).otherwise(NO_FUNCTION_NOTICE)
         return df.withColumn("summary", notice)
-    prompts = df.withColumn("summary", F.when(~blank, summary_prompt(F.col(text), instruction)))
-    schema = T.StructType([*df.schema.fields, T.StructField("summary", T.StringType())])
-    return prompts.mapInPandas(partial(_answer, fn=fn), schema)
+    prompt = F.when(~blank, summary_prompt(F.col(text), instruction))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _answer(batches, fn)
+
+    # Asked once per row, and with the prompt alone: the other columns stay in the JVM.
+    ask = F.pandas_udf(answer, "summary string").asNondeterministic()
+    return df.withColumn("summary", ask(F.struct(prompt.alias("summary")))["summary"])
 
 
 def _answer(batches: Iterator[pd.DataFrame], fn: Callable[[str], str]) -> Iterator[pd.DataFrame]:

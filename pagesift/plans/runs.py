@@ -127,7 +127,9 @@ def run_outputs(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Colu
         "error",
     )
     targets = landed_urls(docs).select(F.col("url").alias("target"))
-    done = pdf_worklist(requests, pages).join(targets, "target", "left_semi")
+    # A document that cannot be exported leaves no output.
+    work = pdf_worklist(requests, pages).filter(F.col("pdf_format").isin(*FORMATS))
+    done = work.join(targets, "target", "left_semi")
     stem = file_stem(url_filename(F.col("target")))
     pdfs = done.select(
         "request_id",

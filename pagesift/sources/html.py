@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from html import unescape
 
@@ -194,6 +194,7 @@ def _add_page(
     """Append the nodes of one page, repairing the tree where tags are missing."""
     start = len(out.tag)
     stack = [_Open("", -1, -1, False)]
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each name
     pending: list[str] = []
 
     def flush() -> None:
@@ -212,18 +213,17 @@ def _add_page(
         end = len(out.tag) - 1 - start
         while len(stack) > depth:
             gone = stack.pop()
+            opened[gone.name].pop()
             if gone.row >= 0:
                 out.last[gone.row] = end
 
-    def find_open(names: Container[str], walls: Container[str]) -> int:
+    def nearest(names: Iterable[str]) -> int:
+        return max((opened[name][-1] for name in names if opened.get(name)), default=0)
+
+    def find_open(names: Iterable[str], walls: Iterable[str]) -> int:
         """Depth of the nearest open element with one of the names, 0 if none is in reach."""
-        for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth].name
-            if name in names:
-                return depth
-            if name in walls:
-                return 0
-        return 0
+        depth = nearest(names)
+        return depth if depth and depth >= nearest(walls) else 0
 
     def open_element(name: str, source: str) -> None:
         if name in _ENDS_PARAGRAPH and (depth := find_open(_PARAGRAPH, _CELL_WALL)):
@@ -247,6 +247,7 @@ def _add_page(
                 out.attr_values.extend(seen.values())
                 out.attr_ends[-1] = len(out.attr_keys)
         if name not in _VOID:
+            opened.setdefault(name, []).append(len(stack))
             stack.append(element)
 
     at = 0

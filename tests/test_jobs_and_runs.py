@@ -225,3 +225,44 @@ def test_page_feed_equals_batch(spark, tmp_path, world, mode):
     batch = extract(pages, mode)
     batch = batch if mode in ("all", "essential") else explode_items(batch)
     assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_hot_keys_of_any_number_join_as_in_a_plain_join(spark):
+    from pagesift.plans.skew import split_hot_keys_join
+
+    big = spark.range(9000).selectExpr("id", "if(id % 10 = 0, null, id % 3000) as key")
+    small = spark.range(100, 4000).selectExpr("id as key", "id * 2 as twice")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        split = split_hot_keys_join(big, small, "key", how, splits=3, hot_rows=2)
+        plain = big.join(small, "key", how)
+        assert sorted(map(repr, split.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_video_records_are_in_every_export(spark):
+    from pagesift.operators.render import page_csv_rows, page_md, page_txt
+
+    schema = (
+        "page_id bigint, url string, digest struct<url: string, title: string, description: string, "
+        "main_text: string, pdf_links: array<string>>, video struct<video_id: string, view_count: bigint, is_live: boolean>"
+    )
+    rows = [
+        (1, "u1", ("u1", "Title", "Text", "Main", ["a.pdf", "b.pdf"]), None),
+        (2, "u2", None, ("v1", 7, True)),
+    ]
+    both = spark.createDataFrame(rows, schema)
+    cells = {(r.page_id, r.pos, r.section, r.value) for r in page_csv_rows(both, "essential").collect()}
+    assert cells == {
+        (1, 0, "url", "u1"),
+        (1, 1, "title", "Title"),
+        (1, 2, "description", "Text"),
+        (1, 3, "main_text", "Main"),
+        (1, 4, "pdf_links", "a.pdf"),
+        (1, 5, "pdf_links", "b.pdf"),
+        (2, 0, "video_id", "v1"),
+        (2, 1, "view_count", "7"),
+        (2, 2, "is_live", "True"),
+    }
+    txt = {r.page_id: r.body for r in page_txt(both, "essential", "now").collect()}
+    assert "--- VIEW_COUNT ---\n  7\n" in txt[2] and "VIDEO_ID" not in txt[1] and "PDF_LINKS" not in txt[2]
+    md = {r.page_id: r.body for r in page_md(both, "essential", "now").collect()}
+    assert "## Is Live\nTrue\n" in md[2] and "## Pdf Links\n- a.pdf\n- b.pdf" in md[1]

@@ -171,3 +171,19 @@ def test_large_batches_are_cut(spark):
     df = spark.createDataFrame([(n, "u", html) for n in range(6)], "page_id bigint, url string, html string")
     sizes = page_nodes(df.coalesce(1)).selectExpr("page_id", "size(nodes) as n").collect()
     assert sorted((r.page_id, r.n) for r in sizes) == [(n, 60_000) for n in range(6)]
+
+
+def test_deep_and_unmatched_tags_take_linear_time(spark):
+    import time
+
+    from pagesift.sources.html import page_nodes
+
+    def seconds(html):
+        df = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+        start = time.perf_counter()
+        page_nodes(df).selectExpr("size(nodes)").collect()
+        return time.perf_counter() - start
+
+    for shape in (lambda n: "<b><div>x" * n, lambda n: "<b>" * n + "</i>" * n):
+        seconds(shape(100))
+        assert seconds(shape(40_000)) < 3 * seconds(shape(20_000)) + 1
