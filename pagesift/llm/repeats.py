@@ -3,7 +3,8 @@
 A window is ``window`` consecutive words. Its minimiser is the smallest hash among its runs
 of ``run`` words; consecutive windows with one minimiser travel together as one packed
 string, to the bucket of the minimiser, so equal windows meet. There the strings are
-sorted by document, so the first document that has a window is the smallest one.
+sorted by document, so the first document that has a window is the smallest one. Strings
+travel compressed with one dictionary, trained on some of them; that changes their size only.
 
 Buckets that many documents share are found from a sample of documents, and only spread
 the work: their windows travel one by one, each to a bucket of its own, and only once per
@@ -19,6 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,14 @@ LONGEST = 64
 #: One in so many documents tells which buckets are hot.
 SAMPLED = 64
 _LEAST = 32
+#: Packed strings that the dictionary is trained on, as many of one document, and its bytes.
+TAUGHT = 20_000
+_TAUGHT_EACH = 64
+_DICTIONARY = 32 << 10
 # Rows put into one Arrow batch.
 _ROWS = 50_000
 # In front of what is no packed string but the hash of a window that is known to repeat.
+# No compressed string starts with it: it has a bit set that frames must not use.
 _KNOWN = b"\n"
 
 
@@ -80,8 +87,29 @@ def _batch(columns: tuple, kinds: tuple, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[part.split()[0] for part in names.split(", ")])
 
 
-def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int, hot: list[int]) -> Iterator[pa.RecordBatch]:
+class _Coder:
+    """Short strings to and from frames without magic number, checksum and dictionary id."""
+
+    def __init__(self, taught: bytes | None) -> None:
+        learnt = zstandard.ZstdCompressionDict(taught) if taught else None
+        form = zstandard.FORMAT_ZSTD1_MAGICLESS
+        params = zstandard.ZstdCompressionParameters.from_level(
+            3, format=form, write_content_size=True, write_checksum=False, write_dict_id=False
+        )
+        if learnt:
+            learnt.precompute_compress(compression_params=params)
+        self.code = zstandard.ZstdCompressor(dict_data=learnt, compression_params=params).compress
+        self._decode = zstandard.ZstdDecompressor(dict_data=learnt, format=form).decompress
+
+    def decode(self, packed: bytes) -> bytes:
+        return packed if packed[:1] == _KNOWN else self._decode(packed)
+
+
+def _pack(
+    batches: Iterator[pa.RecordBatch], window: int, run: int, hot: list[int], taught: bytes | None
+) -> Iterator[pa.RecordBatch]:
     """Packed strings, and windows of hot buckets one by one."""
+    code = _Coder(taught).code
     powers, seen, hot = Powers(), {}, np.array(hot, np.int32)
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
     out: tuple[list, ...] = ([], [], [], [])
@@ -103,7 +131,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int, hot: list[in
                         else:
                             if len(seen) >= REMEMBERED:
                                 seen.clear()
-                            seen[one], packed = doc_id, one
+                            seen[one], packed = doc_id, code(one)
                         bucket = int.from_bytes(digest[:4], "big", signed=True)
                         for column, value in zip(out, (bucket, doc_id, k, packed), strict=True):
                             column.append(value)
@@ -112,7 +140,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int, hot: list[in
             out[1].extend([doc_id] * len(buckets))
             out[2].extend(firsts.tolist())
             bounds = zip(starts[firsts].tolist(), ends[firsts + counts + window - 2].tolist(), strict=True)
-            out[3].extend([words[a:b] for a, b in bounds])
+            out[3].extend([code(words[a:b]) for a, b in bounds])
             if len(out[0]) >= _ROWS:
                 yield _batch(out, kinds, _TRAVELS)
                 out = ([], [], [], [])
@@ -137,9 +165,11 @@ def _windows(packed: pa.Array, window: int) -> tuple[bytes, list, list, list]:
     return text, begins[word].tolist(), ends[word + window - 1].tolist(), bounds.tolist()
 
 
-def _first_seen(batches: Iterator[pa.RecordBatch], window: int, held: int) -> Iterator[pa.RecordBatch]:
+def _first_seen(
+    batches: Iterator[pa.RecordBatch], window: int, held: int, taught: bytes | None
+) -> Iterator[pa.RecordBatch]:
     """Windows that repeat, and windows to settle elsewhere (with their words), of sorted buckets."""
-    current, first = None, {}
+    current, first, decode = None, {}, _Coder(taught).decode
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
@@ -148,8 +178,9 @@ def _first_seen(batches: Iterator[pa.RecordBatch], window: int, held: int) -> It
             for column, value in zip(out, values, strict=True):
                 column.append(value)
 
-        text, begins, ends, bounds = _windows(batch.column(3), window)
-        offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :].tolist()
+        packed = pa.array([decode(one) for one in batch.column(3).to_pylist()], pa.binary())
+        text, begins, ends, bounds = _windows(packed, window)
+        offsets = np.frombuffer(packed.buffers()[1], np.int32).tolist()
         for row, (bucket, doc_id, start) in enumerate(
             zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
         ):
@@ -203,6 +234,31 @@ def _hot_buckets(docs: DataFrame, window: int, run: int) -> list[int]:
     return [row["bucket"] for row in often.collect()]
 
 
+def _taught(docs: DataFrame, window: int, run: int) -> bytes | None:
+    """A dictionary from at most ``TAUGHT`` packed strings of sampled documents; none where
+    they are too few to train one."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                words, starts, ends, _, firsts, counts = super_k_mers(text, window, run, powers)
+                picked = slice(None, None, -(-len(firsts) // _TAUGHT_EACH) or 1)
+                firsts, lasts = firsts[picked], (firsts + counts + window - 2)[picked]
+                bounds = zip(starts[firsts].tolist(), ends[lasts].tolist(), strict=True)
+                shown = pa.array([words[a:b] for a, b in bounds], pa.binary())
+                yield pa.RecordBatch.from_arrays([shown], names=["packed"])
+
+    sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 1)
+    strings = sampled.select("text").mapInArrow(some, "packed binary").limit(TAUGHT)
+    try:
+        return zstandard.train_dictionary(
+            _DICTIONARY, [bytes(row["packed"]) for row in strings.collect()], level=3
+        ).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
 def repeated_windows(
     docs: DataFrame, window: int = 13, run: int = 2, held: int = HELD, hot: list[int] | None = None
 ) -> DataFrame:
@@ -213,9 +269,10 @@ def repeated_windows(
     """
     docs = docs.select("doc_id", "text")
     hot = _hot_buckets(docs, window, run) if hot is None else hot
-    packed = docs.mapInArrow(partial(_pack, window=window, run=run, hot=hot), _TRAVELS)
+    taught = _taught(docs, window, run)
+    packed = docs.mapInArrow(partial(_pack, window=window, run=run, hot=hot, taught=taught), _TRAVELS)
     ordered = packed.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    found = ordered.mapInArrow(partial(_first_seen, window=window, held=held), _FOUND)
+    found = ordered.mapInArrow(partial(_first_seen, window=window, held=held, taught=taught), _FOUND)
     found = written(found, "repeats")
     late = found.filter("words is not null")
     least = late.groupBy("words").agg(F.min("doc_id").alias("least"))
