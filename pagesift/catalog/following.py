@@ -71,10 +71,10 @@ REQUESTS = f"""{PDF_LINKS}, requests AS (
   SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY l.pos) - 1)::INTEGER, href, 'followed'
   FROM requests JOIN follow_links l ON l.page_id = request_id
   WHERE follow AND mode IN ('all', 'links') AND p_size NOT IN (20, 21, 22)), outputs AS (
-  SELECT request_id, -1 AS seq, 'scrape' AS type, 'scraped_' || mode || '_{STAMP}.json' AS file, url AS source
+  SELECT request_id, -1 AS seq, 'scrape' AS type, request_id || '/scraped_' || mode || '_{STAMP}.json' AS file, url AS source
   FROM requests WHERE mode <> 'custom' AND p_size NOT IN (20, 21, 22)
   UNION ALL
-  SELECT request_id, pos, 'pdf', 'pdf/' || regexp_extract(target, '([0-9]+)[.](?:pdf|PDF)', 1) || '_all_{STAMP}.md', target
+  SELECT request_id, pos, 'pdf', request_id || '/pdf/' || pos || '_' || regexp_extract(target, '([0-9]+)[.](?:pdf|PDF)', 1) || '_all_{STAMP}.md', target
   FROM work WHERE target IN (SELECT href FROM landed)), failed AS (
   SELECT request_id, CASE WHEN mode = 'custom' THEN 'scrape: CSS selector required for mode=''custom'''
                           ELSE 'scrape: page not found' END AS error
@@ -146,13 +146,15 @@ def stream_doc_text(spark, folder):
 def stream_manifest(spark, folder):
     out, checkpoint = _places(spark, "manifest")
     feed = _landed_feed(spark, folder, "requests-in", derived.run_requests_table(spark, folder))
+    pages = derived.pdf_link_pages(spark, folder)
     feeds.stream_runs(
         feed,
-        derived.pdf_link_pages(spark, folder),
+        pages,
         derived.linked_documents(spark, folder),
         _at(),
         out,
         checkpoint,
+        links=written(runs.page_pdf_links(pages), "page-links"),
     ).awaitTermination()
     return _flat_manifest(spark.read.parquet(out))
 

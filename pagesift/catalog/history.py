@@ -31,7 +31,7 @@ def _upserted(spark, folder):
 
 UPSERTED = f"""{LATEST}, firsts AS (SELECT user_id AS job_id, min(ts) AS ts FROM events GROUP BY user_id),
 old AS (SELECT c_custkey AS job_id, c_name FROM customer), upserted AS (
-  SELECT coalesce(event_id, old.job_id) AS id, coalesce(latest.job_id, old.job_id) AS job_id,
+  SELECT coalesce(event_id + (SELECT max(c_custkey) FROM customer), old.job_id) AS id, coalesce(latest.job_id, old.job_id) AS job_id,
          CASE WHEN event_id IS NULL THEN 'scrape' ELSE 'pdf' END AS job_type,
          coalesce(event_type, 'PENDING') AS status,
          coalesce(props, '{{"url":"' || c_name || '"}}') AS request_json,
@@ -67,7 +67,7 @@ def jobs_update(spark, folder):
 @query(
     "recent_jobs",
     f"""WITH {UPSERTED} SELECT id, job_id, status, (request_json->>'$.k')::INTEGER AS k, created_at
-    FROM upserted ORDER BY id DESC LIMIT 50""",
+    FROM upserted ORDER BY id DESC, job_id LIMIT 50""",
 )
 def recent_jobs(spark, folder):
     """The limit is the feature: the newest 50 jobs of the whole table."""

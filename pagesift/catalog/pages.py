@@ -214,6 +214,23 @@ def select_positions(spark, folder):
     return hits.select("page_id", "index", "tag", "content")
 
 
+def _later_items(which: str) -> str:
+    return f"""WITH {LINKS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INTEGER AS index,
+    'li' AS tag, text AS content FROM resolved WHERE {which}"""
+
+
+@query("select_siblings", _later_items("pos >= 2"))
+def select_siblings(spark, folder):
+    hits = X.select(given_pages(spark, folder), "li + li ~ li, li ~ li + li")
+    return hits.select("page_id", "index", "tag", "content")
+
+
+@query("select_not", _later_items("pos >= 1"))
+def select_not(spark, folder):
+    hits = X.select(given_pages(spark, folder), "nav li:not(:first-child)")
+    return hits.select("page_id", "index", "tag", "content")
+
+
 @query(
     "page_record_counts",
     f"""WITH {BLOCKS}, l AS (SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n_links FROM plain)

@@ -11,7 +11,7 @@ from pagesift.functions import text as T
 from pagesift.functions import urls as U
 from pagesift.operators.grids import drop_blank_rows
 from pagesift.sources import pdf
-from pagesift.sources.requests import job_requests
+from pagesift.sources.requests import job_requests, rejected_requests
 
 
 def _variants(df, key: str, cases: dict[str, object]):
@@ -309,3 +309,23 @@ def run_requests_defaults(spark, folder):
     )
     rows = table(spark, folder, "events").select("event_id", F.to_json(fields).alias("payload"))
     return job_requests(rows, "run")
+
+
+@query(
+    "job_requests_rejected",
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'payload: not a JSON object'
+      WHEN 'click' THEN 'url: missing'
+      ELSE 'follow_pdfs: not a boolean; delay: not a double' END AS reasons
+    FROM events WHERE event_type IN ('error', 'click', 'view')""",
+)
+def job_requests_rejected(spark, folder):
+    kind = F.col("event_type")
+    url = F.concat(F.lit("https://a.example.com/"), F.col("user_id").cast("string"))
+    fields = F.struct(
+        F.when(kind != "click", url).alias("url"),
+        F.when(kind == "view", "maybe").otherwise("yes").alias("follow_pdfs"),
+        F.when(kind == "view", "soon").otherwise(F.col("value").cast("string")).alias("delay"),
+    )
+    payload = F.when(kind == "error", "{not json").otherwise(F.to_json(fields))
+    rows = table(spark, folder, "events").select("event_id", payload.alias("payload"))
+    return rejected_requests(rows, "run").select("event_id", F.array_join("reasons", "; ").alias("reasons"))

@@ -1,9 +1,9 @@
 """CSS selection as set algebra over node numbers.
 
-A selector becomes, per step, the array of numbers of the matching nodes and the
-array of numbers reachable from the step before; ``array_intersect`` keeps what is
-in both, in document order. That is linear in the page, where testing every node
-against every possible ancestor would be quadratic.
+A selector becomes, per step, the array of numbers of the matching nodes, of which those
+stay, in document order, that stand in the asked relation to the step before. That is
+linear in the page but for sorting, where testing every node against every possible
+ancestor or sibling would be quadratic.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesift.functions.binding import let
 from pagesift.functions.nodes import at, inside, node_text, span
 from pagesift.functions.text import clean_ws
 
@@ -82,19 +83,27 @@ def markup_of(nodes: Column, node: Column, limit: int = MARKUP_LIMIT) -> Column:
     """At least the first ``limit`` characters of an element's markup, written anew.
 
     Every node yields a character or more, so nodes past the first ``limit`` are not needed.
+    Tags are put in order by the node they stand at: inner elements end before outer ones.
     """
-    shown = span(node["id"], F.least(node["last"], node["id"] + limit - 1))
+    end = F.least(node["last"], node["id"] + limit - 1)
 
-    def piece(i: Column) -> Column:
-        def ends_here(j: Column) -> Column:
-            other = at(nodes, j)
-            return (other["last"] == i) & other["pos"].isNotNull() & ~_is_void(other)
+    def tag(place: Column, ends: int, depth: Column, text: Column) -> Column:
+        return F.struct(place.alias("place"), F.lit(ends).alias("ends"), depth.alias("depth"), text.alias("text"))
 
-        ended = F.reverse(F.filter(span(node["id"], i), ends_here))
-        closing = F.transform(ended, lambda j: F.concat(F.lit("</"), at(nodes, j)["tag"], F.lit(">")))
-        return F.concat(_opening(at(nodes, i)), F.array_join(closing, ""))
+    def closes(i: Column) -> Column:
+        other = at(nodes, i)
+        return (other["last"] <= end) & other["pos"].isNotNull() & ~_is_void(other)
 
-    return F.array_join(F.transform(shown, piece), "")
+    def written(shown: Column) -> Column:
+        begun = F.transform(shown, lambda i: tag(i, 0, F.lit(0), _opening(at(nodes, i), limit)))
+        ended = F.transform(
+            F.filter(shown, closes),
+            lambda i: tag(at(nodes, i)["last"], 1, -i, F.concat(F.lit("</"), at(nodes, i)["tag"], F.lit(">"))),
+        )
+        ordered = F.array_sort(F.concat(begun, ended))
+        return F.array_join(F.transform(ordered, lambda t: t["text"]), "")
+
+    return let(span(node["id"], end), written)
 
 
 def _is_void(node: Column) -> Column:
@@ -104,7 +113,7 @@ def _is_void(node: Column) -> Column:
     )
 
 
-def _opening(node: Column) -> Column:
+def _opening(node: Column, limit: int) -> Column:
     attrs = F.transform(
         F.map_entries(node["attrs"]),
         lambda a: F.concat(F.lit(" "), a["key"], F.lit("="), _quoted(_escaped(a["value"]))),
@@ -114,8 +123,8 @@ def _opening(node: Column) -> Column:
     )
     return (
         F.when(node["pos"].isNotNull(), tag)
-        .when(node["tag"] == "#text", _escaped(node["text"]))
-        .otherwise(node["text"])
+        .when(node["tag"] == "#text", _escaped(F.substring(node["text"], 1, limit)))
+        .otherwise(F.substring(node["text"], 1, limit))
     )
 
 
@@ -137,27 +146,66 @@ def _branch_ids(nodes: Column, steps: list[tuple[str, Predicate]]) -> Column:
     found = None
     for combinator, predicate in steps:
         matching = F.transform(F.filter(nodes, predicate), lambda n: n["id"])
-        found = matching if found is None else F.array_intersect(matching, _reach(nodes, found, combinator))
+        found = matching if found is None else _related(nodes, found, matching, combinator)
     return found
 
 
-def _reach(nodes: Column, ids: Column, combinator: str) -> Column:
-    """Numbers of the nodes that stand in the given relation to any of ``ids``."""
-    none = F.array().cast("array<int>")
+def _related(nodes: Column, ids: Column, matching: Column, combinator: str) -> Column:
+    """Those of ``matching`` that stand in the given relation to any of ``ids``.
 
-    def from_one(node_id: Column) -> Column:
-        node = at(nodes, node_id)
-        if combinator == "+":
-            return F.when(node["next"].isNotNull(), F.array(node["next"])).otherwise(none)
-        if combinator == " ":
-            return inside(node)
-        if combinator == ">":
-            return F.filter(inside(node), lambda i: at(nodes, i)["parent"] == node_id)
-        family_end = F.coalesce(at(nodes, node["parent"])["last"], F.size(nodes) - 1)
-        later = span(node["last"] + 1, family_end)
-        return F.filter(later, lambda i: at(nodes, i)["parent"] == node["parent"])
-
-    return F.flatten(F.transform(ids, from_one))
+    Both are sorted, and each relation is looked up in an array over all nodes, so no
+    node is met more than a few times however elements nest or repeat.
+    """
+    if combinator == "+":
+        following = F.transform(ids, lambda i: at(nodes, i)["next"])
+        return F.array_intersect(matching, F.array_compact(following))
+    if combinator == " ":
+        spans = F.transform(let(ids, lambda i: _outermost(nodes, i)), lambda i: inside(at(nodes, i)))
+        return F.array_intersect(matching, F.flatten(spans))
+    if combinator == ">":
+        marks = _over_nodes(F.transform(ids, lambda i: _entry(i + 1, i)))
+        found = lambda m, i: F.get(m, at(nodes, i)["parent"] + 1).isNotNull()
+    else:
+        marks = _over_nodes(let(_by_parent(nodes, ids), _first_of_parent))
+        found = lambda m, i: F.coalesce(F.get(m, at(nodes, i)["parent"] + 1) < i, F.lit(False))
+    return let(marks, lambda m: F.filter(matching, lambda i: found(m, i)))
+
+
+def _outermost(nodes: Column, ids: Column) -> Column:
+    """Those of sorted ``ids`` inside no other: all that begin earlier have ended, which
+    is so if that many ends lie before."""
+    ends = F.array_sort(F.transform(ids, lambda i: at(nodes, i)["last"]))
+    return let(ends, lambda e: F.filter(ids, lambda i, k: (k == 0) | (F.get(e, k - 1) < i)))
+
+
+def _entry(place: Column, value: Column) -> Column:
+    return F.struct(place.alias("place"), value.alias("value"))
+
+
+def _by_parent(nodes: Column, ids: Column) -> Column:
+    # Parents are counted from -1, the page itself.
+    return F.array_sort(F.transform(ids, lambda i: _entry(at(nodes, i)["parent"] + 1, i)))
+
+
+def _first_of_parent(entries: Column) -> Column:
+    def is_first(entry: Column, k: Column) -> Column:
+        return (k == 0) | (F.get(entries, k - 1)["place"] != entry["place"])
+
+    return F.filter(entries, is_first)
+
+
+def _over_nodes(entries: Column) -> Column:
+    """An array with each value at its place and NULL elsewhere, from entries sorted by place."""
+
+    def filled(sorted_entries: Column) -> Column:
+        def stretch(entry: Column, k: Column) -> Column:
+            before = F.when(k == 0, -1).otherwise(F.get(sorted_entries, k - 1)["place"])
+            gap = F.array_repeat(F.lit(None).cast("int"), entry["place"] - before - 1)
+            return F.concat(gap, F.array(entry["value"]))
+
+        return F.flatten(F.transform(sorted_entries, stretch))
+
+    return let(entries, filled)
 
 
 def _compound(text: str, at: int, css: str) -> tuple[Predicate, int]:

@@ -26,19 +26,21 @@ def upsert_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
 
     ``new`` has job_id, job_type, status, request_json, ts and seq. A replaced job keeps
     its ``created_at``, loses result and error, and gets a new ``id``: the ``seq`` of the
-    change, so that newer jobs sort later without any global numbering.
+    change above the largest id of ``jobs``, so that it sorts after all of them without any
+    global numbering.
     """
     newest = F.max_by(F.struct("seq", "job_type", "status", "request_json", "ts"), F.struct("ts", "seq"))
     changes = new.groupBy("job_id").agg(newest.alias("new"), F.min("ts").alias("first_ts"))
     old = jobs.select("job_id", F.struct(*[c for c in jobs.columns if c != "job_id"]).alias("old"))
     both = old.join(changes, "job_id", "full_outer")
     replaced = F.col("new").isNotNull()
+    largest = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
 
     def pick(new_value: Column, name: str) -> Column:
         return F.when(replaced, new_value).otherwise(F.col(f"old.{name}")).alias(name)
 
     return both.select(
-        pick(F.col("new.seq"), "id"),
+        pick(largest + F.col("new.seq"), "id"),
         "job_id",
         pick(F.col("new.job_type"), "job_type"),
         pick(F.col("new.status"), "status"),
@@ -76,15 +78,24 @@ def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
         F.try_parse_json("result_json").alias("result"),
         F.col("error_text").alias("error"),
     ]
-    newest = jobs.orderBy(F.desc("id")).limit(limit)
+    newest = jobs.orderBy(F.desc("id"), "job_id").limit(limit)
     return newest.select("id", "job_id", "job_type", "status", *decoded, "created_at", "updated_at")
 
 
-def active_only(df: DataFrame, keys: DataFrame, key: str = "api_key") -> DataFrame:
-    """Rows whose key matches an active one. ``keys`` has key_hash and is_active."""
+def active_only(
+    df: DataFrame, keys: DataFrame, key: str = "api_key", splits: int | None = None
+) -> DataFrame:
+    """Rows whose key matches an active one. ``keys`` has key_hash and is_active.
+
+    ``df`` is read once. Keys are few as a rule and then go to the rows; if they are many,
+    adaptive execution splits a key with very many uses, or ``splits`` deals it out
+    beforehand, which reads ``df`` twice.
+    """
     active = keys.filter("is_active").select("key_hash")
     hashed = df.withColumn("key_hash", hash_key(F.col(key)))
-    return split_hot_keys_join(hashed, active, "key_hash", "left_semi").drop("key_hash")
+    if splits is None:
+        return hashed.join(active, "key_hash", "left_semi").drop("key_hash")
+    return split_hot_keys_join(hashed, active, "key_hash", "left_semi", splits).drop("key_hash")
 
 
 def key_last_used(df: DataFrame, keys: DataFrame, key: str = "api_key", ts: str = "ts") -> DataFrame:

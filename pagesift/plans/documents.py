@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.binding import let
 from pagesift.functions.pageranges import page_range
 from pagesift.operators.grids import tables_of_doc
 from pagesift.operators.paged import chosen_pages_of, full_text_of
@@ -41,10 +42,11 @@ def process_docs(
     chosen = chosen_pages_of(F.col("pages"), pages) if op in TEXT_OPS else no_pages
     tables = no_tables
     if op in TABLE_OPS:
-        numbers = page_range(spec, F.size("pages"))
-        tables = tables_of_doc(
-            F.filter("grids", lambda g: F.array_contains(numbers, g["page_no"] - 1))
+        kept = let(
+            page_range(spec, F.size("pages")),
+            lambda numbers: F.filter("grids", lambda g: F.array_contains(numbers, g["page_no"] - 1)),
         )
+        tables = tables_of_doc(kept)
     info = doc_info_of(F.col("pages"), F.col("meta"))
     done = docs.select(
         "doc_id",

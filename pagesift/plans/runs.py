@@ -13,8 +13,6 @@ from pagesift.operators.write import write_as
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import FORMATS, check_choice
 
-# Up to this many start URLs are sent to all executors: some megabytes.
-BROADCAST_URLS = 100_000
 # Modes whose result holds a list of links to follow.
 FOLLOW_MODES = ("all", "links")
 
@@ -56,18 +54,19 @@ def page_pdf_links(pages: DataFrame) -> DataFrame:
     return link_targets(pages).select("url", F.filter("hrefs", is_pdf_href).alias("hrefs"))
 
 
-def pdf_worklist(requests: DataFrame, pages: DataFrame) -> DataFrame:
+def pdf_worklist(requests: DataFrame, pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """What each request asks to process: request_id, pos, target, source.
 
     A start URL that is a PDF is its own work (``direct``); otherwise the PDF links of
     the page are, where the request follows them (``followed``). ``pages`` has each URL
-    once. Pages nobody follows are dropped before they are parsed, and each page is
-    parsed once however many requests start from it.
+    once. ``links`` is a stored table of ``page_pdf_links``, so that markup is read once in
+    a page's life; without it each page is parsed here, once however many requests
+    start from it. Either way only URLs and links meet the requests, never markup.
     """
     url = F.col("url")
     follows = F.col("follow_pdfs") & F.col("scrape_mode").isin(*FOLLOW_MODES) & ~is_pdf_url(url)
-    wanted = requests.filter(follows).select("url").distinct()
-    hrefs = page_pdf_links(_only_urls(pages, wanted))
+    hrefs = page_pdf_links(pages) if links is None else links
+    hrefs = hrefs.filter(F.size("hrefs") > 0)
     tagged = requests.withColumn("follows", follows).join(hrefs, "url", "left")
     work = (
         F.when(is_pdf_url(url), F.array(_work(url, "direct")))
@@ -81,29 +80,21 @@ def pdf_worklist(requests: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def _only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The pages with a wanted URL.
-
-    The markup is by far the widest column, so it should not be shuffled: a list of
-    URLs that is counted and found short goes to the pages. A longer one is joined on
-    the URL, which moves no markup either where both tables are bucketed by it.
-    """
-    if wanted.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS:
-        wanted = F.broadcast(wanted)
-    return pages.join(wanted, "url", "left_semi")
-
-
 def _work(target: Column, source: str) -> Column:
     return F.struct(target.alias("target"), F.lit(source).alias("source"))
 
 
-def run_outputs(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column) -> DataFrame:
+def run_outputs(
+    requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column, links: DataFrame | None = None
+) -> DataFrame:
     """Every output and error of every request: request_id, seq, type, file, source, error.
 
-    A target that has not landed leaves neither, as a failed download does.
+    A target that has not landed leaves neither, as a failed download does. Each request has
+    a folder, and each file of it a name of its own: a document's starts with its position.
+    ``links`` is as in ``pdf_worklist``.
     """
-    asked = _only_urls(pages.select("url"), requests.select("url").distinct())
-    landed = asked.distinct().withColumn("landed", F.lit(True))
+    known = pages if links is None else links
+    landed = known.select("url").distinct().withColumn("landed", F.lit(True))
     problem = (
         F.when(
             ~F.col("scrape_mode").isin(*MODES),
@@ -117,25 +108,28 @@ def run_outputs(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Colu
         .when(F.col("landed").isNull(), "scrape: page not found")
     )
     scraped = requests.join(landed, "url", "left").withColumn("error", problem)
+    folder = F.concat(F.col("request_id").cast("string"), F.lit("/"))
     name = output_name(F.lit("scraped"), F.col("scrape_mode"), F.col("scrape_format"), at)
     first = scraped.select(
         "request_id",
         F.lit(-1).alias("seq"),
         F.lit("scrape").alias("type"),
-        F.when(F.col("error").isNull(), name).alias("file"),
+        F.when(F.col("error").isNull(), F.concat(folder, name)).alias("file"),
         F.col("url").alias("source"),
         "error",
     )
     targets = landed_urls(docs).select(F.col("url").alias("target"))
     # A document that cannot be exported leaves no output.
-    work = pdf_worklist(requests, pages).filter(F.col("pdf_format").isin(*FORMATS))
+    work = pdf_worklist(requests, pages, links).filter(F.col("pdf_format").isin(*FORMATS))
     done = work.join(targets, "target", "left_semi")
-    stem = file_stem(url_filename(F.col("target")))
+    stem = F.concat_ws("_", F.col("pos").cast("string"), file_stem(url_filename(F.col("target"))))
     pdfs = done.select(
         "request_id",
         F.col("pos").alias("seq"),
         F.lit("pdf").alias("type"),
-        F.concat(F.lit("pdf/"), output_name(stem, F.col("pdf_op"), F.col("pdf_format"), at)).alias("file"),
+        F.concat(
+            folder, F.lit("pdf/"), output_name(stem, F.col("pdf_op"), F.col("pdf_format"), at)
+        ).alias("file"),
         F.col("target").alias("source"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -164,10 +158,11 @@ def run_requests(
     docs: DataFrame,
     at: Column,
     completed_at: Column | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Manifests of a table of requests: request_id, started_at, completed_at, url, outputs,
-    errors. ``at`` also dates the file names."""
-    manifest = run_manifest(run_outputs(requests, pages, docs, at), requests)
+    errors. ``at`` also dates the file names. ``links`` is as in ``pdf_worklist``."""
+    manifest = run_manifest(run_outputs(requests, pages, docs, at, links), requests)
     times = {"started_at": at, "completed_at": at if completed_at is None else completed_at}
     shown = [F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss").alias(n) for n, t in times.items()]
     return manifest.select("request_id", *shown, "url", "outputs", "errors")

@@ -53,11 +53,17 @@ def stream_runs(
     out: str,
     checkpoint: str,
     trigger: dict = EVERYTHING,
+    links: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Run requests arriving: manifests, against the pages and documents landed by then."""
-    return _per_batch(
-        requests, lambda batch: run_requests(batch, pages, docs, at), out, checkpoint, trigger
-    )
+    """Run requests arriving: manifests, against the pages and documents landed by then.
+
+    Give the stored ``links`` of the pages, or each batch parses all of them again.
+    """
+
+    def work(batch: DataFrame) -> DataFrame:
+        return run_requests(batch, pages, docs, at, links=links)
+
+    return _per_batch(requests, work, out, checkpoint, trigger)
 
 
 def stream_job_changes(
@@ -76,6 +82,13 @@ def current_jobs(spark: SparkSession, log: str) -> DataFrame:
     return job_latest(spark.read.parquet(log).drop("batch_id"))
 
 
+def compact_jobs(spark: SparkSession, log: str, out: str) -> str:
+    """A new log with one row per job, to which the feed goes on writing under its old
+    checkpoint once it has been stopped and started with ``out``. Returns ``out``."""
+    current_jobs(spark, log).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+    return out
+
+
 def stream_job_dedupe(changes: DataFrame, delay: str, ts: str = "ts", key: str = "job_id") -> DataFrame:
     """One row per job even when the feed replays, for repeats within ``delay``.
 

@@ -269,3 +269,35 @@ def test_flattened_columns_are_in_first_seen_order(pages):
     counts = {r.section: r["count"] for r in rows.groupBy("section").count().collect()}
     assert counts == {"title": 1, "headings": 1, "paragraphs": 2, "links": 7, "images": 1, "meta": 2}
     assert rows.filter(F.col("section") == "links").filter("value is not null").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("selector", "expected"),
+    [
+        ("li ~ li", ["y", "2", "3"]),
+        ("li + li", ["y", "2"]),
+        ("#a ~ .b", ["2"]),
+        ("ul li li", ["x", "y"]),
+        ("ul > li > ul > li", ["x", "y"]),
+        ("li ~ p, div p", ["q", "z"]),
+        ("div div", ["z"]),
+        ("p ~ li", ["3"]),
+        ("body ~ p", []),
+        ("li:not(:first-child):not(.b)", ["y", "3"]),
+    ],
+)
+def test_relations_between_selected_elements(pages, selector, expected):
+    html = (
+        "<ul><li id=a>1<ul><li>x</li><li>y</li></ul></li><li class=b>2</li><p>q</p><li>3</li></ul>"
+        "<div><div><p>z</p></div></div>"
+    )
+    hits = X.select(pages(("http://a/", html)), selector).orderBy("index").collect()
+    assert [h.content for h in hits] == expected
+
+
+def test_markup_of_nested_and_cut_elements(pages):
+    html = "<div><b>1<i>2</i></b><br><p>" + "x" * 900 + "</p></div>"
+    hits = {h.tag: h.html for h in X.select(pages(("http://a/", html)), "div, b, i").collect()}
+    assert hits["b"] == "<b>1<i>2</i></b>"
+    assert hits["i"] == "<i>2</i>"
+    assert hits["div"] == ("<div><b>1<i>2</i></b><br/><p>" + "x" * 900)[:500]

@@ -11,6 +11,7 @@ from pagesift.plans import runs
 from pagesift.plans.scratch import scratch_path, written
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import DOCUMENTS, JOBS
+from pagesift.sources.requests import accepted_requests, rejected_requests
 from pagesift.streaming import feeds
 
 T0 = dt.datetime(2024, 1, 1)
@@ -38,9 +39,9 @@ def test_upsert(spark, job_table):
     assert done.columns == job_table.columns
     rows = {r.job_id: tuple(r) for r in done.collect()}
     assert rows == {
-        1: (10, 1, "pdf", "PENDING", '{"b":2}', None, None, at(0), at(5)),
+        1: (12, 1, "pdf", "PENDING", '{"b":2}', None, None, at(0), at(5)),
         2: (2, 2, "pdf", "PENDING", None, None, "e", at(0), at(0)),
-        3: (12, 3, "scrape", "B", None, None, None, at(6), at(7)),
+        3: (14, 3, "scrape", "B", None, None, None, at(6), at(7)),
     }
     recent = jobs.recent_jobs(done, 2)
     decoded = recent.select("job_id", F.try_variant_get("request", "$.b", "int").alias("b")).collect()
@@ -133,23 +134,81 @@ def test_runs(world):
         for n, r in manifest.items()
     }
     assert manifest[1].started_at == manifest[1].completed_at == "2024-05-06T07:08:09"
-    pdf = ("pdf", "pdf/x_all_20240506_070809.md", "x.pdf")
+    pdfs = [("pdf", f"1/pdf/{n}_x_all_20240506_070809.md", "x.pdf") for n in (0, 1)]
     assert shown == {
-        1: ([("scrape", "scraped_all_20240506_070809.json", "a"), pdf, pdf], []),
-        2: ([("scrape", "scraped_links_20240506_070809.md", "a")], []),
-        3: ([("scrape", "scraped_essential_20240506_070809.txt", "a")], []),
+        1: ([("scrape", "1/scraped_all_20240506_070809.json", "a"), *pdfs], []),
+        2: ([("scrape", "2/scraped_links_20240506_070809.md", "a")], []),
+        3: ([("scrape", "3/scraped_essential_20240506_070809.txt", "a")], []),
         4: ([], ["scrape: CSS selector required for mode='custom'"]),
-        5: ([("pdf", "pdf/x_tables_20240506_070809.csv", "x.pdf?v=1")], ["scrape: page not found"]),
+        5: ([("pdf", "5/pdf/0_x_tables_20240506_070809.csv", "x.pdf?v=1")], ["scrape: page not found"]),
         6: ([], ["scrape: page not found"]),
         7: ([], ["scrape: Unknown mode 'odd'"]),
         8: (
-            [("scrape", "scraped_links_20240506_070809.json", "a")]
-            + [("pdf", "pdf/x_extract_20240506_070809.txt", "x.pdf")] * 2,
+            [("scrape", "8/scraped_links_20240506_070809.json", "a")]
+            + [("pdf", f"8/pdf/{n}_x_extract_20240506_070809.txt", "x.pdf") for n in (0, 1)],
             [],
         ),
     }
 
 
+def test_stored_links_give_the_same_runs_and_markup_meets_no_join(world):
+    requests, pages, docs = world
+    stamp = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
+    stored = written(runs.page_pdf_links(pages), "links")
+    plain = runs.run_requests(requests, pages, docs, stamp)
+    assert sorted(map(str, plain.collect())) == sorted(
+        map(str, runs.run_requests(requests, pages, docs, stamp, links=stored).collect())
+    )
+    moved = False
+    for line in plain._jdf.queryExecution().executedPlan().toString().splitlines():
+        # Lines from a parse on downwards are below it until the next branch of the plan.
+        assert not (("Exchange" in line or "Join" in line) and "html" in line), line
+        moved = moved or "MapInArrow" in line
+    assert moved
+
+
+def test_compacted_log_has_the_same_jobs(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "compact")
+    schema = "job_id bigint, status string, ts timestamp_ntz, seq bigint"
+    rows = [(1, "a", at(0), 1), (2, "b", at(1), 2), (1, "c", at(2), 3)]
+    spark.createDataFrame(rows[:2], schema).write.parquet(f"{log}/batch_id=0")
+    spark.createDataFrame(rows[2:], schema).write.parquet(f"{log}/batch_id=1")
+    before = sorted(map(tuple, feeds.current_jobs(spark, log).collect()))
+    feeds.compact_jobs(spark, log, out)
+    assert sorted(map(tuple, feeds.current_jobs(spark, out).collect())) == before
+    assert spark.read.parquet(out).count() == 2
+    spark.createDataFrame([(2, "d", at(9), 9)], schema).write.parquet(f"{out}/batch_id=2")
+    assert {r.job_id: r.status for r in feeds.current_jobs(spark, out).collect()} == {1: "c", 2: "d"}
+
+
+def test_bad_requests_are_told_apart(spark):
+    payloads = [
+        '{"url":"u","delay":"abc","follow_pdfs":"maybe"}',
+        '{"url":"u","delay":"1.5","follow_pdfs":"on"}',
+        "{",
+        "[1]",
+        '{"delay":1}',
+        '{"url":5,"scrape_mode":null,"ai_prompt":null}',
+        None,
+        '{"url":"u","pdf_op":{"a":1},"delay":true,"follow_pdfs":1}',
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, payload string")
+    rejected = {r.id: r.reasons for r in rejected_requests(df, "run").collect()}
+    unreadable = ["payload: not a JSON object"]
+    assert rejected == {
+        0: ["follow_pdfs: not a boolean", "delay: not a double"],
+        2: unreadable,
+        3: unreadable,
+        4: ["url: missing"],
+        5: ["url: not a string", "scrape_mode: not a string"],
+        6: unreadable,
+        7: ["pdf_op: not a string"],
+    }
+    kept = accepted_requests(df, "run").collect()
+    assert [(r.id, r.url, r.delay, r.follow_pdfs, r.ai_prompt) for r in kept] == [(1, "u", 1.5, True, None)]
+    assert rejected_requests(df.limit(0), "scrape").count() == 0
+
+
 def test_manifest_and_extraction_are_written(world, tmp_path, spark):
     requests, pages, docs = world
     stamp = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
