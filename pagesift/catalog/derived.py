@@ -82,6 +82,15 @@ def linked_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def landed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of ``linked_documents`` with their content: one page with the part's name."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), F.array("p_name").alias("pages"))
+    none = F.array().cast("array<struct<page_no: int, table_index: int, grid: array<array<string>>>>")
+    landed = linked_documents(spark, folder).join(parts, "doc_id")
+    meta = F.create_map().cast("map<string, string>")
+    return landed.select("doc_id", "url", meta.alias("meta"), "pages", none.alias("grids"))
+
+
 def video_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A page per order: hosts, counts and thumbnails vary with its status and priority."""
     c = F.col

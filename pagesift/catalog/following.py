@@ -9,6 +9,7 @@ from pagesift.catalog.documents import FULL_TEXT
 from pagesift.catalog.history import LATEST
 from pagesift.catalog.pages import LINKS, PDF_LINKS
 from pagesift.catalog.registry import query
+from pagesift.catalog.sql import NL
 from pagesift.operators import extract as X
 from pagesift.operators.paged import full_text_of
 from pagesift.plans import runs
@@ -112,6 +113,63 @@ def run_manifest(spark, folder):
     return _flat_manifest(manifest)
 
 
+# What the files of the requests hold. Every page has the same items in mode ``text``.
+_ITEMS = ("first", "upper", "query", "fragment", "page", "mail", "script", "self", "anchor", "again", "shared")
+_ITEMS_JSON = ",".join(f'{{"tag":"li","content":"{item}"}}' for item in _ITEMS)
+_TIME = "2024-05-06T07:08:09"
+FILES = f"""WITH {REQUESTS}, page_links AS (
+  SELECT p_partkey AS request_id, pos, content, href FROM part, LATERAL (VALUES
+    (0, 'first', '/d/' || p_partkey || '.pdf'), (1, 'upper', '/d/' || p_partkey || '.PDF'),
+    (2, 'query', '/s/' || p_partkey || '/d/' || p_partkey || '.pdf?v=1'), (3, 'fragment', '/d/' || p_partkey || '.pdf#p'),
+    (4, 'page', '/s/' || p_partkey || '.html'), (5, 'mail', NULL), (6, 'self', '/s/' || p_partkey || '/index.html'),
+    (7, 'again', '/d/' || p_partkey || '.pdf'), (8, 'shared', '/d/0.pdf')) AS l(pos, content, path),
+    LATERAL (SELECT coalesce('https://docs.example.com' || path, 'mailto:a@example.com')) AS h(href)),
+  listed AS (
+    SELECT request_id, string_agg(content || ',' || href || ',,', {NL} ORDER BY pos) AS csv,
+      string_agg('  text: ' || content || '  |  href: ' || href || '  |  title:   |  rel: ', {NL} ORDER BY pos) AS txt
+    FROM page_links GROUP BY request_id),
+  names AS (SELECT 'https://docs.example.com/d/' || p_partkey || '.pdf' AS source, p_name FROM part)
+SELECT o.request_id, o.seq, type, replace(file, '_{STAMP}.json', '_{STAMP}.' || CASE mode WHEN 'links' THEN 'csv'
+    WHEN 'all' THEN 'txt' ELSE 'json' END) AS file, source,
+  CASE WHEN type = 'pdf' THEN array_to_string(['# PDF Processing Report', '', '| Field | Value |', '|---|---|',
+      '| Source | `' || source || '` |', '| Operation | `all` |', '| Pages | `all` |', '| Generated | `{_TIME}` |', '',
+      '## AI Summary', '', 'SIZE ' || p_size % 3, '', '## Extracted Text', '', '### Page 1', '', p_name, ''], {NL})
+    WHEN mode = 'links' THEN 'text,href,title,rel' || {NL} || csv
+    WHEN mode = 'all' THEN array_to_string(['# Scraped: ' || source, '# Mode: all', '# At: {_TIME}', '', '--- TITLE ---', '  ', '',
+      '--- HEADINGS ---', '', '--- PARAGRAPHS ---', '', '--- LINKS ---', txt, '', '--- IMAGES ---', '', '--- TABLES ---', ''], {NL})
+    ELSE '{{"metadata":{{"url":"' || source || '","mode":"text","scraped_at":"{_TIME}"}},"data":[{_ITEMS_JSON}]}}' END AS body
+FROM outputs o JOIN requests USING (request_id) JOIN listed USING (request_id) LEFT JOIN names USING (source)"""
+
+
+def _file_requests(spark, folder):
+    """Requests in several formats, with prompts."""
+    mode, asked = F.col("scrape_mode"), derived.run_requests_table(spark, folder)
+    sizes = derived.table(spark, folder, "part").select(F.col("p_partkey").alias("request_id"), "p_size")
+    prompt = F.concat(F.lit("Size "), (F.col("p_size") % 3).cast("string"))
+    fmt = F.when(mode == "links", "csv").when(mode == "all", "txt").otherwise("json")
+    asked = asked.withColumn("scrape_format", fmt).join(sizes, "request_id")
+    return asked.withColumn("ai_prompt", prompt).drop("p_size")
+
+
+def _upper_instruction(prompt: str) -> str:
+    return prompt.split("\n")[0].upper()
+
+
+@query("run_files", FILES)
+def run_files(spark, folder):
+    """The files of all runs, written as a table and read back."""
+    out = scratch_path(spark, "run-files")
+    runs.write_run(
+        _file_requests(spark, folder),
+        derived.pdf_link_pages(spark, folder),
+        derived.landed_documents(spark, folder),
+        _at(),
+        out,
+        fn=_upper_instruction,
+    )
+    return spark.read.parquet(out)
+
+
 # -- feeds: run to the end of what has arrived, then read what they wrote ----------------
 
 
@@ -159,6 +217,19 @@ def stream_manifest(spark, folder):
     return _flat_manifest(spark.read.parquet(out))
 
 
+@query("stream_run_files", FILES)
+def stream_run_files(spark, folder):
+    out, checkpoint = _places(spark, "files")
+    feed = _landed_feed(spark, folder, "file-requests-in", _file_requests(spark, folder))
+    pages = derived.pdf_link_pages(spark, folder)
+    docs = written(derived.landed_documents(spark, folder), "landed-docs")
+    links = written(runs.page_pdf_links(pages), "page-links")
+    feeds.stream_run_bodies(
+        feed, pages, docs, _at(), out, checkpoint, links=links, fn=_upper_instruction
+    ).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
 @query("stream_job_latest", f"WITH {LATEST} SELECT job_id, ts, event_id AS seq, event_type AS status FROM latest")
 def stream_job_latest(spark, folder):
     out, checkpoint = _places(spark, "jobs")

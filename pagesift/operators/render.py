@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.text import bool_cell, first_filled, md_cell
+from pagesift.operators.grids import csv_line
 from pagesift.schema import FORMATS, check_choice
 
 # Fixed value: longest cell in a Markdown table.
@@ -215,12 +216,35 @@ def page_json(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
     return _bodies(extracted, body)
 
 
+def page_csv(extracted: DataFrame, mode: str) -> DataFrame:
+    """page_id, url, body: the header and rows of ``page_csv_rows``, without key and position,
+    as one CSV text per page."""
+    if mode in SECTIONS:
+        fields = ("section", *(FLAT_FIELDS if mode == "all" else ("value",)))
+        rows = _flat_rows() if mode == "all" else _section_rows(extracted, mode)
+        cells = F.transform(rows, lambda row: _filled(*[row[f] for f in fields]))
+    else:
+        fields = FIELDS[mode]
+        cells = F.transform("items", lambda item: _filled(*[scalar_cell(item, f) for f in fields]))
+    lines = F.concat(_lines(",".join(fields)), F.transform(cells, csv_line))
+    return _bodies(extracted, F.array_join(lines, "\n"))
+
+
+def _filled(*cells: Column) -> Column:
+    return F.array(*[F.coalesce(cell, F.lit("")) for cell in cells])
+
+
 def flatten_sections(records: DataFrame) -> DataFrame:
     """Every item of every section as a row: page_id, section, pos and all fields as text.
 
     The sections are put into one array of one struct type and exploded once. Stacking
     one query per section would read and take apart each page once per section.
     """
+    return records.select("page_id", F.explode_outer(_flat_rows()).alias("row")).select("page_id", "row.*")
+
+
+def _flat_rows() -> Column:
+    """The items of all sections of a record as one array: section, pos, ``FLAT_FIELDS``."""
 
     def flat(section: str, pos: Column, given: dict[str, Column]) -> Column:
         cells = [given.get(f, F.lit(None).cast("string")).alias(f) for f in FLAT_FIELDS]
@@ -239,9 +263,7 @@ def flatten_sections(records: DataFrame) -> DataFrame:
     parts = [
         F.coalesce(rows_of(name, kind), F.array().cast(_flat_type())) for name, kind in SECTIONS["all"]
     ]
-    return records.select("page_id", F.explode_outer(F.concat(*parts)).alias("row")).select(
-        "page_id", "row.*"
-    )
+    return F.concat(*parts)
 
 
 def page_csv_rows(extracted: DataFrame, mode: str) -> DataFrame:
@@ -250,14 +272,15 @@ def page_csv_rows(extracted: DataFrame, mode: str) -> DataFrame:
     if mode == "all":
         return flatten_sections(extracted)
     if mode == "essential":
-        return _section_rows(extracted, mode)
+        rows = extracted.select("page_id", F.posexplode(_section_rows(extracted, mode)).alias("pos", "row"))
+        return rows.select("page_id", "pos", "row.section", "row.value")
     items = extracted.select("page_id", F.posexplode_outer("items").alias("pos", "item"))
     cells = [scalar_cell(F.col("item"), f).alias(f) for f in FIELDS[mode]]
     return items.filter("pos is not null").select("page_id", "pos", *cells)
 
 
-def _section_rows(extracted: DataFrame, mode: str) -> DataFrame:
-    """page_id, pos, section, value: a row for each value of each section of a record."""
+def _section_rows(extracted: DataFrame, mode: str) -> Column:
+    """section, value for each value of each section of a record, as one array."""
 
     def cells(name: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("section"), v.alias("value")))
@@ -266,15 +289,20 @@ def _section_rows(extracted: DataFrame, mode: str) -> DataFrame:
     for name, kind, value in _sections(extracted, mode):
         values = value if kind == "values" else F.array(value.cast("string"))
         parts.append(F.when(value.isNotNull(), cells(name, values)).otherwise(F.array().cast(_SECTION_ROWS)))
-    rows = extracted.select("page_id", F.posexplode(F.concat(*parts)).alias("pos", "row"))
-    return rows.select("page_id", "pos", "row.section", "row.value")
+    return F.concat(*parts)
 
 
 def render_pages(extracted: DataFrame, mode: str, fmt: str, at: str | Column) -> DataFrame:
     """Bodies (json, txt, md) or rows (csv) in a format by name."""
     check_choice("format", fmt, FORMATS)
+    return page_csv_rows(extracted, mode) if fmt == "csv" else page_bodies(extracted, mode, fmt, at)
+
+
+def page_bodies(extracted: DataFrame, mode: str, fmt: str, at: str | Column) -> DataFrame:
+    """page_id, url, body in a format by name: what the file of a page holds."""
+    check_choice("format", fmt, FORMATS)
     if fmt == "csv":
-        return page_csv_rows(extracted, mode)
+        return page_csv(extracted, mode)
     return {"json": page_json, "txt": page_txt, "md": page_md}[fmt](extracted, mode, at)
 
 

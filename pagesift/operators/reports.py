@@ -142,6 +142,16 @@ def doc_report_rows(docs: DataFrame) -> DataFrame:
 
     Tables first, then text, then the summary, each behind a marker row.
     """
+    numbered = docs.select("doc_id", F.posexplode_outer(_report_cells()).alias("seq", "cells"))
+    return numbered.filter("seq is not null").withColumn("line", csv_line(F.col("cells")))
+
+
+def doc_csv(docs: DataFrame) -> DataFrame:
+    """doc_id, body: the lines of ``doc_report_rows`` as one text per document."""
+    return _bodies(docs, F.array_join(F.transform(_report_cells(), csv_line), "\n"))
+
+
+def _report_cells() -> Column:
     rows = F.array().cast("array<array<string>>")
 
     def block(test: Column, lines: Column) -> Column:
@@ -153,20 +163,24 @@ def doc_report_rows(docs: DataFrame) -> DataFrame:
         F.transform("text_pages", lambda p: F.array(p["page_no"].cast("string"), p["text"])),
     )
     summary = F.array(_lines("# AI Summary"), _lines(F.col("summary")))
-    everything = F.concat(
+    return F.concat(
         block(_any("tables"), tables),
         block(_any("text_pages"), text),
         block(_filled("summary"), summary),
     )
-    numbered = docs.select("doc_id", F.posexplode_outer(everything).alias("seq", "cells"))
-    return numbered.filter("seq is not null").withColumn("line", csv_line(F.col("cells")))
 
 
 def render_docs(docs: DataFrame, fmt: str, at: str | Column) -> DataFrame:
     """Bodies (json, txt, md) or lines (csv) in a format by name."""
     check_choice("format", fmt, FORMATS)
+    return doc_report_rows(docs) if fmt == "csv" else doc_bodies(docs, fmt, at)
+
+
+def doc_bodies(docs: DataFrame, fmt: str, at: str | Column) -> DataFrame:
+    """doc_id, body in a format by name: what the file of a document holds."""
+    check_choice("format", fmt, FORMATS)
     if fmt == "csv":
-        return doc_report_rows(docs)
+        return doc_csv(docs)
     return {"json": doc_json, "txt": doc_txt, "md": doc_md}[fmt](docs, at)
 
 

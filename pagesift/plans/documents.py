@@ -11,9 +11,9 @@ from pagesift.functions.binding import let
 from pagesift.functions.pageranges import page_range
 from pagesift.operators.grids import tables_of_doc
 from pagesift.operators.paged import chosen_pages_of, full_text_of
-from pagesift.operators.reports import render_docs
+from pagesift.operators.reports import doc_bodies
 from pagesift.operators.summaries import summarise
-from pagesift.operators.write import write_as
+from pagesift.operators.write import write_bodies
 from pagesift.schema import DOC_OPS, DOC_TABLE, TEXT_PAGES, check_choice
 from pagesift.sources.pdf import doc_info_of
 
@@ -27,14 +27,15 @@ def process_docs(
     docs: DataFrame,
     op: str = "all",
     pages: str | Column = "all",
-    prompt: str | None = None,
+    prompt: str | Column | None = None,
     fn: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, op, page_range, info, total_pages,
     text_pages, tables, summary.
 
     What ``op`` does not ask for is an empty literal in the plan, so Spark neither
-    computes nor reads it. Tables count only on chosen pages.
+    computes nor reads it. Tables count only on chosen pages. ``pages`` and ``prompt`` may
+    be columns of ``docs``.
     """
     check_choice("op", op, DOC_OPS)
     spec = pages if isinstance(pages, Column) else F.lit(pages)
@@ -48,6 +49,7 @@ def process_docs(
         )
         tables = tables_of_doc(kept)
     info = doc_info_of(F.col("pages"), F.col("meta"))
+    asked = prompt if isinstance(prompt, Column) else F.lit(prompt)
     done = docs.select(
         "doc_id",
         F.col("url").alias("source"),
@@ -57,16 +59,17 @@ def process_docs(
         F.size("pages").alias("total_pages"),
         chosen.alias("text_pages"),
         tables.alias("tables"),
+        *([asked.cast("string").alias("__prompt")] if op in SUMMARY_OPS else []),
     )
     if op not in SUMMARY_OPS:
         return done.withColumn("summary", F.lit(""))
     with_text = done.withColumn("full_text", full_text_of(F.col("text_pages")))
-    summarised = summarise(with_text, fn, "full_text", prompt).drop("full_text")
+    summarised = summarise(with_text, fn, "full_text", F.col("__prompt")).drop("full_text", "__prompt")
     # A document without any page has nothing to say that there is no text in it.
     summary = F.when(F.size("text_pages") > 0, F.col("summary")).otherwise("")
     return summarised.withColumn("summary", summary)
 
 
 def process_and_write(docs: DataFrame, op: str, fmt: str, out: str, at: str | Column, **options) -> str:
-    """Process, render and write in one go."""
-    return write_as(render_docs(process_docs(docs, op, **options), fmt, at), fmt, out)
+    """Process, render and write in one go: a row per document with doc_id and body."""
+    return write_bodies(doc_bodies(process_docs(docs, op, **options), fmt, at), out)

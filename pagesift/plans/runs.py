@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import file_stem, output_name
 from pagesift.functions.urls import is_pdf_href, is_pdf_url, url_filename
 from pagesift.operators.extract import MODES, extract, link_targets
-from pagesift.operators.render import render_pages
-from pagesift.operators.write import write_as
+from pagesift.operators.render import page_bodies
+from pagesift.operators.reports import doc_bodies
+from pagesift.operators.write import write_as, write_bodies
+from pagesift.plans.documents import process_docs
+from pagesift.plans.scratch import written
 from pagesift.plans.skew import split_hot_keys_join
-from pagesift.schema import FORMATS, check_choice
+from pagesift.schema import DOC_OPS, FORMATS, check_choice
 
 # Modes whose result holds a list of links to follow.
 FOLLOW_MODES = ("all", "links")
@@ -93,6 +99,13 @@ def run_outputs(
     a folder, and each file of it a name of its own: a document's starts with its position.
     ``links`` is as in ``pdf_worklist``.
     """
+    return _outputs(requests, pages, docs, at, links).drop("kind", "format")
+
+
+def _outputs(
+    requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column, links: DataFrame | None
+) -> DataFrame:
+    """The rows of ``run_outputs`` and what makes their files: ``kind`` (mode or operation), ``format``."""
     known = pages if links is None else links
     landed = known.select("url").distinct().withColumn("landed", F.lit(True))
     problem = (
@@ -117,10 +130,13 @@ def run_outputs(
         F.when(F.col("error").isNull(), F.concat(folder, name)).alias("file"),
         F.col("url").alias("source"),
         "error",
+        F.col("scrape_mode").alias("kind"),
+        F.col("scrape_format").alias("format"),
     )
     targets = landed_urls(docs).select(F.col("url").alias("target"))
-    # A document that cannot be exported leaves no output.
-    work = pdf_worklist(requests, pages, links).filter(F.col("pdf_format").isin(*FORMATS))
+    # A document that cannot be processed or exported leaves no output.
+    work = pdf_worklist(requests, pages, links)
+    work = work.filter(F.col("pdf_op").isin(*DOC_OPS) & F.col("pdf_format").isin(*FORMATS))
     done = work.join(targets, "target", "left_semi")
     stem = F.concat_ws("_", F.col("pos").cast("string"), file_stem(url_filename(F.col("target"))))
     pdfs = done.select(
@@ -132,10 +148,64 @@ def run_outputs(
         ).alias("file"),
         F.col("target").alias("source"),
         F.lit(None).cast("string").alias("error"),
+        F.col("pdf_op").alias("kind"),
+        F.col("pdf_format").alias("format"),
     )
     return first.unionByName(pdfs)
 
 
+def run_bodies(
+    requests: DataFrame,
+    pages: DataFrame,
+    docs: DataFrame,
+    at: Column,
+    links: DataFrame | None = None,
+    fn: Callable[[str], str] | None = None,
+) -> DataFrame:
+    """The files of ``run_outputs`` with what they hold: request_id, seq, type, file, source, body.
+
+    A page or document is rendered once for each mode or operation, format and prompt that
+    somebody asks for, however many requests do, and then meets their files; a source that
+    many requests share is dealt out. Only asked pages and documents are parsed: a join with
+    their list, which Spark broadcasts where it is short, comes first. ``requests`` may have
+    an ``ai_prompt`` for ``fn``, see ``process_docs``. The list of files is written first, and
+    those of the at most 44 pairs of kind and format that occur are gathered, as each has a
+    plan of its own. ``pages`` has each URL once; of documents with one URL the first counts.
+    """
+    prompt = F.col("ai_prompt") if "ai_prompt" in requests.columns else F.lit(None).cast("string")
+    files = _outputs(requests, pages, docs, at, links).filter("file is not null").drop("error")
+    files = files.join(requests.select("request_id", prompt.alias("prompt")), "request_id")
+    # A page does not depend on the prompt.
+    files = files.withColumn("prompt", F.when(F.col("type") == "pdf", F.col("prompt")))
+    made_of = F.struct("type", "kind", "format", "source", "prompt")
+    files = written(files.withColumn("what", F.to_json(made_of)), "files")
+    time = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    bodies = []
+    for sort, kind, fmt in sorted(files.select("type", "kind", "format").distinct().collect()):
+        chosen = (F.col("type") == sort) & (F.col("kind") == kind) & (F.col("format") == fmt)
+        wanted = files.filter(chosen).select(F.col("source").alias("url"), "what", "prompt").distinct()
+        # The key of the body stands in for that of the page or document.
+        if sort == "scrape":
+            asked = pages.drop("page_id").join(wanted, "url").withColumnRenamed("what", "page_id")
+            made = page_bodies(extract(asked, kind), kind, fmt, time).withColumnRenamed("page_id", "what")
+        else:
+            wanted = wanted.join(landed_urls(docs), "url")
+            asked = docs.join(wanted, ["url", "doc_id"]).drop("doc_id").withColumnRenamed("what", "doc_id")
+            done = process_docs(asked, kind, prompt=F.col("prompt"), fn=fn)
+            made = doc_bodies(done, fmt, time).withColumnRenamed("doc_id", "what")
+        bodies.append(made.select("what", "body"))
+    shown = ("request_id", "seq", "type", "file", "source")
+    if not bodies:
+        return files.select(*shown, F.lit(None).cast("string").alias("body"))
+    rendered = written(reduce(DataFrame.unionByName, bodies), "bodies")
+    return split_hot_keys_join(files, rendered, "what").select(*shown, "body")
+
+
+def write_run(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column, out: str, **options) -> str:
+    """Write what ``run_bodies`` gives as a table and return its folder."""
+    return write_bodies(run_bodies(requests, pages, docs, at, **options), out)
+
+
 def run_manifest(outputs: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per request: request_id, url, outputs in order, errors.
 
@@ -176,6 +246,7 @@ def write_manifest(manifest: DataFrame, path: str) -> str:
 def extract_and_write(
     pages: DataFrame, mode: str, fmt: str, out: str, at: str | Column, **options
 ) -> str:
-    """Extract, render and write in one go. Bad names raise before anything runs."""
+    """Extract, render and write in one go: a row per page with page_id, url and body. Bad
+    names raise before anything runs."""
     check_choice("format", fmt, FORMATS)
-    return write_as(render_pages(extract(pages, mode, **options), mode, fmt, at), fmt, out)
+    return write_bodies(page_bodies(extract(pages, mode, **options), mode, fmt, at), out)

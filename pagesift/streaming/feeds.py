@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagesift.operators.extract import explode_items, extract
 from pagesift.operators.jobs import job_latest
 from pagesift.plans.documents import process_docs
-from pagesift.plans.runs import run_requests
+from pagesift.plans.runs import run_bodies, run_requests
 
 EVERYTHING = {"availableNow": True}
 
@@ -66,6 +66,24 @@ def stream_runs(
     return _per_batch(requests, work, out, checkpoint, trigger)
 
 
+def stream_run_bodies(
+    requests: DataFrame,
+    pages: DataFrame,
+    docs: DataFrame,
+    at: Column,
+    out: str,
+    checkpoint: str,
+    trigger: dict = EVERYTHING,
+    **options,
+) -> StreamingQuery:
+    """Run requests arriving: their files with bodies, see ``run_bodies``."""
+
+    def work(batch: DataFrame) -> DataFrame:
+        return run_bodies(batch, pages, docs, at, **options)
+
+    return _per_batch(requests, work, out, checkpoint, trigger)
+
+
 def stream_job_changes(
     changes: DataFrame, out: str, checkpoint: str, trigger: dict = EVERYTHING
 ) -> StreamingQuery:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesift.operators import grids, paged, reports, summaries
-from pagesift.operators.write import write_as
+from pagesift.operators.write import body_lines, write_as
 from pagesift.plans.documents import process_and_write, process_docs
 from pagesift.schema import DOCUMENTS
 from pagesift.sources import pdf
@@ -233,7 +233,12 @@ def test_writing(docs, tmp_path, spark):
     df = docs((["Text"], [(1, 0, GRID)]))
     for fmt in ("json", "csv", "txt", "md"):
         out = process_and_write(df, "all", fmt, str(tmp_path / "a" / fmt), "now")
-        assert spark.read.text(out).count() > 0
+        (row,) = spark.read.parquet(out).collect()
+        assert "Text" in row.body and row.doc_id == df.first().doc_id
+    lines = [r.line for r in reports.doc_report_rows(process_docs(df, "all")).orderBy("seq").collect()]
+    csv = spark.read.parquet(str(tmp_path / "a" / "csv"))
+    assert csv.first().body.split("\n") == "\n".join(lines).split("\n")
+    assert [r.line_no for r in body_lines(csv).collect()] == list(range(len("\n".join(lines).split("\n"))))
     tables = write_as(grids.doc_tables(df), "csv", str(tmp_path / "tables"))
     back = spark.read.csv(tables, header=True, escape='"').first()
     assert json.loads(back.headers) == ["Name", "Note|x"]

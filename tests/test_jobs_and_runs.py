@@ -1,13 +1,17 @@
 """Job history, keys, links to documents, runs, feeds."""
 
+import csv
 import datetime as dt
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.operators import jobs
+from pagesift.operators import jobs, render, reports
+from pagesift.operators.extract import extract
 from pagesift.plans import runs
+from pagesift.plans.documents import process_docs
 from pagesift.plans.scratch import scratch_path, written
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import DOCUMENTS, JOBS
@@ -216,11 +220,51 @@ def test_manifest_and_extraction_are_written(world, tmp_path, spark):
     assert sorted(json.loads(r.value)["request_id"] for r in spark.read.text(out).collect()) == list(range(1, 9))
     for fmt in ("json", "csv", "txt", "md"):
         written_to = runs.extract_and_write(pages, "links", fmt, str(tmp_path / fmt), "now")
-        assert spark.read.text(written_to).count() > 0
+        (row,) = spark.read.parquet(written_to).collect()
+        assert (row.page_id, row.url) == (0, "https://p.example.com/a") and "again" in row.body
     with pytest.raises(ValueError, match="Unknown format"):
         runs.extract_and_write(pages, "links", "xlsx", str(tmp_path / "x"), "now")
 
 
+def test_files_of_runs_have_the_bodies_of_their_pages_and_documents(world, spark):
+    requests, pages, docs = world
+    stamp, time = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), "2024-05-06T07:08:09"
+    requests = requests.withColumn("ai_prompt", F.concat(F.lit("prompt "), "request_id"))
+    twice = requests.filter("request_id = 8").withColumns({"request_id": F.lit(9), "pdf_format": F.lit("odd")})
+    none = requests.filter("request_id = 8").withColumns({"request_id": F.lit(10), "pdf_op": F.lit("odd")})
+    requests = requests.union(twice).union(none)
+    files = runs.run_bodies(requests, pages, docs, stamp, fn=lambda prompt: prompt.split("\n")[0])
+    listed = runs.run_outputs(requests, pages, docs, stamp).filter("file is not null")
+    assert sorted(r.file for r in files.collect()) == sorted(r.file for r in listed.collect())
+    bodies = {(r.request_id, r.seq): r.body for r in files.collect()}
+    for n, mode, fmt in ((1, "all", "json"), (2, "links", "md"), (3, "essential", "txt"), (8, "links", "json")):
+        expected = render.page_bodies(extract(pages, mode), mode, fmt, time).first().body
+        assert bodies[n, -1] == expected
+    assert bodies[9, -1] == bodies[8, -1] == bodies[10, -1]
+    assert (9, 0) not in bodies and (10, 0) not in bodies
+    assert "prompt 1" in bodies[1, 0] and bodies[1, 0] == bodies[1, 1]
+    for n, url, op, fmt in ((5, "https://p.example.com/x.pdf?v=1", "tables", "csv"), (8, "https://p.example.com/x.pdf", "extract", "txt")):
+        done = process_docs(docs.filter(F.col("url") == url), op)
+        assert bodies[n, 0] == reports.doc_bodies(done, fmt, time).first().body
+    nothing = runs.run_bodies(requests.filter("request_id in (4, 6)"), pages, docs, stamp)
+    assert nothing.columns == files.columns and nothing.count() == 0
+
+
+@pytest.mark.parametrize("mode", ["links", "images", "tables", "all", "essential"])
+def test_csv_bodies_hold_the_csv_rows(pages, mode):
+    html = HTML + '<title>a "b", c</title><img src="/i.png"><table><tr><td>1<td>2</table><p>para'
+    extracted = extract(pages(("https://p.example.com/a", html), ("https://p.example.com/b", "")), mode)
+    rows = render.page_csv_rows(extracted, mode)
+    fields = [c for c in rows.columns if c not in ("page_id", "pos")]
+    expected = {0: [], 1: []}
+    for row in rows.collect():
+        expected[row.page_id].append([row[f] or "" for f in fields])
+    for row in render.page_csv(extracted, mode).collect():
+        head, *found = csv.reader(io.StringIO(row.body))
+        assert head == fields
+        assert sorted(found) == sorted(expected[row.page_id])
+
+
 def test_links_without_a_landed_document(world):
     _, pages, docs = world
     from pagesift.operators.extract import links
