@@ -2,8 +2,9 @@
 
 A text is a vector of hashed byte trigram counts, dampened and weighted by how few
 labelled texts have a trigram. The singular vectors of the labelled texts span the latent
-space. A last term holds the share of words that only repeat the word before. Every document is compared with every labelled vector, in blocks, by cosine; the
-nearest ones vote with their similarity as weight.
+space. A last term holds the share of words that only repeat the word before. Every
+document is compared with every labelled vector, in blocks, by cosine; the nearest ones
+vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -100,9 +101,11 @@ def _counts(column: pa.Array) -> list[pa.Array]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, dimensions: int = 64, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled documents. The driver gets at most ``2 * per_class`` vectors of 8 KB."""
+    """Fit on labelled documents. The driver gets at most ``2 * per_class`` vectors of 8 KB:
+    of texts that share an id the first in order is learned, however many there are."""
     sample = F.broadcast(labelled_sample(labels, per_class))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = add_results(texts, ["doc_id", "label"], lambda: _counts, "counts binary").collect()
     rows.sort(key=lambda row: (row["doc_id"], row["label"], row["counts"]))
     counts = np.frombuffer(b"".join(row["counts"] for row in rows), np.float32).reshape(-1, _BUCKETS + 1)

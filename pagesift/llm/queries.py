@@ -77,7 +77,7 @@ def op3_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 WITH
   docs AS (
     SELECT doc_id, source, len(coalesce({_WORDS.format("text")}, []))::BIGINT AS size,
-           md5(coalesce(doc_id::VARCHAR, '')) AS h
+           md5(coalesce(doc_id::VARCHAR, 'text:' || text, '')) AS h
     FROM documents),
   placed AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size

@@ -15,7 +15,7 @@ from pagesift.llm.main_text import extract_main_text, main_text
 from pagesift.llm.mixing import mix_sources, training_order
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.pii import base_spans, find_personal_data
-from pagesift.llm.quality import held_out, score_quality
+from pagesift.llm.quality import fit_quality, held_out, score_quality
 from pagesift.llm.repeats import remove_repeats, repeated_windows
 from pagesift.llm.revisits import canonical_url, resolve_revisits
 from pagesift.llm.simhash import fingerprints, near_fingerprints, search_every
@@ -168,6 +168,17 @@ def test_quality_tells_labels_apart(spark):
     assert {r.score for r in score_quality(docs, labels.filter("false")).collect()} == {0.5}
 
 
+def test_quality_learns_one_text_of_each_id(spark):
+    rows = [(n % 3, prose(n, 20)) for n in range(60)] + [(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = labels_of(spark, [(n, n % 2, 0) for n in range(3)] * 2)
+    n_learned = labels.filter(~held_out()).select("doc_id").distinct().count()
+    model = fit_quality(docs, labels)
+    assert len(model.labels) == n_learned > 0
+    again = fit_quality(docs.repartition(5), labels)
+    assert (model.vectors == again.vectors).all()
+
+
 def test_benchmark_copies_are_found(spark):
     item = prose(1, 30)
     words = item.split()
@@ -256,6 +267,18 @@ def test_mix_meets_targets(spark):
     assert ordered == sorted(ordered) and len(ordered) == sum(len(r.positions) for r in mixed)
 
 
+def test_rows_without_ids_are_spread_and_mixed(spark):
+    rows = [(None, f"{prose(n, 1)} w", "a") for n in range(2000)] + [(n, "v", "b") for n in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mix_sources(docs, carry=["text"])
+    nameless = mixed.filter("doc_id is null")
+    # Their middles follow each other, so that no two have one position.
+    places = [p for r in nameless.collect() for p in r.positions]
+    assert len(places) > 2000 and len(set(places)) == len(places)
+    again = mix_sources(docs.repartition(7), carry=["text"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))
+
+
 def test_schedules_are_inverted(spark):
     docs = spark.createDataFrame([(n, "w", "a") for n in range(4000)], "doc_id bigint, text string, source string")
     mixed = mix_sources(docs, weights=(1,), share=1.0, schedules=((0, 2, 0),))
