@@ -26,14 +26,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id, and of repeated ids one row.
+    """One document of each group, the one with the smallest id, and of repeated rows one.
 
-    Rows without an id cannot be told apart by it and all stay.
+    Different texts under one id are all kept or all dropped, as their group has it. Rows
+    without an id cannot be told apart by it and all stay.
     """
     docs = docs.select(*COLUMNS)
     dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(*COLUMNS)
+    return named.dropDuplicates(["doc_id", "text"]).union(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
