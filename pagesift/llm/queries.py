@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.llm.chat import format_conversations, learned_text, read_back
 from pagesift.llm.decontaminate import find_benchmark
+from pagesift.llm.infill import fill_in_middle, restore
 from pagesift.llm.likelihood import score_likelihood
 from pagesift.llm.main_text import extract_main_text
 from pagesift.llm.mixing import mix_sources
 from pagesift.llm.neardup import near_duplicates
+from pagesift.llm.phrases import mine_phrases
 from pagesift.llm.pii import find_personal_data
 from pagesift.llm.quality import held_out, score_quality
 from pagesift.llm.repeats import remove_repeats
@@ -230,3 +233,115 @@ def op5_revisits(spark: SparkSession, folder: str) -> DataFrame:
         "response_id",
         F.array_join(lines, "\n").alias("headers"),
     )
+
+
+@query(
+    "op11_piece_table_infill",
+    r"""
+WITH
+  docs AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents),
+  drawn AS (
+    SELECT doc_id, t, u, len(u)::BIGINT AS n,
+           ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+           CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM docs),
+  cut AS (
+    SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+           array_to_string(u[greatest(a, b) + 1:], '') AS s
+    FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut""",
+)
+def op11_piece_table_infill(spark: SparkSession, folder: str) -> DataFrame:
+    shown = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    back = restore(fill_in_middle(table(spark, folder, "documents")), carry=shown)
+    return back.select(*[F.col(f"carry_{name}").alias(name) for name in shown], "restored_sha256")
+
+
+_CONTROL = r"<\\*/?s>|\[\\*/?(?:INST|SYSTEM_PROMPT|ROLE|TEXT|TURN)\]"
+
+
+@query(
+    "op12_chat_transcripts",
+    f"""
+WITH
+  rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  runs AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS before,
+           length(t) + len(regexp_extract_all(t, '{_CONTROL}')) AS chars
+    FROM rows),
+  marked AS (
+    SELECT *, CASE WHEN before = role THEN 6 WHEN role = 'user' THEN 15 WHEN role = 'assistant' THEN 5
+                   WHEN role = 'system' THEN 33
+                   ELSE 22 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS marks
+    FROM runs)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars + marks))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id""",
+)
+def op12_chat_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    tricky = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    made = format_conversations(rows).withColumn("turns", read_back(F.col("formatted")))
+    made = made.withColumn("learned", learned_text(F.col("segments")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(
+    "op13_phrase_collocations",
+    rf"""
+WITH
+  pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents),
+  grams AS (
+    SELECT lang, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]
+                        || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS phrase
+    FROM pieces),
+  f AS (SELECT lang, phrase, count(*) AS n FROM grams GROUP BY lang, phrase),
+  totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+  cands AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE n >= 10 AND contains(phrase, ' ')),
+  cuts AS (SELECT *, unnest(range(1, len(w))) AS k FROM cands),
+  scored AS (
+    SELECT c.*, l.n AS l, r.n AS r, ((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n))::BIGINT AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+                JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  longer AS (
+    SELECT lang, phrase, max(a) AS most
+    FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+          FROM cands WHERE len(w) = 3)
+    GROUP BY lang, phrase),
+  kept AS (
+    SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < 50 * a, true))
+SELECT lang, rank, phrase, a, l, r, totals.n AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN totals USING (lang) WHERE rank <= 2000""",
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_phrases(table(spark, folder, "documents"))
