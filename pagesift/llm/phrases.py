@@ -1,10 +1,9 @@
 """Phrase mining: word sequences counted in HAT-tries, collocations scored exactly.
 
-Every task counts the words, pairs and triples of its texts in one trie per language. Under
-the id of its first word a sequence sits in a hash container; a container that grows too
-large bursts into one container per second word. When the tries of a task hold too many
-entries, the largest subtrees are taken out whole and leave the task as sorted runs, packed by
-prefix partition. Spark brings the runs of a partition together, where they are merged.
+Every task counts the words, pairs and triples of its texts in one trie of word numbers per
+language, whose leaves are hash containers that burst when they grow too large. When the
+tries of a task hold too many entries, whole subtrees leave the task as sorted runs, packed
+by prefix partition. Spark brings the runs of a partition together, where they are merged.
 
 The prefix is language, first and second word, so that a frequent first word is spread; the
 third word deals every prefix out over ``_SPREAD`` partitions more, so that a frequent pair is.
@@ -16,7 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ from pagesift.plans.scratch import written
 #: The most words of a phrase. Three ids of 21 bits make a key.
 LONGEST = 3
 _BITS = 21
-_REST = (1 << 2 * _BITS) - 1
 _LAST = (1 << _BITS) - 1
 
 # What a task holds at most: sequences, words, and entries of one container.
@@ -38,6 +36,8 @@ ENTRIES, WORDS, BURST = 1_500_000, 1 << 20, 1 << 14
 _TOKENS = 1 << 16
 _PIECE = 1 << 20
 _SPREAD = 16
+#: Shares of a language's candidates that are ranked by themselves first.
+_SHARES = 64
 #: Prefix partitions for each of Spark's.
 _PARTS = 8
 
@@ -46,41 +46,57 @@ _END = b"\xff"
 _ENDS = bytes(0xFF if c in b".,;:!?\n\v\f\r" else c for c in range(256))
 
 
-class _Ids(dict):
-    """Word to number. The end of a piece is 0."""
+class _Words(dict):
+    """Word to number, the end of a piece to 0, and for each number its spelling and rank."""
 
     def __init__(self) -> None:
         super().__init__({_END: 0})
-        self.words = [b""]
+        self.spelled, self.sorted = [b""], []
+        self.hashes = np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
+        self[word] = n = len(self.spelled)
+        self.spelled.append(word)
         return n
 
+    def ranks(self) -> np.ndarray:
+        """The place of each number in the order of the words, 0 for none."""
+        # Only words that are new since the last time are out of order.
+        self.sorted += self.spelled[len(self.sorted) + 1 :]
+        self.sorted.sort()
+        ranks = np.zeros(len(self.spelled), np.int64)
+        numbers = np.fromiter(map(self.__getitem__, self.sorted), np.int64, len(self.sorted))
+        ranks[numbers] = np.arange(1, len(numbers) + 1)
+        return ranks
 
-def _groups(heads: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Value, start and end of every stretch of equal values."""
-    starts = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
-    ends = np.append(starts[1:], len(heads))
-    return zip(heads[starts].tolist(), starts.tolist(), ends.tolist(), strict=True)
+    def hashed(self) -> np.ndarray:
+        new = self.spelled[len(self.hashes) :]
+        self.hashes = np.append(self.hashes, np.fromiter(map(zlib.crc32, new), np.uint64, len(new)))
+        return self.hashes
 
 
 class HatTrie:
-    """Counts of sequences of one to three words.
+    """Counts of sequences of one to three words, whose numbers make a key.
 
-    ``root`` maps a first word to a container (sequence behind it to count) or, once that has
-    burst, to a dict from second word to container (third word to count).
+    The leaves are hash containers, from key to count. Each is the subtree of a range of first
+    words (a hybrid container) or, below one first word, of a range of second words.
+    A container with more than ``burst`` entries bursts into two at the word in its middle.
+    Only a pair of words, which holds one entry per third word, cannot burst.
     """
 
     def __init__(self, burst: int = BURST) -> None:
-        self.root: dict[int, Counter | dict[int, Counter]] = {}
-        self.ids, self.burst, self.entries, self.n_words = _Ids(), burst, 0, 0
+        self.words, self.burst, self.n_words = _Words(), burst, 0
+        #: The least key of each container, ascending.
+        self.bounds, self.containers = [0], [Counter()]
+
+    @property
+    def entries(self) -> int:
+        return sum(map(len, self.containers))
 
     def count(self, tokens: list[bytes], old: int = 0) -> None:
         """Count all sequences that end behind the first ``old`` tokens."""
-        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
-        keys = []
+        ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+        keys = [np.empty(0, np.int64)]
         for n in range(1, LONGEST + 1):
             start = max(old - n + 1, 0)
             if len(ids) - start < n:
@@ -90,57 +106,54 @@ class HatTrie:
             key = sum(c[inside] << (_BITS * (LONGEST - 1 - k)) for k, c in enumerate(columns))
             self.n_words += len(key) if n == 1 else 0
             keys.append(key)
-        keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-        if len(keys):
-            self._add(keys)
-
-    def _add(self, keys: np.ndarray) -> None:
-        rests = keys & _REST
-        listed = rests.tolist()
-        for first, start, end in _groups(keys >> 2 * _BITS):
-            node = self.root.get(first)
-            if node is None:
-                node = self.root[first] = Counter()
-            if type(node) is dict:
-                self._add_below(node, rests[start:end])
+        keys = np.sort(np.concatenate(keys))
+        places = [*np.searchsorted(keys, self.bounds).tolist(), len(keys)]
+        listed = keys.tolist()
+        full = []
+        for k, container in enumerate(self.containers):
+            if places[k] < places[k + 1]:
+                container.update(listed[places[k] : places[k + 1]])
+                if len(container) > self.burst:
+                    full.append(k)
+        for k in reversed(full):
+            self._burst(k)
+
+    def _burst(self, k: int) -> None:
+        container = self.containers[k]
+        keys = np.sort(np.fromiter(container.keys(), np.int64, len(container)))
+        for bits in (2 * _BITS, _BITS):
+            words = keys >> bits
+            if words[0] == words[-1]:
                 continue
-            before = len(node)
-            node.update(listed[start:end])
-            self.entries += len(node) - before
-            if len(node) > self.burst:
-                held = np.fromiter(node.keys(), np.int64, len(node))
-                parts: dict[int, Counter] = {}
-                for second, (rest, n) in zip((held >> _BITS).tolist(), node.items(), strict=True):
-                    parts.setdefault(second, Counter())[rest & _LAST] = n
-                self.root[first] = parts
-
-    def _add_below(self, node: dict[int, Counter], rests: np.ndarray) -> None:
-        listed = (rests & _LAST).tolist()
-        for second, start, end in _groups(rests >> _BITS):
-            child = node.get(second)
-            if child is None:
-                child = node[second] = Counter()
-            before = len(child)
-            child.update(listed[start:end])
-            self.entries += len(child) - before
-
-    def size(self, first: int) -> int:
-        node = self.root[first]
-        return sum(map(len, node.values())) if type(node) is dict else len(node)
-
-    def take(self, firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of whole subtrees, which are then gone."""
-        keys, counts = [], []
-        for first in firsts:
-            node = self.root.pop(first)
-            children = node.items() if type(node) is dict else [(0, node)]
-            for second, child in children:
-                held = np.fromiter(child.keys(), np.int64, len(child))
-                keys.append(held | (first << 2 * _BITS) | (second << _BITS))
-                counts.append(np.fromiter(child.values(), np.int64, len(child)))
-                self.entries -= len(child)
-        if not keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            # The first key of the word in the middle, or of the next one if that begins the container.
+            middle = words[len(words) // 2]
+            middle = middle if middle > words[0] else words[np.searchsorted(words, middle, "right")]
+            bound = int(middle) << bits
+            upper = Counter({key: n for key, n in container.items() if key >= bound})
+            lower = Counter({key: n for key, n in container.items() if key < bound})
+            self.containers[k : k + 1] = [lower, upper]
+            self.bounds.insert(k + 1, bound)
+            for part in (k + 1, k):
+                if len(self.containers[part]) > self.burst:
+                    self._burst(part)
+            return
+
+    def take(self, entries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of whole subtrees with ``entries`` entries or more, which are then gone:
+        those of the newest words, which are seldom met again."""
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while entries > 0 and self.containers:
+            taken = self.containers.pop()
+            bound = self.bounds.pop()
+            keys.append(np.fromiter(taken.keys(), np.int64, len(taken)))
+            counts.append(np.fromiter(taken.values(), np.int64, len(taken)))
+            entries -= len(taken)
+        # Nothing is below the taken subtrees now: the one before them reaches further.
+        if not self.containers:
+            self.bounds, self.containers = [0], [Counter()]
+        elif len(keys) > 1:
+            self.bounds.append(bound)
+            self.containers.append(Counter())
         return np.concatenate(keys), np.concatenate(counts)
 
 
@@ -158,28 +171,38 @@ def tokens_of(text: bytes) -> Iterator[list[bytes]]:
     yield [_END]
 
 
-def _runs(trie: HatTrie, firsts: list[int], lang: str, parts: int) -> list[tuple[int, str, bytes]]:
-    """Whole subtrees as sorted runs, one for each prefix partition: part, lang, packed lines of
-    a phrase and its count."""
-    keys, counts = trie.take(firsts)
+#: How a count is written behind its phrase.
+_COUNTS = np.array([b"\t%d" % n for n in range(1000)], object)
+
+
+def _groups(heads: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of every stretch of equal values."""
+    starts = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+    ends = np.append(starts[1:], len(heads))
+    return zip(heads[starts].tolist(), starts.tolist(), ends.tolist(), strict=True)
+
+
+def _runs(trie: HatTrie, entries: int, lang: str, parts: int) -> list[tuple[int, str, bytes]]:
+    """Subtrees as sorted runs, one for each prefix partition: part, lang, packed lines of a
+    phrase and its count."""
+    keys, counts = trie.take(entries)
     if not len(keys):
         return []
-    used = np.unique(np.concatenate([keys >> 2 * _BITS, keys >> _BITS & _LAST, keys & _LAST]))
-    words = trie.ids.words
-    spelled = sorted((words[k], k) for k in used.tolist())
-    rank = np.zeros(len(words), np.int64)
-    hashes = np.zeros(len(words), np.uint64)
-    for place, (word, k) in enumerate(spelled):
-        rank[k], hashes[k] = place, zlib.crc32(word)
+    ranks, hashes = trie.words.ranks(), trie.words.hashed()
     ids = [keys >> 2 * _BITS, keys >> _BITS & _LAST, keys & _LAST]
     prefix = mix(hashes[ids[0]] << np.uint64(32) | hashes[ids[1]]) + hashes[ids[2]] % np.uint64(_SPREAD)
-    part = (mix(prefix) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((rank[ids[2]], rank[ids[1]], rank[ids[0]], part))
-    a, b, c = ([words[k] for k in column[order].tolist()] for column in ids)
-    lines = [
-        b"%b %b %b\t%d" % (x, y, z, n) if z else b"%b %b\t%d" % (x, y, n) if y else b"%b\t%d" % (x, n)
-        for x, y, z, n in zip(a, b, c, counts[order].tolist(), strict=True)
-    ]
+    part = (mix(prefix) % np.uint64(parts)).astype(np.uint32)
+    order = np.argsort(ranks[ids[0]] << 2 * _BITS | ranks[ids[1]] << _BITS | ranks[ids[2]])
+    order = order[np.argsort(part[order], kind="stable")]
+    words = np.array(trie.words.spelled, object)
+    further = b" " + words
+    further[0] = b""
+    a, b, c = (column[order] for column in ids)
+    counts = counts[order]
+    shown = _COUNTS[np.minimum(counts, len(_COUNTS) - 1)]
+    for k in np.flatnonzero(counts >= len(_COUNTS)).tolist():
+        shown[k] = b"\t%d" % counts[k]
+    lines = (words[a] + further[b] + further[c] + shown).tolist()
     packer = zstandard.ZstdCompressor(level=1)
     return [(p, lang, packer.compress(b"\n".join(lines[s:e]))) for p, s, e in _groups(part[order])]
 
@@ -190,26 +213,20 @@ _RUN = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("run", pa.binary
 def _counted(batches: Iterator[pa.RecordBatch], parts: int, entries: int) -> Iterator[pa.RecordBatch]:
     tries: dict[str, HatTrie] = {}
 
+    def batch_of(runs: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+        columns = zip(zip(*runs, strict=True), _RUN.types, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], schema=_RUN)
+
     def spill(share: float) -> Iterator[pa.RecordBatch]:
-        sized = sorted(((t.size(f), lang, f) for lang, t in tries.items() for f in t.root), reverse=True)
-        left, chosen = share * sum(t.entries for t in tries.values()), {}
-        for size, lang, first in sized:
-            if left <= 0:
-                break
-            chosen.setdefault(lang, []).append(first)
-            left -= size
-        for lang, firsts in chosen.items():
-            runs = _runs(tries[lang], firsts, lang, parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, kind) for values, kind in zip(zip(*runs, strict=True), _RUN.types, strict=True)],
-                schema=_RUN,
-            )
+        for lang, trie in tries.items():
+            if runs := _runs(trie, int(np.ceil(share * trie.entries)), lang, parts):
+                yield batch_of(runs)
 
     def room() -> Iterator[pa.RecordBatch]:
-        if sum(len(t.ids) for t in tries.values()) > WORDS:
+        if sum(len(t.words) for t in tries.values()) > WORDS:
             yield from spill(1)
             for trie in tries.values():
-                trie.ids = _Ids()
+                trie.words = _Words()
         elif sum(t.entries for t in tries.values()) > entries:
             yield from spill(0.5)
 
@@ -232,13 +249,9 @@ def _counted(batches: Iterator[pa.RecordBatch], parts: int, entries: int) -> Ite
             yield from room()
     yield from spill(1)
     # The number of words goes with the empty phrase.
-    packer = zstandard.ZstdCompressor(level=1)
-    totals = [(0, lang, packer.compress(b"\t%d" % trie.n_words)) for lang, trie in tries.items()]
-    if totals:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values, kind) for values, kind in zip(zip(*totals, strict=True), _RUN.types, strict=True)],
-            schema=_RUN,
-        )
+    pack = zstandard.ZstdCompressor(level=1).compress
+    if tries:
+        yield batch_of([(0, lang, pack(b"\t%d" % trie.n_words)) for lang, trie in tries.items()])
 
 
 def merge_runs(runs: list[bytes], least: int) -> tuple[list[bytes], list[int]]:
@@ -247,15 +260,19 @@ def merge_runs(runs: list[bytes], least: int) -> tuple[list[bytes], list[int]]:
     The sort takes every run for one of its own and merges them; lines of one phrase begin
     alike, so they end up next to each other.
     """
-    unpacker = zstandard.ZstdDecompressor()
-    lines = [line for run in runs for line in unpacker.decompress(run).split(b"\n")]
+    unpack = zstandard.ZstdDecompressor().decompress
+    lines = [line for run in runs for line in unpack(run).split(b"\n")]
     lines.sort()
-    phrases, counts = [], []
-    for phrase, same in groupby((line.rpartition(b"\t") for line in lines), key=lambda x: x[0]):
-        n = sum(int(x[2]) for x in same)
-        if n >= least or not phrase:
-            phrases.append(phrase)
-            counts.append(n)
+    phrases, counts, last, total = [], [], None, 0
+    for line in chain(lines, (b"",)):
+        phrase, tab, n = line.rpartition(b"\t")
+        if phrase == last and tab:
+            total += int(n)
+            continue
+        if last is not None and (total >= least or not last):
+            phrases.append(last)
+            counts.append(total)
+        last, total = phrase, int(n or 0)
     return phrases, counts
 
 
@@ -332,7 +349,12 @@ def mine_phrases(
     kept = kept.filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     kept = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # The first of each share of a language before the first of all.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    kept = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(_SHARES)))
+    place = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
+    kept = kept.withColumn("place", place).filter(F.col("place") <= top).drop("share", "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    first = kept.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
     totals = counts.filter("phrase = ''").groupBy("lang").agg(F.sum("f").alias("n"))
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pagesift.llm import phrases
@@ -88,17 +89,26 @@ def test_spills_and_bursts_change_nothing(spark, monkeypatch):
         for trie in (small, large):
             old = min(start, 2)
             trie.count(tokens[start - old : start + 100], old)
-    assert any(type(node) is dict for node in small.root.values())
-    assert small.entries == large.entries and small.n_words == large.n_words
-    assert sum(map(small.size, small.root)) == small.entries
-
-    def held(trie):
-        keys, counts = trie.take(list(trie.root))
-        assert trie.entries == 0 and not trie.root
-        return dict(zip(keys.tolist(), counts.tolist(), strict=True))
-
-    a, b = held(small), held(large)
-    assert a == b and sum(a.values()) > len(tokens)
+    assert len(small.containers) > 50 and len(large.containers) == 1
+    assert small.bounds == sorted(set(small.bounds)) and small.n_words == large.n_words
+    # Only containers of one pair may be larger.
+    for container in small.containers:
+        assert len(container) <= 4 or len({key >> 21 for key in container}) == 1
+    for k, (low, container) in enumerate(zip(small.bounds, small.containers, strict=True)):
+        above = small.bounds[k + 1] if k + 1 < len(small.bounds) else 1 << 63
+        assert all(low <= key < above for key in container)
+
+    def held(trie, share):
+        out = Counter()
+        while trie.entries:
+            keys, counts = trie.take(int(np.ceil(share * trie.entries)))
+            out.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        return out
+
+    whole = held(large, 1)
+    assert held(small, 0.5) == whole and sum(whole.values()) > len(tokens)
+    small.count([b"a", b"b"])
+    assert small.entries == 3
 
 
 def test_a_long_text_is_cut_between_words(monkeypatch):
