@@ -19,6 +19,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ _BITS = 21
 _LAST = (1 << _BITS) - 1
 
 # What a task holds at most: sequences, words, and entries of one container.
-ENTRIES, WORDS, BURST = 1_500_000, 1 << 20, 1 << 14
+ENTRIES, WORDS, BURST = 2_000_000, 1 << 20, 1 << 15
 _TOKENS = 1 << 16
 _PIECE = 1 << 20
 _SPREAD = 16
@@ -139,23 +140,22 @@ class HatTrie:
             return
 
     def take(self, entries: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of whole subtrees with ``entries`` entries or more, which are then gone:
-        those of the newest words, which are seldom met again."""
+        """Keys and counts of whole subtrees with ``entries`` entries or more, which are empty then:
+        those of the newest words, which are seldom met again. The trie keeps its shape."""
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        while entries > 0 and self.containers:
-            taken = self.containers.pop()
-            bound = self.bounds.pop()
+        for k in reversed(range(len(self.containers))):
+            if entries <= 0:
+                break
+            taken, self.containers[k] = self.containers[k], Counter()
             keys.append(np.fromiter(taken.keys(), np.int64, len(taken)))
             counts.append(np.fromiter(taken.values(), np.int64, len(taken)))
             entries -= len(taken)
-        # Nothing is below the taken subtrees now: the one before them reaches further.
-        if not self.containers:
-            self.bounds, self.containers = [0], [Counter()]
-        elif len(keys) > 1:
-            self.bounds.append(bound)
-            self.containers.append(Counter())
         return np.concatenate(keys), np.concatenate(counts)
 
+    def forget(self) -> None:
+        """Start over with new numbers, once everything has been taken."""
+        self.words, self.bounds, self.containers = _Words(), [0], [Counter()]
+
 
 def tokens_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, A-Z lower-cased, with marks between its pieces and one at its end.
@@ -171,10 +171,6 @@ def tokens_of(text: bytes) -> Iterator[list[bytes]]:
     yield [_END]
 
 
-#: How a count is written behind its phrase.
-_COUNTS = np.array([b"\t%d" % n for n in range(1000)], object)
-
-
 def _groups(heads: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Value, start and end of every stretch of equal values."""
     starts = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
@@ -194,17 +190,17 @@ def _runs(trie: HatTrie, entries: int, lang: str, parts: int) -> list[tuple[int,
     part = (mix(prefix) % np.uint64(parts)).astype(np.uint32)
     order = np.argsort(ranks[ids[0]] << 2 * _BITS | ranks[ids[1]] << _BITS | ranks[ids[2]])
     order = order[np.argsort(part[order], kind="stable")]
-    words = np.array(trie.words.spelled, object)
-    further = b" " + words
-    further[0] = b""
+    words = pa.array(trie.words.spelled, pa.large_binary())
+    space, tab, end, nothing = (pa.scalar(mark, pa.large_binary()) for mark in (b" ", b"\t", b"\n", b""))
+    spaces = pc.if_else(pa.array(np.arange(len(words)) > 0), space, nothing)
+    further = pc.binary_join_element_wise(spaces, words, nothing)
     a, b, c = (column[order] for column in ids)
-    counts = counts[order]
-    shown = _COUNTS[np.minimum(counts, len(_COUNTS) - 1)]
-    for k in np.flatnonzero(counts >= len(_COUNTS)).tolist():
-        shown[k] = b"\t%d" % counts[k]
-    lines = (words[a] + further[b] + further[c] + shown).tolist()
-    packer = zstandard.ZstdCompressor(level=1)
-    return [(p, lang, packer.compress(b"\n".join(lines[s:e]))) for p, s, e in _groups(part[order])]
+    shown = pa.array(counts[order]).cast(pa.large_string()).cast(pa.large_binary())
+    lines = pc.binary_join_element_wise(words.take(a), further.take(b), further.take(c), tab, shown, end, nothing)
+    offsets = np.frombuffer(lines.buffers()[1], np.int64)
+    spelled, pack = memoryview(lines.buffers()[2]), zstandard.ZstdCompressor(level=1).compress
+    # The end of the last line of a run is left out.
+    return [(p, lang, pack(spelled[offsets[s] : offsets[e] - 1])) for p, s, e in _groups(part[order])]
 
 
 _RUN = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("run", pa.binary())])
@@ -226,7 +222,7 @@ def _counted(batches: Iterator[pa.RecordBatch], parts: int, entries: int) -> Ite
         if sum(len(t.words) for t in tries.values()) > WORDS:
             yield from spill(1)
             for trie in tries.values():
-                trie.words = _Words()
+                trie.forget()
         elif sum(t.entries for t in tries.values()) > entries:
             yield from spill(0.5)
 
