@@ -168,6 +168,13 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def source_volumes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source as one document with a page per text."""
+    return table(spark, folder, "documents").select(
+        F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text"
+    )
+
+
 def job_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as status changes of a job per user."""
     return table(spark, folder, "events").select(

@@ -180,6 +180,19 @@ def summary_prompts_page_rows(spark, folder):
     return texts.select("doc_id", prompt.alias("prompt"))
 
 
+@query(
+    "doc_text_chunks",
+    f"""WITH texts AS (
+      SELECT source AS doc_id, string_agg('[Page ' || doc_id || ']' || {NL} || text, {NL} || {NL} ORDER BY doc_id) AS t
+      FROM documents WHERE {strip("text")} <> '' GROUP BY source)
+    SELECT doc_id, chunk_no, substr(t, chunk_no * 50000 + 1, 50000) AS text
+    FROM texts, unnest(range(0, (length(t) + 49999) // 50000)) AS c(chunk_no)""",
+)
+def doc_text_chunks(spark, folder):
+    """A source as one document, its texts as pages: some documents have most of the pages."""
+    return paged.text_chunks(derived.source_volumes(spark, folder), size=50_000)
+
+
 @query(
     "summary_status",
     f"""WITH {FULL_TEXT}, counted AS (

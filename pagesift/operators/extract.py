@@ -7,6 +7,8 @@ the scan to the extracted array, and its nodes are limited to the tags in use.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from pagesift.functions.urls import (
 )
 from pagesift.operators.css import hits_of
 from pagesift.operators.video import blob_of, is_record, video_of
-from pagesift.sources.html import page_nodes
+from pagesift.sources.html import Reads, asked_nodes, page_nodes
 
 # The modes and the tags each of them reads.
 MODES = ("all", "essential", "links", "text", "images", "tables", "meta", "custom")
@@ -44,6 +46,16 @@ META_ATTRS = ("name", "property", "content", "http-equiv", "charset")
 IMAGE_ATTRS = ("src", "alt", "title", "width", "height")
 LINK_ATTRS = ("href", "title", "rel")
 DIGEST_BUDGET = 2000
+#: What each mode reads of a page. Selectors may read anything.
+READS = {
+    "all": Reads(("title", *HEADING_TAGS, "p", "a", "img", *TABLE_TAGS), (*LINK_ATTRS, *IMAGE_ATTRS)),
+    "essential": Reads(("title", "meta", "a", *DIGEST_TAGS), ("href", "name", "property", "content"), True),
+    "links": Reads(("a",), LINK_ATTRS),
+    "text": Reads(TEXT_TAGS, ()),
+    "images": Reads(("img",), IMAGE_ATTRS),
+    "tables": Reads(TABLE_TAGS, ()),
+    "meta": Reads(("meta",), META_ATTRS),
+}
 
 
 def _nodes(pages: DataFrame, tags: tuple[str, ...], attrs: tuple[str, ...] = (), **options) -> DataFrame:
@@ -281,8 +293,8 @@ def budgeted_text(pages: DataFrame, budget: int = DIGEST_BUDGET) -> DataFrame:
 
 def page_record(pages: DataFrame, clean: bool = True, include_meta: bool = False) -> DataFrame:
     """One row per page with every section; ``meta`` is NULL unless asked for."""
-    tags = ("title", *HEADING_TAGS, "p", "a", "img", *TABLE_TAGS) + (("meta",) if include_meta else ())
-    attrs = (*LINK_ATTRS, *IMAGE_ATTRS) + (META_ATTRS if include_meta else ())
+    tags = READS["all"].tags + (("meta",) if include_meta else ())
+    attrs = READS["all"].attrs + (META_ATTRS if include_meta else ())
     meta = meta_of(F.col("nodes"))
     return _nodes(pages, tags, attrs).select(
         "page_id",
@@ -349,6 +361,60 @@ def extract(
     return parsed.select("page_id", "url", items.alias("items"))
 
 
+def result_of(mode: str, nodes: Column, base: Column, url: Column, data: Column, clean: bool = True) -> Column:
+    """The result of a mode as a struct: ``items`` of list modes, the sections of ``all``, the
+    ``digest`` or ``video`` of ``essential``, for which ``data`` is the video data."""
+    if mode == "all":
+        return F.struct(
+            title_of(nodes).alias("title"),
+            texts_of(nodes, *HEADING_TAGS).alias("headings"),
+            texts_of(nodes, "p").alias("paragraphs"),
+            links_of(nodes, base, clean).alias("links"),
+            images_of(nodes, base).alias("images"),
+            tables_of(nodes, clean).alias("tables"),
+            F.when(F.lit(False), meta_of(nodes)).alias("meta"),
+        )
+    if mode == "essential":
+        found = is_record(data)
+        return F.struct(
+            F.when(~found, digest_of(nodes, base, url, clean)).alias("digest"),
+            F.when(found, video_of(data, nodes, url)).alias("video"),
+        )
+    items = {
+        "links": lambda: links_of(nodes, base, clean),
+        "text": lambda: text_blocks_of(nodes, clean),
+        "images": lambda: images_of(nodes, base),
+        "tables": lambda: tables_of(nodes, clean),
+        "meta": lambda: meta_of(nodes),
+    }[mode]()
+    return F.struct(items.alias("items"))
+
+
+def extract_asked(
+    pages: DataFrame, modes: Sequence[str], asked: str = "asked", keep: tuple[str, ...] = ("page_id", "url")
+) -> DataFrame:
+    """The columns in ``keep`` and a struct per mode in ``modes``, see ``result_of``, one row per page.
+
+    ``asked`` is a column with the modes asked of each page, an array; the struct of any other
+    mode is NULL and not computed. The markup of a page is taken apart in one pass whatever is
+    asked of it.
+    """
+    blob = F.when(F.array_contains(asked, "essential"), blob_of(F.col("html"), F.col("url")))
+    with_blob = pages.withColumn("__blob", blob if "essential" in modes else F.lit(None).cast("string"))
+    inner = tuple(dict.fromkeys((*keep, "url", asked, "__blob")))
+    # The names asked are needed on both sides of the node making.
+    twice = with_blob.withColumn("__asked", F.col(asked))
+    parsed = asked_nodes(twice, {mode: READS[mode] for mode in modes}, "__asked", inner)
+    parsed = parsed.withColumn("__base", base_parts(F.col("url"))).withColumn("__data", F.try_parse_json("__blob"))
+
+    def result(mode: str) -> Column:
+        nodes = F.col("noisy" if READS[mode].noise else "nodes")
+        found = result_of(mode, nodes, F.col("__base"), F.col("url"), F.col("__data"))
+        return F.when(F.array_contains(asked, mode), found).alias(mode)
+
+    return parsed.select(*keep, *[result(mode) for mode in modes])
+
+
 def node_counts(pages: DataFrame) -> DataFrame:
     """Elements per page and tag, noise left out: page_id, tag, n. Counted in the row,
     as a page is one row: no shuffle."""
@@ -398,5 +464,4 @@ def _explode_texts(parsed: DataFrame, texts: Column) -> DataFrame:
 
 
 def _digest_nodes(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    tags = ("title", "meta", "a", *DIGEST_TAGS)
-    return _nodes(pages, tags, ("href", "name", "property", "content"), keep_noise=True, keep=keep)
+    return _nodes(pages, READS["essential"].tags, READS["essential"].attrs, keep_noise=True, keep=keep)

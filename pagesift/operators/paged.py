@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.pageranges import bad_spec_reason, check_spec, page_range
 from pagesift.functions.text import normalise_page, strip
-from pagesift.plans.skew import HOT_KEYS, HOT_ROWS
+from pagesift.plans.choice import key_filter
+from pagesift.plans.scratch import written
 from pagesift.schema import PROMPT_CHARS
 
 
@@ -98,45 +99,90 @@ def doc_full_text(docs: DataFrame, spec: str = "all") -> DataFrame:
     return docs.select("doc_id", text.alias("full_text"))
 
 
-def leading_text(pages: DataFrame, limit: int = PROMPT_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The first ``limit`` characters of each document's running text, from page rows.
+#: Page numbers of a block. Offsets are summed up over blocks and then within each.
+BLOCK = 1000
+_JOINT = "\n\n"
 
-    Each page that is not blank adds at least 12 characters (mark, text, joint), so
-    pages past ``limit`` / 12 + 1 cannot show. Spark cuts each document to that many
-    pages per task before the shuffle (a window group limit). A document that is found
-    in very many tasks would still gather from all of them, so for documents of
-    ``hot_rows`` pages and more, most pages past the cut are dropped beforehand.
-    """
-    needed = limit // 12 + 1
-    entry = F.substring(page_entry(F.col("page_no"), F.col("text")), 1, limit)
-    filled = pages.filter(strip(F.col("text")) != "")
-    near = _drop_far_pages(filled, needed, hot_rows).select("doc_id", "page_no", entry.alias("entry"))
-    first = Window.partitionBy("doc_id").orderBy("page_no")
-    ranked = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= needed)
-    entries = F.array_sort(F.collect_list(F.struct("page_no", "entry")))
-    joined = F.array_join(F.transform(entries, lambda e: e["entry"]), "\n\n")
-    return ranked.groupBy("doc_id").agg(F.substring(joined, 1, limit).alias("text"))
-
-
-def _drop_far_pages(filled: DataFrame, needed: int, hot_rows: int, block: int = 1000) -> DataFrame:
-    """Without the pages of hot documents that lie past the block in which the needed
-    number of pages is reached. Pages are counted per block of page numbers; at most
-    ``HOT_KEYS`` documents are hot, which bounds both broadcasts."""
-    hot = (
-        filled.groupBy("doc_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"))
-        .limit(HOT_KEYS)
+
+def _entries(pages: DataFrame, block: int) -> DataFrame:
+    """The pages that a running text shows, with their blocks and their length with a joint."""
+    entry = page_entry(F.col("page_no"), F.col("text"))
+    shown = pages.filter("doc_id is not null and page_no is not null").filter(strip(F.col("text")) != "")
+    shown = shown.select("doc_id", F.col("page_no").cast("long").alias("page_no"), entry.alias("entry"))
+    return shown.withColumn("block", F.floor(F.col("page_no") / block)).withColumn(
+        "size", (F.length("entry") + len(_JOINT)).cast("long")
     )
-    block_no = F.floor(F.col("page_no") / block)
-    blocks = (
-        filled.join(F.broadcast(hot.select("doc_id")), "doc_id", "left_semi")
-        .groupBy("doc_id", block_no.alias("block"))
-        .agg(F.count("*").alias("n"))
+
+
+def _block_offsets(entries: DataFrame) -> DataFrame:
+    """``doc_id, block, before, total``: how much text of the document comes before a block, and
+    all of it, joints included. A row for each block, made from sums per task."""
+    sizes = entries.groupBy("doc_id", "block").agg(F.sum("size").alias("size"))
+    whole = Window.partitionBy("doc_id")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        "doc_id",
+        "block",
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
+        F.sum("size").over(whole).alias("total"),
     )
-    so_far = F.sum("n").over(Window.partitionBy("doc_id").orderBy("block"))
-    reached = blocks.withColumn("so_far", so_far).filter(F.col("so_far") >= needed)
-    cuts = reached.groupBy("doc_id").agg(((F.min("block") + 1) * block).alias("cut"))
-    marked = filled.join(F.broadcast(cuts), "doc_id", "left")
-    return marked.filter(F.col("cut").isNull() | (F.col("page_no") < F.col("cut"))).drop("cut")
+
+
+def _placed(entries: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Entries with ``start``, their place in the running text, and ``shown``, the entry with
+    the joint that follows it. Each block of a document is a group of its own."""
+    within = Window.partitionBy("doc_id", "block").orderBy("page_no", "entry")
+    within = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = entries.withColumn("within", F.coalesce(within, F.lit(0))).join(offsets, ["doc_id", "block"])
+    rows = rows.withColumn("start", F.col("before") + F.col("within"))
+    last = F.col("start") + F.col("size") == F.col("total")
+    return rows.withColumn("shown", F.when(last, F.col("entry")).otherwise(F.concat("entry", F.lit(_JOINT))))
+
+
+def text_chunks(pages: DataFrame, size: int = 1 << 20, block: int = BLOCK) -> DataFrame:
+    """The running text of documents with one row per page: doc_id, chunk_no (from 0), text.
+
+    Put together in order, the chunks are the text that ``doc_full_text`` gives for a landed
+    document. Every chunk but the last of a document has ``size`` characters. Nothing gathers more
+    than a chunk or a block of pages, so a document may be most of the table. Where a page
+    lies in the text is a sum over the blocks before it and over its block. Pages with
+    one number follow each other by text. Rows without document or page number and blank
+    pages are left out, and so are documents without any other.
+    """
+    entries = _entries(pages, block)
+    placed = _placed(entries, _block_offsets(entries))
+    end = F.col("start") + F.length("shown")
+    numbers = F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))
+
+    def piece(number: Column) -> Column:
+        begin = F.greatest(number * size, F.col("start"))
+        upto = F.least((number + 1) * size, end)
+        text = F.substring("shown", (begin - F.col("start") + 1).cast("int"), (upto - begin).cast("int"))
+        return F.struct(number.alias("chunk_no"), begin.alias("begin"), text.alias("text"))
+
+    pieces = placed.select("doc_id", F.explode(F.transform(numbers, piece)).alias("piece"))
+    in_order = F.sort_array(F.collect_list(F.struct("piece.begin", "piece.text")))
+    text = F.array_join(F.transform(in_order, lambda p: p["text"]), "")
+    return pieces.groupBy("doc_id", F.col("piece.chunk_no").alias("chunk_no")).agg(text.alias("text"))
+
+
+def leading_text(pages: DataFrame, limit: int = PROMPT_CHARS, block: int = BLOCK) -> DataFrame:
+    """The first ``limit`` characters of each document's running text, from page rows.
+
+    Which blocks of pages begin within the limit is told by lengths alone, before any text is
+    shuffled; the pages of other blocks stay behind, but for some that the filter lets
+    through. A document gathers ``limit`` characters, whatever the limit and its pages. Treats
+    odd rows like ``text_chunks``.
+    """
+    entries = _entries(pages, block)
+    offsets = written(_block_offsets(entries), "blocks")
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("block").cast("string"))
+    # Nearly all documents have but one block; the others' later blocks are few.
+    later = offsets.filter((F.col("block") > 0) & (F.col("before") < limit)).select(key.alias("key"))
+    near = entries.filter((F.col("block") <= 0) | key_filter(later, "key")(key))
+    near = near.withColumn("entry", F.substring("entry", 1, limit))
+    placed = _placed(near, offsets).filter(F.col("start") < limit)
+    cut = F.substring("shown", F.lit(1), (limit - F.col("start")).cast("int"))
+    in_order = F.sort_array(F.collect_list(F.struct("start", cut.alias("text"))))
+    text = F.array_join(F.transform(in_order, lambda p: p["text"]), "")
+    return placed.groupBy("doc_id").agg(text.alias("text"))

@@ -5,9 +5,10 @@ Every rendering is a string column, one body per page, built in the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagesift.functions.text import bool_cell, first_filled, md_cell
 from pagesift.operators.grids import csv_line
@@ -43,6 +44,11 @@ SECTIONS = {
         ("pdf_links", "values"),
     ),
 }
+# The fields of a video record, in order; one is a flag.
+VIDEO_FIELDS = (
+    "platform", "url", "video_id", "title", "channel", "short_description", "duration_seconds",
+    "view_count", "publish_date", "category", "thumbnail", "is_live",
+)
 # First-seen order of the fields when all sections are stacked.
 FLAT_FIELDS = (
     "value", "text", "href", "title", "rel", "src", "alt", "width", "height",
@@ -50,6 +56,8 @@ FLAT_FIELDS = (
     "http_equiv", "charset",
 )
 _SECTION_ROWS = "array<struct<section: string, value: string>>"
+#: Where the fields of a result are found: columns of a table, or fields of a struct.
+Fields = Callable[[str], Column]
 _TYPED = {"table_index": "int", "index": "int", "has_header": "bool", "rows": "json"}
 
 
@@ -132,56 +140,76 @@ def _txt_section(name: str, kind: str, value: Column) -> Column:
     return F.concat(heading, body, _lines(""))
 
 
-def _sections(extracted: DataFrame, mode: str) -> list[tuple[str, str, Column]]:
+def _sections(of: Fields, mode: str, video: Sequence[str] = VIDEO_FIELDS) -> list[tuple[str, str, Column]]:
     """Name, kind and value of every section; one that is NULL was not asked for.
 
     An ``essential`` page has a digest or a video record; the sections of the other are NULL.
     """
     if mode != "essential":
-        return [(name, kind, F.col(name)) for name, kind in SECTIONS[mode]]
-    digest = [(name, kind, F.col("digest")[name]) for name, kind in SECTIONS[mode]]
-    return digest + [
-        (field.name, "value", F.when(F.col("video").isNotNull(), _video_cell(field)))
-        for field in extracted.schema["video"].dataType.fields
-    ]
+        return [(name, kind, of(name)) for name, kind in SECTIONS[mode]]
+    digest = [(name, kind, of("digest")[name]) for name, kind in SECTIONS[mode]]
+    record = of("video")
+    return digest + [(name, "value", F.when(record.isNotNull(), _video_cell(record[name], name))) for name in video]
 
 
-def _video_cell(field: T.StructField) -> Column:
-    value = F.col("video")[field.name]
-    if isinstance(field.dataType, T.BooleanType):
-        value = bool_cell(value)
-    elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
-        value = F.to_json(value)
-    return F.coalesce(value.cast("string"), F.lit(""))
+def _video_cell(value: Column, name: str) -> Column:
+    shown = bool_cell(value) if name == "is_live" else value.cast("string")
+    return F.coalesce(shown, F.lit(""))
 
 
-def _record_lines(extracted: DataFrame, mode: str, section) -> Column:
+def _record_lines(sections: list[tuple[str, str, Column]], section) -> Column:
     """The lines of all sections that were asked for."""
     return F.concat(
-        *[
-            F.when(value.isNotNull(), section(name, kind, value)).otherwise(_none())
-            for name, kind, value in _sections(extracted, mode)
-        ]
+        *[F.when(value.isNotNull(), section(name, kind, value)).otherwise(_none()) for name, kind, value in sections]
     )
 
 
 def page_txt(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
     """page_id, url, body: numbered lines for a list mode, section blocks for a record."""
-    head = _lines(
-        F.concat(F.lit("# Scraped: "), "url"), f"# Mode: {mode}", F.concat(F.lit("# At: "), _at(at)), ""
-    )
+    return page_bodies(extracted, mode, "txt", at)
+
+
+def page_md(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
+    """page_id, url, body: a facts table, then an item table or headed sections."""
+    return page_bodies(extracted, mode, "md", at)
+
+
+def page_json(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
+    """page_id, url, body: ``{"metadata": .., "data": ..}``."""
+    return page_bodies(extracted, mode, "json", at)
+
+
+def page_csv(extracted: DataFrame, mode: str) -> DataFrame:
+    """page_id, url, body: the header and rows of ``page_csv_rows``, without key and position,
+    as one CSV text per page."""
+    return page_bodies(extracted, mode, "csv", "")
+
+
+def _video_names(extracted: DataFrame, mode: str) -> Sequence[str]:
+    return extracted.schema["video"].dataType.names if mode == "essential" else ()
+
+
+def page_body(
+    mode: str, fmt: str, at: str | Column, of: Fields = F.col, video: Sequence[str] = VIDEO_FIELDS
+) -> Column:
+    """What the file of a page holds, as an expression over ``url`` and the fields of its result."""
+    body = {"json": _json_body, "csv": _csv_body, "txt": _txt_body, "md": _md_body}[fmt]
+    return body(mode, _at(at), of, _sections(of, mode, video) if mode in SECTIONS else [])
+
+
+def _txt_body(mode: str, at: Column, of: Fields, sections: list[tuple[str, str, Column]]) -> Column:
+    head = _lines(F.concat(F.lit("# Scraped: "), F.col("url")), f"# Mode: {mode}", F.concat(F.lit("# At: "), at), "")
     if mode in SECTIONS:
-        lines = _record_lines(extracted, mode, _txt_section)
+        lines = _record_lines(sections, _txt_section)
     else:
         lines = F.transform(
-            "items",
+            of("items"),
             lambda item, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), item_text(item, mode)),
         )
-    return _bodies(extracted, F.array_join(F.concat(head, lines), "\n"))
+    return F.array_join(F.concat(head, lines), "\n")
 
 
-def page_md(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
-    """page_id, url, body: a facts table, then an item table or headed sections."""
+def _md_body(mode: str, at: Column, of: Fields, sections: list[tuple[str, str, Column]]) -> Column:
     head = _lines(
         "# Scraped Data",
         "",
@@ -189,45 +217,37 @@ def page_md(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
         "|---|---|",
         _code("URL", F.col("url")),
         f"| Mode | `{mode}` |",
-        _code("Scraped at", _at(at)),
+        _code("Scraped at", at),
         "",
     )
     if mode in SECTIONS:
-        lines = _record_lines(extracted, mode, lambda n, k, v: _md_section(n, k, v, mode))
+        lines = _record_lines(sections, lambda n, k, v: _md_section(n, k, v, mode))
     else:
-        lines = F.when(F.size("items") > 0, _md_table(F.col("items"), mode)).otherwise(
-            _lines("_No items found._")
-        )
-    return _bodies(extracted, F.array_join(F.concat(head, lines), "\n"))
+        items = of("items")
+        lines = F.when(F.size(items) > 0, _md_table(items, mode)).otherwise(_lines("_No items found._"))
+    return F.array_join(F.concat(head, lines), "\n")
 
 
-def page_json(extracted: DataFrame, mode: str, at: str | Column) -> DataFrame:
-    """page_id, url, body: ``{"metadata": .., "data": ..}``."""
-    metadata = F.struct(
-        F.col("url").alias("url"), F.lit(mode).alias("mode"), _at(at).alias("scraped_at")
-    )
+def _json_body(mode: str, at: Column, of: Fields, sections: list[tuple[str, str, Column]]) -> Column:
+    metadata = F.struct(F.col("url").alias("url"), F.lit(mode).alias("mode"), at.alias("scraped_at"))
     if mode == "essential":
-        data = F.when(F.col("digest").isNotNull(), F.to_json("digest")).otherwise(F.to_json("video"))
+        data = F.when(of("digest").isNotNull(), F.to_json(of("digest"))).otherwise(F.to_json(of("video")))
     elif mode == "all":
-        data = F.to_json(F.struct(*[name for name, _ in SECTIONS["all"]]))
+        data = F.to_json(F.struct(*[of(name).alias(name) for name, _ in SECTIONS["all"]]))
     else:
-        data = F.to_json("items")
-    body = F.concat(F.lit('{"metadata":'), F.to_json(metadata), F.lit(',"data":'), data, F.lit("}"))
-    return _bodies(extracted, body)
+        data = F.to_json(of("items"))
+    return F.concat(F.lit('{"metadata":'), F.to_json(metadata), F.lit(',"data":'), data, F.lit("}"))
 
 
-def page_csv(extracted: DataFrame, mode: str) -> DataFrame:
-    """page_id, url, body: the header and rows of ``page_csv_rows``, without key and position,
-    as one CSV text per page."""
+def _csv_body(mode: str, at: Column, of: Fields, sections: list[tuple[str, str, Column]]) -> Column:
     if mode in SECTIONS:
         fields = ("section", *(FLAT_FIELDS if mode == "all" else ("value",)))
-        rows = _flat_rows() if mode == "all" else _section_rows(extracted, mode)
+        rows = _flat_rows(of) if mode == "all" else _section_rows(sections)
         cells = F.transform(rows, lambda row: _filled(*[row[f] for f in fields]))
     else:
         fields = FIELDS[mode]
-        cells = F.transform("items", lambda item: _filled(*[scalar_cell(item, f) for f in fields]))
-    lines = F.concat(_lines(",".join(fields)), F.transform(cells, csv_line))
-    return _bodies(extracted, F.array_join(lines, "\n"))
+        cells = F.transform(of("items"), lambda item: _filled(*[scalar_cell(item, f) for f in fields]))
+    return F.array_join(F.concat(_lines(",".join(fields)), F.transform(cells, csv_line)), "\n")
 
 
 def _filled(*cells: Column) -> Column:
@@ -240,10 +260,10 @@ def flatten_sections(records: DataFrame) -> DataFrame:
     The sections are put into one array of one struct type and exploded once. Stacking
     one query per section would read and take apart each page once per section.
     """
-    return records.select("page_id", F.explode_outer(_flat_rows()).alias("row")).select("page_id", "row.*")
+    return records.select("page_id", F.explode_outer(_flat_rows(F.col)).alias("row")).select("page_id", "row.*")
 
 
-def _flat_rows() -> Column:
+def _flat_rows(of: Fields) -> Column:
     """The items of all sections of a record as one array: section, pos, ``FLAT_FIELDS``."""
 
     def flat(section: str, pos: Column, given: dict[str, Column]) -> Column:
@@ -252,11 +272,11 @@ def _flat_rows() -> Column:
 
     def rows_of(section: str, kind: str) -> Column:
         if kind == "value":
-            return F.array(flat(section, F.lit(0), {"value": F.col(section)}))
+            return F.array(flat(section, F.lit(0), {"value": of(section)}))
         if kind == "values":
-            return F.transform(section, lambda v, i: flat(section, i, {"value": v}))
+            return F.transform(of(section), lambda v, i: flat(section, i, {"value": v}))
         return F.transform(
-            section,
+            of(section),
             lambda item, i: flat(section, i, {f: scalar_cell(item, f) for f in FIELDS[section]}),
         )
 
@@ -272,21 +292,21 @@ def page_csv_rows(extracted: DataFrame, mode: str) -> DataFrame:
     if mode == "all":
         return flatten_sections(extracted)
     if mode == "essential":
-        rows = extracted.select("page_id", F.posexplode(_section_rows(extracted, mode)).alias("pos", "row"))
+        rows = extracted.select("page_id", F.posexplode(_section_rows(_sections(F.col, mode, _video_names(extracted, mode)))).alias("pos", "row"))
         return rows.select("page_id", "pos", "row.section", "row.value")
     items = extracted.select("page_id", F.posexplode_outer("items").alias("pos", "item"))
     cells = [scalar_cell(F.col("item"), f).alias(f) for f in FIELDS[mode]]
     return items.filter("pos is not null").select("page_id", "pos", *cells)
 
 
-def _section_rows(extracted: DataFrame, mode: str) -> Column:
+def _section_rows(sections: list[tuple[str, str, Column]]) -> Column:
     """section, value for each value of each section of a record, as one array."""
 
     def cells(name: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("section"), v.alias("value")))
 
     parts = []
-    for name, kind, value in _sections(extracted, mode):
+    for name, kind, value in sections:
         values = value if kind == "values" else F.array(value.cast("string"))
         parts.append(F.when(value.isNotNull(), cells(name, values)).otherwise(F.array().cast(_SECTION_ROWS)))
     return F.concat(*parts)
@@ -301,9 +321,8 @@ def render_pages(extracted: DataFrame, mode: str, fmt: str, at: str | Column) ->
 def page_bodies(extracted: DataFrame, mode: str, fmt: str, at: str | Column) -> DataFrame:
     """page_id, url, body in a format by name: what the file of a page holds."""
     check_choice("format", fmt, FORMATS)
-    if fmt == "csv":
-        return page_csv(extracted, mode)
-    return {"json": page_json, "txt": page_txt, "md": page_md}[fmt](extracted, mode, at)
+    body = page_body(mode, fmt, at, video=_video_names(extracted, mode))
+    return extracted.select("page_id", "url", body.alias("body"))
 
 
 def _flat_type() -> str:
@@ -314,6 +333,3 @@ def _flat_type() -> str:
 def _at(at: str | Column) -> Column:
     return at if isinstance(at, Column) else F.lit(at)
 
-
-def _bodies(extracted: DataFrame, body: Column) -> DataFrame:
-    return extracted.select("page_id", "url", body.alias("body"))

@@ -6,6 +6,8 @@ total_pages, text_pages, tables and summary. One report per row, built in the ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,16 @@ def _if(test: Column, lines: Column) -> Column:
     return F.when(test, lines).otherwise(F.array().cast("array<string>"))
 
 
-def _filled(col: str) -> Column:
-    return F.coalesce(F.col(col) != "", F.lit(False))
+#: Where the fields of a processed document are found: columns of a table, or other expressions.
+Fields = Callable[[str], Column]
+
 
+def _filled(text: Column) -> Column:
+    return F.coalesce(text != "", F.lit(False))
 
-def _any(col: str) -> Column:
-    return F.size(col) > 0
+
+def _any(items: Column) -> Column:
+    return F.size(items) > 0
 
 
 def _at(at: str | Column) -> Column:
@@ -41,6 +47,30 @@ def _at(at: str | Column) -> Column:
 
 def doc_txt(docs: DataFrame, at: str | Column) -> DataFrame:
     """doc_id, body: plain text report."""
+    return _bodies(docs, doc_body("txt", at))
+
+
+def doc_md(docs: DataFrame, at: str | Column) -> DataFrame:
+    """doc_id, body: Markdown report."""
+    return _bodies(docs, doc_body("md", at))
+
+
+def doc_json(docs: DataFrame, at: str | Column) -> DataFrame:
+    """doc_id, body: ``{"metadata", "summary", "text_pages", "tables"}``; no summary is null."""
+    return _bodies(docs, doc_body("json", at))
+
+
+def doc_csv(docs: DataFrame) -> DataFrame:
+    """doc_id, body: the lines of ``doc_report_rows`` as one text per document."""
+    return _bodies(docs, doc_body("csv", ""))
+
+
+def doc_body(fmt: str, at: str | Column, of: Fields = F.col) -> Column:
+    """What the file of a document holds, as an expression over its fields."""
+    return {"json": _json_body, "csv": _csv_body, "txt": _txt_body, "md": _md_body}[fmt](_at(at), of)
+
+
+def _txt_body(at: Column, of: Fields) -> Column:
 
     def fact(label: str, value: Column) -> Column:
         return F.concat(F.lit(label.ljust(12)), value)
@@ -60,25 +90,23 @@ def doc_txt(docs: DataFrame, at: str | Column) -> DataFrame:
         _RULE,
         "PDF PROCESSING REPORT",
         _RULE,
-        fact("File:", F.col("source")),
-        fact("Operation:", F.col("op")),
-        fact("Pages:", F.col("page_range")),
-        fact("Generated:", _at(at)),
+        fact("File:", of("source")),
+        fact("Operation:", of("op")),
+        fact("Pages:", of("page_range")),
+        fact("Generated:", at),
         _RULE,
         "",
     )
     body = F.concat(
         head,
-        _if(_filled("summary"), _lines("── AI SUMMARY ──", "", F.col("summary"), "")),
-        _if(_any("text_pages"), F.concat(_lines("── EXTRACTED TEXT ──"), F.transform("text_pages", page))),
-        _if(_any("tables"), F.concat(_lines("", "── TABLES ──"), F.transform("tables", table))),
+        _if(_filled(of("summary")), _lines("── AI SUMMARY ──", "", of("summary"), "")),
+        _if(_any(of("text_pages")), F.concat(_lines("── EXTRACTED TEXT ──"), F.transform(of("text_pages"), page))),
+        _if(_any(of("tables")), F.concat(_lines("", "── TABLES ──"), F.transform(of("tables"), table))),
     )
-    return _bodies(docs, F.array_join(body, "\n"))
+    return F.array_join(body, "\n")
 
 
-def doc_md(docs: DataFrame, at: str | Column) -> DataFrame:
-    """doc_id, body: Markdown report."""
-
+def _md_body(at: Column, of: Fields) -> Column:
     def fact(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"| {label} | `"), value, F.lit("` |"))
 
@@ -91,35 +119,34 @@ def doc_md(docs: DataFrame, at: str | Column) -> DataFrame:
         "",
         "| Field | Value |",
         "|---|---|",
-        fact("Source", F.col("source")),
-        fact("Operation", F.col("op")),
-        fact("Pages", F.col("page_range")),
-        fact("Generated", _at(at)),
+        fact("Source", of("source")),
+        fact("Operation", of("op")),
+        fact("Pages", of("page_range")),
+        fact("Generated", at),
         "",
     )
     body = F.concat(
         head,
-        _if(_filled("summary"), _lines("## AI Summary", "", F.col("summary"), "")),
-        _if(_any("text_pages"), F.concat(_lines("## Extracted Text", ""), F.transform("text_pages", page))),
-        _if(_any("tables"), _lines("## Tables", "", tables_markdown_of(F.col("tables")))),
+        _if(_filled(of("summary")), _lines("## AI Summary", "", of("summary"), "")),
+        _if(_any(of("text_pages")), F.concat(_lines("## Extracted Text", ""), F.transform(of("text_pages"), page))),
+        _if(_any(of("tables")), _lines("## Tables", "", tables_markdown_of(of("tables")))),
     )
-    return _bodies(docs, F.array_join(body, "\n"))
+    return F.array_join(body, "\n")
 
 
-def doc_json(docs: DataFrame, at: str | Column) -> DataFrame:
-    """doc_id, body: ``{"metadata", "summary", "text_pages", "tables"}``; no summary is null."""
+def _json_body(at: Column, of: Fields) -> Column:
     metadata = F.struct(
-        F.col("source").alias("source"),
-        F.col("op").alias("op"),
-        F.col("page_range").alias("page_range"),
-        F.col("total_pages").alias("total_pages"),
-        _at(at).alias("processed_at"),
+        of("source").alias("source"),
+        of("op").alias("op"),
+        of("page_range").alias("page_range"),
+        of("total_pages").alias("total_pages"),
+        at.alias("processed_at"),
     )
     pages = F.map_from_entries(
-        F.transform("text_pages", lambda p: F.struct(p["page_no"].cast("string"), p["text"]))
+        F.transform(of("text_pages"), lambda p: F.struct(p["page_no"].cast("string"), p["text"]))
     )
     tables = F.transform(
-        "tables",
+        of("tables"),
         lambda t: F.struct(
             t["page_no"].alias("page"),
             *[
@@ -130,11 +157,11 @@ def doc_json(docs: DataFrame, at: str | Column) -> DataFrame:
     )
     payload = F.struct(
         metadata.alias("metadata"),
-        F.nullif(F.col("summary"), F.lit("")).alias("summary"),
+        F.nullif(of("summary"), F.lit("")).alias("summary"),
         pages.alias("text_pages"),
         tables.alias("tables"),
     )
-    return _bodies(docs, F.to_json(payload, {"ignoreNullFields": "false"}))
+    return F.to_json(payload, {"ignoreNullFields": "false"})
 
 
 def doc_report_rows(docs: DataFrame) -> DataFrame:
@@ -142,31 +169,30 @@ def doc_report_rows(docs: DataFrame) -> DataFrame:
 
     Tables first, then text, then the summary, each behind a marker row.
     """
-    numbered = docs.select("doc_id", F.posexplode_outer(_report_cells()).alias("seq", "cells"))
+    numbered = docs.select("doc_id", F.posexplode_outer(_report_cells(F.col)).alias("seq", "cells"))
     return numbered.filter("seq is not null").withColumn("line", csv_line(F.col("cells")))
 
 
-def doc_csv(docs: DataFrame) -> DataFrame:
-    """doc_id, body: the lines of ``doc_report_rows`` as one text per document."""
-    return _bodies(docs, F.array_join(F.transform(_report_cells(), csv_line), "\n"))
+def _csv_body(at: Column, of: Fields) -> Column:
+    return F.array_join(F.transform(_report_cells(of), csv_line), "\n")
 
 
-def _report_cells() -> Column:
+def _report_cells(of: Fields) -> Column:
     rows = F.array().cast("array<array<string>>")
 
     def block(test: Column, lines: Column) -> Column:
         return F.when(test, lines).otherwise(rows)
 
-    tables = F.flatten(F.transform("tables", lambda t: table_csv_rows_of(t, dash=",")))
+    tables = F.flatten(F.transform(of("tables"), lambda t: table_csv_rows_of(t, dash=",")))
     text = F.concat(
         F.array(_lines("# Extracted Text"), _lines("page", "text")),
-        F.transform("text_pages", lambda p: F.array(p["page_no"].cast("string"), p["text"])),
+        F.transform(of("text_pages"), lambda p: F.array(p["page_no"].cast("string"), p["text"])),
     )
-    summary = F.array(_lines("# AI Summary"), _lines(F.col("summary")))
+    summary = F.array(_lines("# AI Summary"), _lines(of("summary")))
     return F.concat(
-        block(_any("tables"), tables),
-        block(_any("text_pages"), text),
-        block(_filled("summary"), summary),
+        block(_any(of("tables")), tables),
+        block(_any(of("text_pages")), text),
+        block(_filled(of("summary")), summary),
     )
 
 
@@ -179,9 +205,7 @@ def render_docs(docs: DataFrame, fmt: str, at: str | Column) -> DataFrame:
 def doc_bodies(docs: DataFrame, fmt: str, at: str | Column) -> DataFrame:
     """doc_id, body in a format by name: what the file of a document holds."""
     check_choice("format", fmt, FORMATS)
-    if fmt == "csv":
-        return doc_csv(docs)
-    return {"json": doc_json, "txt": doc_txt, "md": doc_md}[fmt](docs, at)
+    return _bodies(docs, doc_body(fmt, at))
 
 
 def doc_result_summary(docs: DataFrame) -> DataFrame:

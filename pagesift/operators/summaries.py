@@ -58,6 +58,22 @@ def summarise(
     return df.withColumn("summary", ask(F.struct(prompt.alias("summary")))["summary"])
 
 
+def answers(fn: Callable[[str], str] | None, text: Column, instructions: Column) -> Column:
+    """A summary of one text for each of an array of instructions, as an array; see ``summarise``."""
+    blank = strip(F.coalesce(text, F.lit(""))) == ""
+    if fn is None:
+        notice = F.when(blank, NO_TEXT_NOTICE).otherwise(NO_FUNCTION_NOTICE)
+        return F.transform(instructions, lambda i: notice)
+    prompts = F.transform(instructions, lambda i: F.when(~blank, summary_prompt(text, i)))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(answers=[[_answer_one(p, fn) for p in asked] for asked in batch["answers"]])
+
+    ask = F.pandas_udf(answer, "answers array<string>").asNondeterministic()
+    return ask(F.struct(prompts.alias("answers")))["answers"]
+
+
 def _answer(batches: Iterator[pd.DataFrame], fn: Callable[[str], str]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.assign(summary=[_answer_one(p, fn) for p in batch["summary"]])

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import file_stem, output_name
 from pagesift.functions.urls import is_pdf_href, is_pdf_url, url_filename
-from pagesift.operators.extract import MODES, extract, link_targets
-from pagesift.operators.render import page_bodies
-from pagesift.operators.reports import doc_bodies
+from pagesift.operators.extract import MODES, extract, extract_asked, link_targets
+from pagesift.operators.render import page_bodies, page_body
 from pagesift.operators.write import write_as, write_bodies
-from pagesift.plans.documents import process_docs
+from pagesift.plans.choice import key_filter, rows_among
+from pagesift.plans.documents import bodies_asked
 from pagesift.plans.scratch import written
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import DOC_OPS, FORMATS, check_choice
@@ -166,11 +166,13 @@ def run_bodies(
 
     A page or document is rendered once for each mode or operation, format and prompt that
     somebody asks for, however many requests do, and then meets their files; a source that
-    many requests share is dealt out. Only asked pages and documents are parsed: a join with
-    their list, which Spark broadcasts where it is short, comes first. ``requests`` may have
-    an ``ai_prompt`` for ``fn``, see ``process_docs``. The list of files is written first, and
-    those of the at most 44 pairs of kind and format that occur are gathered, as each has a
-    plan of its own. ``pages`` has each URL once; of documents with one URL the first counts.
+    many requests share is dealt out. What is asked travels with the page or document, so each is
+    read and taken apart in one pass whatever is asked of it, and only what is asked for: a
+    filter made of the list of asked URLs, of any length, keeps the others out of the join with it.
+    ``requests`` may have an ``ai_prompt`` for ``fn``, see ``process_docs``. The list of files
+    is written first, and those of the at most 44 pairs of kind and format that occur are
+    gathered, to plan no others. ``pages`` has each URL once; of documents with one URL the
+    first counts.
     """
     prompt = F.col("ai_prompt") if "ai_prompt" in requests.columns else F.lit(None).cast("string")
     files = _outputs(requests, pages, docs, at, links).filter("file is not null").drop("error")
@@ -179,26 +181,63 @@ def run_bodies(
     files = files.withColumn("prompt", F.when(F.col("type") == "pdf", F.col("prompt")))
     made_of = F.struct("type", "kind", "format", "source", "prompt")
     files = written(files.withColumn("what", F.to_json(made_of)), "files")
-    time = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
-    bodies = []
-    for sort, kind, fmt in sorted(files.select("type", "kind", "format").distinct().collect()):
-        chosen = (F.col("type") == sort) & (F.col("kind") == kind) & (F.col("format") == fmt)
-        wanted = files.filter(chosen).select(F.col("source").alias("url"), "what", "prompt").distinct()
-        # The key of the body stands in for that of the page or document.
-        if sort == "scrape":
-            asked = pages.drop("page_id").join(wanted, "url").withColumnRenamed("what", "page_id")
-            made = page_bodies(extract(asked, kind), kind, fmt, time).withColumnRenamed("page_id", "what")
-        else:
-            wanted = wanted.join(landed_urls(docs), "url")
-            asked = docs.join(wanted, ["url", "doc_id"]).drop("doc_id").withColumnRenamed("what", "doc_id")
-            done = process_docs(asked, kind, prompt=F.col("prompt"), fn=fn)
-            made = doc_bodies(done, fmt, time).withColumnRenamed("doc_id", "what")
-        bodies.append(made.select("what", "body"))
     shown = ("request_id", "seq", "type", "file", "source")
-    if not bodies:
+    bodies = rendered_files(files, pages, docs, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fn)
+    if bodies is None:
         return files.select(*shown, F.lit(None).cast("string").alias("body"))
-    rendered = written(reduce(DataFrame.unionByName, bodies), "bodies")
-    return split_hot_keys_join(files, rendered, "what").select(*shown, "body")
+    return split_hot_keys_join(files, written(bodies, "bodies"), "what").select(*shown, "body")
+
+
+def rendered_files(
+    files: DataFrame, pages: DataFrame, docs: DataFrame, time: Column, fn: Callable[[str], str] | None = None
+) -> DataFrame | None:
+    """``what, body`` for every different thing that ``files`` (type, kind, format, source, prompt,
+    what) hold; None if there are no files."""
+    pairs = sorted(tuple(row) for row in files.select("type", "kind", "format").distinct().collect())
+    parts = []
+    if of_pages := [pair[1:] for pair in pairs if pair[0] == "scrape"]:
+        parts.append(_page_bodies(files.filter("type = 'scrape'"), of_pages, pages, time))
+    if len(of_pages) < len(pairs):
+        parts.append(_doc_bodies(files.filter("type = 'pdf'"), docs, time, fn))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _page_bodies(files: DataFrame, pairs: list[tuple[str, str]], pages: DataFrame, time: Column) -> DataFrame:
+    """The bodies asked of pages. A page has at most as many as there are ``pairs``."""
+    key = F.concat_ws("/", "kind", "format")
+    asked = files.select(F.col("source").alias("url"), F.struct(key.alias("key"), "what").alias("one"))
+    asked = asked.groupBy("url").agg(F.map_from_entries(F.collect_set("one")).alias("wanted"))
+    chosen = rows_among(pages.select("url", "html"), written(asked, "asked-pages"), "url")
+    modes = F.transform(F.map_keys("wanted"), lambda k: F.substring_index(k, "/", 1))
+    chosen = chosen.withColumn("asked", F.array_distinct(modes))
+    found = extract_asked(chosen, sorted({kind for kind, _ in pairs}), keep=("url", "wanted"))
+
+    def body(kind: str, fmt: str) -> Column:
+        what = F.col("wanted").getItem(f"{kind}/{fmt}")
+        made = page_body(kind, fmt, time, F.col(kind).getField)
+        return F.when(what.isNotNull(), F.struct(what.alias("what"), made.alias("body")))
+
+    made = F.array_compact(F.array(*[body(kind, fmt) for kind, fmt in pairs]))
+    rows = found.select(F.explode_outer(made).alias("made"))
+    return rows.filter("made is not null").select("made.what", "made.body")
+
+
+#: Reports that one row of a document carries. A document of which more are asked has several rows.
+REPORTS = 64
+
+
+def _doc_bodies(files: DataFrame, docs: DataFrame, time: Column, fn: Callable[[str], str] | None) -> DataFrame:
+    """The bodies asked of documents."""
+    asked = files.select(F.col("source").alias("url"), "kind", "format", "prompt", "what").distinct()
+    asked = written(asked, "asked-reports")
+    blocks = asked.groupBy("url").agg(F.ceil(F.count("*") / REPORTS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("what"), F.col("blocks"))
+    one = F.struct("kind", "format", "prompt", "what")
+    dealt = asked.join(blocks, "url").groupBy("url", block.alias("block")).agg(F.collect_list(one).alias("wanted"))
+    dealt = written(dealt.join(landed_urls(docs), "url"), "asked-documents")
+    may_be = key_filter(dealt, "doc_id")
+    chosen = docs.filter(may_be(F.col("doc_id"))).join(dealt.drop("block"), ["url", "doc_id"])
+    return bodies_asked(chosen, time, fn)
 
 
 def write_run(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column, out: str, **options) -> str:

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import partial
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -115,6 +116,54 @@ def page_nodes(
     return pages.select(*keep, "html").mapInArrow(to_nodes, T.StructType([*columns, nodes]))
 
 
+class Reads(NamedTuple):
+    """The tags and attributes that something needs of a page; ``noise`` if also those under noise."""
+
+    tags: tuple[str, ...]
+    attrs: tuple[str, ...]
+    noise: bool = False
+
+
+def asked_nodes(
+    pages: DataFrame, reads: Mapping[str, Reads], asked: str, keep: tuple[str, ...] = ("page_id", "url")
+) -> DataFrame:
+    """One row per page: the columns in ``keep``, ``nodes`` and ``noisy``, in one pass over the markup.
+
+    ``asked`` is a column with names from ``reads``, an array for each page. ``nodes`` has what
+    the names asked of this page read, noise left out, ``noisy`` what those read that see noise
+    too; an array for which nothing is asked is empty and costs nothing.
+    """
+    columns = [pages.schema[name] for name in keep]
+    kind = T.ArrayType(T.StructType.fromDDL(NODE_TYPE[7:-1]))
+    schema = T.StructType([*columns, T.StructField("nodes", kind), T.StructField("noisy", kind)])
+    return pages.select(*keep, asked, "html").mapInArrow(partial(_batches_to_asked, reads=dict(reads)), schema)
+
+
+def _batches_to_asked(
+    batches: Iterator[pa.RecordBatch], reads: Mapping[str, Reads]
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = batch.schema.names[:-2]
+        asked, html = batch.column(len(kept)), batch.column(len(kept) + 1)
+        first, outs = 0, (_NodeColumns(), _NodeColumns())
+        for row in range(batch.num_rows):
+            wanted = [reads[name] for name in asked[row].as_py() or () if name in reads]
+            for out, noise in zip(outs, (False, True), strict=True):
+                parts = [r for r in wanted if r.noise == noise]
+                if parts:
+                    tags = frozenset(tag for r in parts for tag in r.tags)
+                    attrs = frozenset(name for r in parts for name in r.attrs)
+                    _add_page(out, html[row].as_py() or "", tags, attrs, noise)
+                else:
+                    out.page_ends.append(len(out.tag))
+            if sum(len(out.tag) for out in outs) >= 100_000 or row == batch.num_rows - 1:
+                part = batch.slice(first, row + 1 - first)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-2], *(out.to_arrow() for out in outs)], names=[*kept, "nodes", "noisy"]
+                )
+                first, outs = row + 1, (_NodeColumns(), _NodeColumns())
+
+
 def _batches_to_nodes(
     batches: Iterator[pa.RecordBatch], tags: frozenset | None, attrs: frozenset | None, keep_noise: bool
 ) -> Iterator[pa.RecordBatch]:

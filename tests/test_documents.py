@@ -64,27 +64,60 @@ def test_pages(docs):
         paged.select_pages(df, "x")
 
 
-def test_leading_text_of_page_rows_equals_the_cut_full_text(spark):
+def _page_rows():
     rows = [(1, n, "x" * (n % 7)) for n in range(1, 3000)] + [(2, 1, "é" * 9000), (2, 2, "y"), (3, 1, " ")]
-    df = spark.createDataFrame(rows, "doc_id bigint, page_no int, text string")
-    whole = "\n\n".join(f"[Page {n}]\n{t}" for d, n, t in rows if d == 1 and t)
-    for hot_rows in (1_000_000, 2000, 1):
-        found = {r.doc_id: r.text for r in paged.leading_text(df, hot_rows=hot_rows).collect()}
-        assert found == {1: whole[:8000], 2: ("[Page 1]\n" + "é" * 9000)[:8000]}
+    rows += [(4, 5000, "late"), (4, 7, "b"), (4, 7, "a"), (4, 7, "a"), (5, 1, None), (None, 1, "no document"), (6, None, "no number")]
+    return rows + [(6, n, "\U0001f600" * n) for n in (2, 1, -3)]
+
 
+def _running(rows, doc):
+    mine = sorted((n, t) for d, n, t in rows if d == doc and n is not None and (t or "").strip())
+    return "\n\n".join(f"[Page {n}]\n{t}" for n, t in mine)
 
-def test_far_pages_of_hot_documents_are_dropped_early(spark):
-    df = spark.range(1, 50_001).selectExpr("id % 2 as doc_id", "cast(id div 2 as int) as page_no", "'x' as text")
-    near = paged._drop_far_pages(df, needed=667, hot_rows=20_000)
-    assert near.groupBy("doc_id").agg(F.max("page_no").alias("m")).filter("m >= 1000").count() == 0
-    assert near.count() == 1999
 
+@pytest.mark.parametrize("limit", [1, 17, 8000, 20_000, 10**9])
+def test_leading_text_of_page_rows_equals_the_cut_full_text(spark, limit):
+    rows = _page_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, page_no int, text string")
+    for block in (1, 100, 1000):
+        found = {r.doc_id: r.text for r in paged.leading_text(df, limit, block).collect()}
+        assert found == {doc: _running(rows, doc)[:limit] for doc in (1, 2, 4, 6)}
 
-def test_leading_text_limits_groups_before_the_shuffle(spark):
-    df = spark.createDataFrame([(1, 1, "x")], "doc_id bigint, page_no int, text string")
-    plan = paged.leading_text(df)._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("WindowGroupLimit") :]
-    assert "Partial" in below and "Exchange" in plan
+
+@pytest.mark.parametrize("size", [1, 10, 4001, 10**6])
+def test_chunks_of_page_rows_make_up_the_full_text(spark, size):
+    rows = [row for row in _page_rows() if size > 5 or row[0] != 2]
+    df = spark.createDataFrame(rows, "doc_id bigint, page_no int, text string")
+    for block in (7, 1000):
+        chunks = {}
+        for r in paged.text_chunks(df, size, block).orderBy("doc_id", "chunk_no").collect():
+            chunks.setdefault(r.doc_id, []).append((r.chunk_no, r.text))
+        for doc, parts in chunks.items():
+            assert "".join(text for _, text in parts) == _running(rows, doc)
+            assert [n for n, _ in parts] == list(range(len(parts)))
+            assert all(len(text) == size for _, text in parts[:-1]) and 0 < len(parts[-1][1]) <= size
+        assert set(chunks) == {row[0] for row in rows} - {None, 3, 5}
+
+
+def test_chunks_of_a_document_of_a_million_pages_are_spread(spark):
+    pages = spark.range(0, 1_000_000, 1, 8).selectExpr("1 as doc_id", "id as page_no", "'text of a page' as text")
+    chunks = paged.text_chunks(pages, size=100_000)
+    got = chunks.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("most"))
+    sizes = [r.n for r in got.collect() if r.n]
+    total = sum(len(f"[Page {n}]\ntext of a page\n\n") for n in range(1_000_000)) - 2
+    assert sum(sizes) == total and len(sizes) > 1 and max(sizes) < 0.6 * total
+    assert chunks.filter("chunk_no = 12").first().text == "".join(
+        f"[Page {n}]\ntext of a page\n\n" for n in range(60_000)
+    )[1_200_000:1_300_000]
+
+
+def test_leading_text_leaves_far_pages_behind(spark):
+    pages = spark.range(0, 200_000, 1, 4).selectExpr("id % 2 as doc_id", "id div 2 as page_no", "'x' as text")
+    near = paged.leading_text(pages)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # The filter of blocks comes before the text is shuffled.
+    assert "Subquery" in plan[plan.index("hashpartitioning(doc_id") :]
+    assert {r.doc_id: len(r.text) for r in near.collect()} == {0: 8000, 1: 8000}
 
 
 def test_tables(docs):
