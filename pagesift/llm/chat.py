@@ -1,8 +1,8 @@
 """Chat transcripts from rows of turns, with built-in expressions only.
 
 The turns of a conversation are collected as structs and sorted; adjacent turns of one role
-become one marked run; runs are put together as segments, which say of every stretch of the
-transcript whether the loss counts there. Control strings inside texts get a backslash after
+are merged into one marked run; runs are put together as segments, which say of every stretch
+of the transcript whether the loss counts there. Control strings inside texts get a backslash after
 their first character, so every control string of a transcript is a mark of the template, and
 ``read_back`` finds the turns again.
 """
@@ -58,38 +58,21 @@ def _segment(text: Column, loss: Column) -> Column:
     return F.struct(text.alias("text"), loss.alias("loss"))
 
 
-def _runs(turns: Column) -> Column:
-    """Sorted turns with adjacent ones of one role merged: ``array<struct<role, texts>>``.
+def _inside(turns: Column, learned: Sequence[str]) -> Column:
+    """The segments of sorted turns from the text of the first to the text of the last.
 
-    A run goes from the place of its first turn to that of the next run, so the work is linear.
+    Every turn looks at the one before it: if the role is the same it goes on with the run, else it
+    closes that run and opens its own. That merges adjacent turns in one pass over the collected
+    array, where a fold would copy what it has merged so far at every step.
     """
-    places = F.sequence(F.lit(1), F.size(turns))
-    starts = F.filter(places, lambda i: (i == 1) | (F.get(turns, i - 1)["role"] != F.get(turns, i - 2)["role"]))
 
-    def run(start: Column, k: Column) -> Column:
-        length = F.coalesce(F.get(starts, k + 1), F.size(turns) + 1) - start
-        texts = F.transform(F.slice(turns, start, length), lambda t: t["text"])
-        return F.struct(F.get(turns, start - 1)["role"].alias("role"), texts.alias("texts"))
+    def spelled(turn: Column, i: Column) -> Column:
+        before, role = F.get(turns, i - 1)["role"], turn["role"]
+        mark = F.when(i == 0, F.lit("")).when(before == role, F.lit(NEXT))
+        mark = mark.otherwise(F.concat(_closing(before), _opening(role)))
+        return F.array(_segment(mark, F.lit(False)), _segment(escape(turn["text"]), role.isin(*learned)))
 
-    return F.transform(starts, run)
-
-
-def _inside(runs: Column, learned: Sequence[str]) -> Column:
-    """The segments of runs from the text of the first to the text of the last."""
-
-    def spelled(run: Column, k: Column) -> Column:
-        loss = run["role"].isin(*learned)
-        before = F.get(runs, k - 1)["role"]
-        mark = F.when(k == 0, F.lit("")).otherwise(F.concat(_closing(before), _opening(run["role"])))
-        texts = F.transform(
-            run["texts"],
-            lambda text, i: F.array(
-                _segment(F.when(i == 0, mark).otherwise(F.lit(NEXT)), F.lit(False)), _segment(escape(text), loss)
-            ),
-        )
-        return F.flatten(texts)
-
-    return F.flatten(F.transform(runs, spelled))
+    return F.flatten(F.transform(turns, spelled))
 
 
 def _stitched(parts: Column) -> Column:
@@ -107,11 +90,10 @@ def _stitched(parts: Column) -> Column:
 
 
 def _part(turns: Column, learned: Sequence[str]) -> Column:
-    runs = _runs(turns)
     return F.struct(
         F.get(turns, F.lit(0))["role"].alias("first"),
         F.element_at(turns, -1)["role"].alias("last"),
-        _inside(runs, learned).alias("segments"),
+        _inside(turns, learned).alias("segments"),
     )
 
 

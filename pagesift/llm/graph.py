@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smaller = larger.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         edges = smaller.union(least.select("v", F.col("m").alias("u"))).filter("v > u").distinct()
         edges = written(edges, "links")
-        # The sum falls with every round that changes anything.
+        # A round that changes nothing leaves the same links, and the same sum of their hashes.
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break

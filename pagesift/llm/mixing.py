@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.plans.scratch import written
+
 #: Words: runs of anything but ASCII white space.
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -106,9 +108,10 @@ def mix_sources(
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), "text"), F.lit("")))
     kept = [F.col(name).alias(f"_carry_{name}") for name in carry]
     rows = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"), *kept)
-    rows = rows.withColumn("part", F.substring("order", 1, 3))
+    # Sizes and places in the order are read three times and are made once.
+    rows = written(rows, "sizes").withColumn("part", F.substring("order", 1, 3))
 
-    narrow = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), order.alias("order"))
+    narrow = rows.select("doc_id", "source", "key", "size", "order")
     parts = narrow.groupBy("key", "source", F.substring("order", 1, 3).alias("part"))
     parts = parts.agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy("key", "source").agg(F.sum("part_size").alias("source_size"))
@@ -144,6 +147,19 @@ def mix_sources(
     )
 
 
+def _range_sorted(rows: DataFrame, position: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, position, "doc_id").sortWithinPartitions(position, "doc_id")
+
+
+def mixed_in_order(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``mix_sources``, range-sorted by ``first_position`` over all partitions, those
+    that are not taken first (NULL); ties by ``doc_id``."""
+    mixed = mix_sources(docs, **options).withColumn("first_position", F.get("positions", F.lit(0)))
+    # The bounds of the ranges are sampled before anything is dealt out.
+    return _range_sorted(written(mixed, "mix"), "first_position")
+
+
 def training_order(
     docs: DataFrame, columns: Sequence[str] = ("doc_id", "text", "lang", "source", "n_chars"), **options
 ) -> DataFrame:
@@ -154,6 +170,4 @@ def training_order(
     taken = mixed.select(
         *[F.col(f"carry_{name}").alias(name) for name in columns], F.explode("positions").alias("position")
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = taken.repartitionByRange(parts, "position", "doc_id")
-    return ordered.sortWithinPartitions("position", "doc_id")
+    return _range_sorted(taken, "position")

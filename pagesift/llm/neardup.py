@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.graph import components
-from pagesift.llm.ids import by_ids
 from pagesift.llm.text import Powers, as_bytes, in_slices, shingles, word_hashes
+from pagesift.plans.choice import key_filter
 from pagesift.plans.scratch import written
 
 _CHUNK = 4096
@@ -87,10 +87,10 @@ def _signatures(
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in in_slices(batches):
-        sets = [shingle_set(text, shingle, powers).view(np.int64) for text in as_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"]
-        )
+        sets = [shingle_set(text, shingle, powers) for text in as_bytes(batch.column(1))]
+        digests = pa.array([xxhash.xxh3_128_digest(values.tobytes()) for values in sets], pa.binary())
+        members = pa.array([values.view(np.int64) for values in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), digests, members], names=["doc_id", "digest", "members"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,8 @@ def near_duplicates(
 
     Linked are documents whose shingle sets have ``100 * common >= percent * union``.
     ``component_id`` is the smallest ``doc_id`` that links reach, and ``kept`` marks the
-    document that has it. Missing and blank texts have an empty set and stand alone. Rows
+    document that has it. Missing and blank texts have an empty set and stand alone. An id with
+    several texts is one document, linked with whatever one of its texts is. Rows
     without ``doc_id`` are linked with nothing: ``component_id`` NULL, ``kept`` true. Equal
     rows get equal results, so a repeated ``doc_id`` is kept or not as a whole. Other
     columns of ``docs`` are ignored. An empty table gives an empty table.
@@ -126,17 +127,23 @@ def near_duplicates(
     )
     marked = written(marked, "signatures")
     texts = marked.filter("n_shingles > 0 and doc_id is not null")
-    nodes = texts.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    first = texts.join(nodes, (texts.doc_id == nodes.node) & (texts.digest == nodes.digest), "left_semi")
-    keys = first.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    # A node is a set, whatever ids have it; an id with several texts ties their nodes together.
+    nodes = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    several = texts.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("most"))
+    several = several.filter("digest < most").join(nodes.select("digest", F.col("node").alias("other")), "digest")
+    tied = texts.join(several.select("doc_id", "other"), "doc_id").select("digest", "other").distinct()
+    tied = tied.join(nodes.select("digest", "node"), "digest").select("node", "other").filter("node != other")
+    first = texts.join(nodes, ["digest", "doc_id"]).dropDuplicates(["node"])
+    keys = first.select("node", F.explode("bands").alias("key"))
 
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
     leaders = leaders.filter("n > 1").drop("n")
     starred = keys.join(leaders, "key").filter("node > leader")
     stars = starred.select("node", F.col("leader").alias("other")).distinct()
     stars = written(stars, "candidates")
-    sets = written(_members(stars, docs, shingle), "sets")
-    links = written(_confirmed(stars, sets, percent), "confirmed")
+    sets = written(_members(stars, nodes, docs, shingle), "sets")
+    links = written(_confirmed(stars, sets, percent).union(tied), "confirmed")
     grouped = components(links, "node", "other")
 
     # Buckets that still hold several components: those pairs were not compared yet.
@@ -148,9 +155,9 @@ def near_duplicates(
     more = _confirmed(_overlapping(written(rest, "rest"), sets, percent), sets, percent)
     grouped = components(links.union(more), "node", "other")
 
-    named = nodes.join(grouped, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component")
-    )
+    named = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component").select("digest", F.col("least").alias("component"))
     out = marked.join(named, "digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), alone)
@@ -162,12 +169,15 @@ def near_duplicates(
     )
 
 
-def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, members``: the shingle sets of all nodes in ``pairs``."""
-    wanted = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("other")).distinct()
-    texts = by_ids(docs, written(wanted, "wanted"), "left_semi")
-    texts = texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
-    return texts.mapInArrow(partial(_sets, shingle=shingle), "node bigint, members array<bigint>")
+def _members(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, members``: the shingle sets of all nodes in ``pairs``. Sets are made where the texts
+    lie, and only sets are shuffled."""
+    wanted = pairs.select("node").union(pairs.select("other")).distinct()
+    wanted = written(nodes.join(wanted, "node"), "wanted")
+    texts = docs.filter(key_filter(wanted, "doc_id")(F.col("doc_id")))
+    made = texts.mapInArrow(partial(_sets, shingle=shingle), "doc_id bigint, digest binary, members array<bigint>")
+    once = made.groupBy("doc_id", "digest").agg(F.first("members").alias("members"))
+    return once.join(wanted, ["doc_id", "digest"]).select("node", "members")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -9,6 +9,7 @@ vote with their similarity as weight.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -58,12 +59,17 @@ def _terms(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int) -> Model:
-    """The latent space of labelled texts, and their places in it."""
-    idf = np.log((1 + len(counts)) / (1 + (counts[:, :-1] > 0).sum(axis=0))).astype(np.float32) + 1
-    weighed = _terms(counts, idf)
-    values, vectors = np.linalg.eigh(weighed.T @ weighed)
-    basis = vectors[:, np.argsort(-values)[:dimensions]].astype(np.float32)
-    return Model(idf, basis, _unit(weighed @ basis), labels.astype(np.float32))
+    """The latent space of labelled texts, and their places in it. Overwrites ``counts``, block by
+    block, as it runs on the driver."""
+    seen = np.zeros(_BUCKETS, np.int64)
+    for start in range(0, len(counts), _BLOCK):
+        seen += np.count_nonzero(counts[start : start + _BLOCK, :-1], axis=0)
+    idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
+    for start in range(0, len(counts), _BLOCK):
+        counts[start : start + _BLOCK] = _terms(counts[start : start + _BLOCK], idf)
+    values, vectors = np.linalg.eigh(counts.T @ counts)
+    basis = np.ascontiguousarray(vectors[:, np.argsort(-values)[:dimensions]], np.float32)
+    return Model(idf, basis, _unit(counts @ basis), labels.astype(np.float32))
 
 
 def vote(counts: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
@@ -97,19 +103,25 @@ def labelled_sample(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 
 def _counts(column: pa.Array) -> list[pa.Array]:
     powers = Powers()
-    return [pa.array([term_counts(text, powers).tobytes() for text in as_bytes(column)], pa.binary())]
+    # Most counts of most texts are 0.
+    packed = [zlib.compress(term_counts(text, powers).tobytes(), 1) for text in as_bytes(column)]
+    return [pa.array(packed, pa.binary())]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, dimensions: int = 64, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled documents. The driver gets at most ``2 * per_class`` vectors of 8 KB:
-    of texts that share an id the first in order is learned, however many there are."""
+    """Fit on labelled documents. The driver gets at most ``2 * per_class`` vectors, packed, and holds
+    them in one matrix of 8 KB each: of texts that share an id the first in order is learned, however many there are."""
     sample = F.broadcast(labelled_sample(labels, per_class))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = add_results(texts, ["doc_id", "label"], lambda: _counts, "counts binary").collect()
-    rows.sort(key=lambda row: (row["doc_id"], row["label"], row["counts"]))
-    counts = np.frombuffer(b"".join(row["counts"] for row in rows), np.float32).reshape(-1, _BUCKETS + 1)
-    return fit(counts, np.array([row["label"] for row in rows]), dimensions)
+    rows = add_results(texts, ["doc_id", "label"], lambda: _counts, "counts binary").toArrow()
+    keys = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), range(len(rows)), strict=True))
+    keys.sort()
+    counts = np.empty((len(keys), _BUCKETS + 1), np.float32)
+    for place, (_, _, row) in enumerate(keys):
+        counts[place] = np.frombuffer(zlib.decompress(rows["counts"][row].as_py()), np.float32)
+    del rows
+    return fit(counts, np.array([label for _, label, _ in keys]), dimensions)
 
 
 def score_quality(

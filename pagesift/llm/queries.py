@@ -15,7 +15,7 @@ from pagesift.llm.decontaminate import find_benchmark
 from pagesift.llm.infill import fill_in_middle, restore
 from pagesift.llm.likelihood import score_likelihood
 from pagesift.llm.main_text import extract_main_text
-from pagesift.llm.mixing import mix_sources
+from pagesift.llm.mixing import mixed_in_order
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.phrases import mine_phrases
 from pagesift.llm.pii import find_personal_data
@@ -74,6 +74,22 @@ def op3_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=2)
 
 
+def _position(middle: str) -> str:
+    """When the curriculum of a source takes the words around ``middle``: schedules (1, 1, 2),
+    (2, 1, 1) and (1, 1, 1) in turn, in two steps each, linear in between."""
+    d, cases = f"({middle} / target)", []
+    for kind, (a, b, c) in enumerate(((1.0, 1.0, 2.0), (2.0, 1.0, 1.0), (1.0, 1.0, 1.0))):
+        first, second = (a + b) / 4, (b + c) / 4
+        for begin, left, low, high in ((0.0, f"({d} * {first + second}::DOUBLE)", a, b),
+                                       (1.0, f"({d} * {first + second}::DOUBLE - {first}::DOUBLE)", b, c)):
+            root = f"sqrt(greatest(0.0::DOUBLE, {low * low}::DOUBLE + {4 * (high - low)}::DOUBLE * {left}))"
+            x = f"CASE WHEN {left} > 0 THEN 4.0::DOUBLE * {left} / ({root} + {low}::DOUBLE) ELSE 0.0::DOUBLE END"
+            upto = first if begin == 0 else first + second
+            cases.append(f"WHEN rank % 3 = {kind} AND {d} * {first + second}::DOUBLE < {upto}::DOUBLE "
+                         f"THEN ({x} + {begin}::DOUBLE) / 2.0::DOUBLE")
+    return f"CASE WHEN {middle} < target THEN least(CASE {' '.join(cases)} ELSE 1.0::DOUBLE END, 1.0::DOUBLE) END"
+
+
 @query(
     "op10_curriculum_mix",
     f"""
@@ -101,16 +117,25 @@ WITH
     FROM weighed),
   level AS (SELECT arg_min(level, (cap / weight, rank)) AS level FROM levels WHERE level <= cap / weight),
   targets AS (
-    SELECT source, source_size, least(cap, coalesce(level.level * weight, cap)) AS target
+    SELECT source, source_size, rank, least(cap, coalesce(level.level * weight, cap)) AS target
     FROM weighed, level)
 SELECT doc_id, size, source_size, target,
-       size * ((start + size / 2.0::DOUBLE < target)::BIGINT
-               + (start + source_size + size / 2.0::DOUBLE < target)::BIGINT) AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source""",
+       size * (CASE WHEN one < target THEN 1 ELSE 0 END + CASE WHEN two < target THEN 1 ELSE 0 END)::BIGINT AS taken,
+       {_position("one")} AS first_position, {_position("two")} AS second_position
+FROM (SELECT *, start + size / 2.0::DOUBLE AS one, start + source_size + size / 2.0::DOUBLE AS two
+      FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source)""",
 )
 def op10_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mix_sources(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixed_in_order(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "first_position",
+        F.get("positions", F.lit(1)).alias("second_position"),
+    )
 
 
 @query("op6_quality_votes")

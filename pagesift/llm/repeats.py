@@ -7,8 +7,8 @@ sorted by document, so the first document that has a window is the smallest one.
 travel compressed with one dictionary, trained on some of them; that changes their size only.
 
 Buckets that many documents share are found from a sample of documents, and only spread
-the work: their windows travel one by one, each to a bucket of its own, and only once per
-task and smallest document; the rest are known to repeat without travelling.
+the work: their windows travel one by one, each to a bucket of its own, and with their words only
+once per task and smallest document; for the rest a mark travels, to any bucket.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.ids import by_ids
 from pagesift.llm.text import Powers, as_bytes, in_slices, mix, shingles, word_hashes
+from pagesift.plans.choice import key_filter, rows_without
 from pagesift.plans.scratch import written
 
 #: Windows of one bucket that a task holds; what comes after is settled by a join.
@@ -132,7 +132,9 @@ def _pack(
                             if len(seen) >= REMEMBERED:
                                 seen.clear()
                             seen[one], packed = doc_id, code(one)
-                        bucket = int.from_bytes(digest[:4], "big", signed=True)
+                        # What is known already needs no bucket of its kind, so it is dealt out.
+                        spot = digest if packed[:1] != _KNOWN else xxhash.xxh3_64_digest(b"%d %d" % (doc_id, k))
+                        bucket = int.from_bytes(spot[:4], "big", signed=True)
                         for column, value in zip(out, (bucket, doc_id, k, packed), strict=True):
                             column.append(value)
                 buckets, firsts, counts = buckets[~is_hot], firsts[~is_hot], counts[~is_hot]
@@ -314,7 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, run: int = 2, held: int =
     # An id with several texts is no copy as a whole.
     several = hashed.groupBy("doc_id").agg(F.count_distinct("h").alias("n")).filter("n > 1")
     copies = written(copies.join(several, "doc_id", "left_anti"), "copies")
-    found = written(repeated_windows(by_ids(docs, copies, "left_anti"), window, run, held), "repeats")
+    found = repeated_windows(rows_without(docs, copies, "doc_id"), window, run, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -333,12 +335,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, run: int = 2, held: int =
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
 
     runs = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "check")).alias("runs"))
-    ids = found.select("doc_id").distinct()
-    touched = by_ids(docs, ids, "left_semi").join(runs, "doc_id")
-    touched = touched.select("doc_id", "text", "runs", F.lit(False).alias("copy"))
+    known = copies.select("doc_id", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy"))
+    known = written(known.union(runs.withColumn("copy", F.lit(False))), "changes")
+    # Texts that nothing is known of stay where they are.
+    changed = key_filter(known, "doc_id")(F.col("doc_id"))
+    touched = docs.filter(changed).join(known, "doc_id", "left")
+    touched = touched.select("doc_id", "text", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
     none = F.lit(None).cast(runs.schema["runs"].dataType)
-    copied = by_ids(docs, copies, "left_semi").select("doc_id", "text", none.alias("runs"), F.lit(True).alias("copy"))
-    rest = by_ids(by_ids(docs, copies, "left_anti"), ids, "left_anti")
-    rest = rest.select("doc_id", "text", none.alias("runs"), F.lit(False).alias("copy"))
-    everything = touched.union(copied).union(rest)
+    rest = docs.filter(~changed).select("doc_id", "text", none.alias("runs"), F.lit(False).alias("copy"))
+    everything = touched.union(rest)
     return everything.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

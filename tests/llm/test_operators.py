@@ -12,7 +12,7 @@ from pagesift.llm.decontaminate import align, find_benchmark
 from pagesift.llm.graph import components
 from pagesift.llm.likelihood import contexts, score_likelihood
 from pagesift.llm.main_text import extract_main_text, main_text
-from pagesift.llm.mixing import mix_sources, training_order
+from pagesift.llm.mixing import mix_sources, mixed_in_order, training_order
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.pii import base_spans, find_personal_data
 from pagesift.llm.quality import fit_quality, held_out, score_quality
@@ -138,6 +138,26 @@ def test_chains_of_edits_are_linked_as_by_brute_force(spark, monkeypatch):
     assert got == expected and len(set(expected.values())) < 120
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_an_id_with_two_texts_is_one_document(spark, backwards):
+    """Near the one text is 9, near the other 11: all are linked, whatever the order of rows."""
+    one, two = prose(31, 60), prose(32, 60)
+    rows = [(5, one), (5, two), (9, one + " more"), (11, two + " words"), (12, prose(33, 60)), (5, one)]
+    rows += [(20, prose(34, 60)), (20, prose(33, 60) + " end"), (21, prose(34, 60) + " x")]
+    docs = spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, shingle=2).collect()}
+    assert got == {(5, 5, True), (9, 5, False), (11, 5, False), (12, 12, True), (20, 12, False), (21, 12, False)}
+
+
+def test_mix_is_range_sorted_by_position(spark, odd):
+    out = mixed_in_order(odd)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Python" not in plan and "Arrow" not in plan
+    rows = [r.first_position for r in out.collect()]
+    assert len(rows) == odd.count() and rows == sorted(rows, key=lambda p: (p is not None, p))
+    assert mixed_in_order(odd.filter("false")).count() == 0
+
+
 def test_signatures_keep_both_ends():
     factors, summands = neardup.permutations(3)
     values = np.arange(1, 10_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
