@@ -91,6 +91,19 @@ def landed_documents(spark: SparkSession, folder: str) -> DataFrame:
     return landed.select("doc_id", "url", meta.alias("meta"), "pages", none.alias("grids"))
 
 
+def pdf_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """A file per supplier, in a folder per nation: suffixes vary, every fifth is no PDF."""
+    c = F.col
+    key = c("s_suppkey")
+    suffix = F.get(F.array(*[F.lit(s) for s in (".pdf", ".PDF", ".Pdf", ".txt")]), (key % 4).cast("int"))
+    pages = F.repeat(F.lit("<< /Type /Page >>\n"), (key % 3).cast("int"))
+    good = _text("%PDF-1.4\n", pages, "/Type /Pages ", c("s_name"))
+    body = F.when(key % 5 != 0, good).otherwise(_text("no file ", c("s_name")))
+    return table(spark, folder, "supplier").select(
+        _text("nation=", c("s_nationkey"), "/", key, suffix).alias("file"), body.cast("binary").alias("body")
+    )
+
+
 def video_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A page per order: hosts, counts and thumbnails vary with its status and priority."""
     c = F.col

@@ -12,8 +12,9 @@ from pagesift.catalog.registry import query
 from pagesift.catalog.sql import NL
 from pagesift.operators import extract as X
 from pagesift.operators.paged import full_text_of
-from pagesift.plans import runs
+from pagesift.plans import jobtable, runs
 from pagesift.plans.scratch import scratch_path, written
+from pagesift.sources import archives, pdf
 from pagesift.sources.html import PAGE_SCHEMA
 from pagesift.streaming import feeds
 
@@ -170,6 +171,48 @@ def run_files(spark, folder):
     return spark.read.parquet(out)
 
 
+@query("files_written", f"SELECT file, body FROM ({FILES}) AS files")
+def files_written(spark, folder):
+    """The files of all runs, packed under their names and read back by name."""
+    out = scratch_path(spark, "archives")
+    runs.write_run_archives(
+        _file_requests(spark, folder),
+        derived.pdf_link_pages(spark, folder),
+        derived.landed_documents(spark, folder),
+        _at(),
+        out,
+        most=100_000,
+        fn=_upper_instruction,
+    )
+    return archives.texts_of(archives.read_archives(spark, out))
+
+
+@query(
+    "pdf_files",
+    r"""WITH files AS (
+      SELECT s_nationkey AS nation, s_suppkey, ['.pdf', '.PDF', '.Pdf', '.txt'][s_suppkey % 4 + 1] AS suffix, s_suppkey % 5 <> 0 AS good,
+             CASE WHEN good THEN '%PDF-1.4' || chr(10) || repeat('<< /Type /Page >>' || chr(10), s_suppkey % 3) || '/Type /Pages ' || s_name
+                  ELSE 'no file ' || s_name END AS content FROM supplier)
+    SELECT nation::INTEGER AS nation, s_suppkey || suffix AS file, strlen(content)::BIGINT AS length, good AS is_valid,
+           CASE WHEN NOT good THEN 'not a PDF, content type ?' END AS reason,
+           CASE WHEN good THEN greatest(s_suppkey % 3, 1)::INTEGER END AS total_pages
+    FROM files WHERE suffix <> '.txt'""",
+)
+def pdf_files(spark, folder):
+    """Files of a supplier each, written as such in a folder per nation and scanned."""
+    out = scratch_path(spark, "pdfs")
+    archives.write_files(derived.pdf_payloads(spark, folder), out)
+    found = pdf.pdf_validity(pdf.read_pdf_files(spark, out).withColumn("content_type", F.lit(None).cast("string")))
+    return found.select(
+        F.col("nation").cast("int").alias("nation"),
+        F.regexp_extract("path", "[^/]+$", 0).alias("file"),
+        "length",
+        "is_valid",
+        "reason",
+        F.when(F.col("is_valid"), pdf.page_count(F.col("content"))).alias("total_pages"),
+    )
+
+
 # -- feeds: run to the end of what has arrived, then read what they wrote ----------------
 
 
@@ -238,6 +281,47 @@ def stream_job_latest(spark, folder):
     return feeds.current_jobs(spark, out).select("job_id", "ts", "seq", "status")
 
 
+@query(
+    "stream_job_table",
+    """WITH changes AS (
+      SELECT user_id AS job_id, (ts, event_id) AS t, event_type IN ('signup', 'purchase') AS is_new, * FROM events),
+    inserts AS (SELECT job_id, max(t) AS t, min(ts) AS created_at, arg_max(event_type, t) AS status, arg_max(props, t) AS request,
+                       arg_max(ts, t) AS at, arg_max(event_id, t) AS seq
+                FROM changes WHERE is_new GROUP BY job_id),
+    updates AS (SELECT c.job_id, arg_max(event_type, c.t) AS status, arg_max(props, c.t) AS props, arg_max(ts, c.t) AS at,
+                       arg_max(event_id, c.t) AS seq
+                FROM changes c JOIN inserts i ON c.job_id = i.job_id AND c.t > i.t WHERE NOT is_new GROUP BY c.job_id)
+    SELECT job_id, 'pdf' AS job_type, coalesce(u.status, i.status) AS status, i.request AS request_json,
+           CASE WHEN u.status <> 'error' THEN u.props END AS result_json, CASE WHEN u.status = 'error' THEN u.props END AS error_text,
+           created_at, coalesce(u.at, i.at) AS updated_at, coalesce(u.seq, i.seq) AS seq
+    FROM inserts i LEFT JOIN updates u USING (job_id)""",
+)
+def stream_job_table(spark, folder):
+    """Changes in the order of time, a span of it in each of several micro-batches."""
+    root, checkpoint = _places(spark, "job-table")
+    landed = scratch_path(spark, "job-changes")
+    failed, is_new = F.col("status") == "error", F.col("status").isin("signup", "purchase")
+    changes = derived.job_events(spark, folder).select(
+        "job_id",
+        F.when(is_new, "insert").otherwise("update").alias("kind"),
+        F.lit("pdf").alias("job_type"),
+        "status",
+        F.col("payload").alias("request_json"),
+        F.when(~failed, F.col("payload")).alias("result_json"),
+        F.when(failed, F.col("payload")).alias("error_text"),
+        "ts",
+        "seq",
+    )
+    bounds = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2100-01-01"]
+    for k in range(len(bounds) - 1):
+        low = F.lit(f"{bounds[k]} 00:00:00").cast("timestamp_ntz")
+        span = (F.col("ts") < F.lit(f"{bounds[k + 1]} 00:00:00").cast("timestamp_ntz")) & ((F.col("ts") >= low) | F.lit(k == 0))
+        changes.filter(span).coalesce(1).write.mode("append").parquet(landed)
+        feed = feeds.read_feed(spark, landed, changes.schema)
+        feeds.stream_job_table(feed, root, checkpoint, buckets=16).awaitTermination()
+    return jobtable.read_job_table(spark, root)
+
+
 @query("stream_job_dedupe", "SELECT DISTINCT user_id AS job_id FROM events")
 def stream_job_dedupe(spark, folder):
     """Which repeat is kept depends on the order of arrival, so only the keys are shown."""

@@ -11,6 +11,8 @@ from pagesift.operators import extract as X
 from pagesift.operators import render
 from pagesift.operators.video import video_metadata
 from pagesift.plans import runs
+from pagesift.plans.scratch import scratch_path
+from pagesift.sources import archives
 from pagesift.sources.html import read_pages
 
 AT = "2024-05-06T07:08:09"
@@ -382,6 +384,22 @@ def links_markdown(spark, folder):
     return render.page_md(found, "links", AT).drop("url")
 
 
+@query(
+    "pages_packed",
+    f"""WITH {LINKS} SELECT page_id || '/scraped_links_20240506_070809.md' AS file,
+    {MD_HEAD.format(mode="links", at="2024-05-06T07:08:09")} ||
+    '| text | href | title | rel |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+    string_agg('| ' || {md_cut("text")} || ' | ' || {md_cut("href")} || ' |  |  |', chr(10) ORDER BY pos) AS body
+    FROM resolved GROUP BY page_id, url""",
+)
+def pages_packed(spark, folder):
+    """Extracted, rendered and packed in one go, and read back by name."""
+    out = scratch_path(spark, "page-archives")
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
+    runs.extract_and_pack(given_pages(spark, folder), "links", "md", out, at)
+    return archives.texts_of(archives.read_archives(spark, out))
+
+
 @query(
     "page_markdown",
     f"""WITH {LINKS}, {FOUND_BLOCKS},

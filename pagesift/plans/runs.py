@@ -18,6 +18,7 @@ from pagesift.plans.documents import bodies_asked
 from pagesift.plans.scratch import written
 from pagesift.plans.skew import split_hot_keys_join
 from pagesift.schema import DOC_OPS, FORMATS, check_choice
+from pagesift.sources.archives import ARCHIVE_BYTES, write_archives
 
 # Modes whose result holds a list of links to follow.
 FOLLOW_MODES = ("all", "links")
@@ -189,7 +190,7 @@ def run_bodies(
 
 
 def rendered_files(
-    files: DataFrame, pages: DataFrame, docs: DataFrame, time: Column, fn: Callable[[str], str] | None = None
+    files: DataFrame, pages: DataFrame, docs: DataFrame, time: str | Column, fn: Callable[[str], str] | None = None
 ) -> DataFrame | None:
     """``what, body`` for every different thing that ``files`` (type, kind, format, source, prompt,
     what) hold; None if there are no files."""
@@ -202,7 +203,7 @@ def rendered_files(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _page_bodies(files: DataFrame, pairs: list[tuple[str, str]], pages: DataFrame, time: Column) -> DataFrame:
+def _page_bodies(files: DataFrame, pairs: list[tuple[str, str]], pages: DataFrame, time: str | Column) -> DataFrame:
     """The bodies asked of pages. A page has at most as many as there are ``pairs``."""
     key = F.concat_ws("/", "kind", "format")
     asked = files.select(F.col("source").alias("url"), F.struct(key.alias("key"), "what").alias("one"))
@@ -226,7 +227,7 @@ def _page_bodies(files: DataFrame, pairs: list[tuple[str, str]], pages: DataFram
 REPORTS = 64
 
 
-def _doc_bodies(files: DataFrame, docs: DataFrame, time: Column, fn: Callable[[str], str] | None) -> DataFrame:
+def _doc_bodies(files: DataFrame, docs: DataFrame, time: str | Column, fn: Callable[[str], str] | None) -> DataFrame:
     """The bodies asked of documents."""
     asked = files.select(F.col("source").alias("url"), "kind", "format", "prompt", "what").distinct()
     asked = written(asked, "asked-reports")
@@ -245,6 +246,14 @@ def write_run(requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column
     return write_bodies(run_bodies(requests, pages, docs, at, **options), out)
 
 
+def write_run_archives(
+    requests: DataFrame, pages: DataFrame, docs: DataFrame, at: Column, out: str, most: int = ARCHIVE_BYTES, **options
+) -> str:
+    """Pack the files of ``run_bodies`` under their names into archives, see ``write_archives``."""
+    bodies = run_bodies(requests, pages, docs, at, **options).select("file", "body")
+    return write_archives(written(bodies, "run-files"), out, most)
+
+
 def run_manifest(outputs: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per request: request_id, url, outputs in order, errors.
 
@@ -289,3 +298,12 @@ def extract_and_write(
     names raise before anything runs."""
     check_choice("format", fmt, FORMATS)
     return write_bodies(page_bodies(extract(pages, mode, **options), mode, fmt, at), out)
+
+
+def extract_and_pack(pages: DataFrame, mode: str, fmt: str, out: str, at: Column, **options) -> str:
+    """Extract, render and pack in one go: a named file for each page in a folder of its id."""
+    check_choice("format", fmt, FORMATS)
+    made = page_bodies(extract(pages, mode, **options), mode, fmt, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+    name = output_name(F.lit("scraped"), F.lit(mode), F.lit(fmt), at)
+    named = made.select(F.concat(F.col("page_id").cast("string"), F.lit("/"), name).alias("file"), "body")
+    return write_archives(written(named, "page-files"), out)

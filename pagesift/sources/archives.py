@@ -134,6 +134,7 @@ class _Writer(DataSourceArrowWriter):
         store.move(f"{root}/{self.job}.json", f"{root}/{INDEX}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        # A task that is still running may leave an archive behind; no index lists it.
         self._discard(*_place(self.path), [m for m in messages if m])
 
     def _discard(self, store: fs.FileSystem, root: str, messages: list[_Written]) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagesift.operators.extract import explode_items, extract
 from pagesift.operators.jobs import job_latest
 from pagesift.plans.documents import process_docs
+from pagesift.plans.jobtable import BUCKETS, apply_changes, create_job_table
 from pagesift.plans.runs import run_bodies, run_requests
 
 EVERYTHING = {"availableNow": True}
@@ -95,6 +96,25 @@ def stream_job_changes(
     return _per_batch(changes, job_latest, out, checkpoint, trigger)
 
 
+def stream_job_table(
+    changes: DataFrame, root: str, checkpoint: str, trigger: dict = EVERYTHING, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Job inserts and updates arriving: the current job table in ``root``, see ``plans.jobtable``.
+
+    Each batch rewrites the buckets it touches and no others; ``read_job_table`` reads them. A
+    table is fed by one checkpoint and keeps its number of buckets.
+    """
+    create_job_table(changes.sparkSession, root)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        apply_changes(root, batch, batch_id, buckets)
+        batch.unpersist()
+
+    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
 def current_jobs(spark: SparkSession, log: str) -> DataFrame:
     """The current state of each job in a log of changes."""
     return job_latest(spark.read.parquet(log).drop("batch_id"))
