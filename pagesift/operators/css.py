@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagesift.functions.binding import let
-from pagesift.functions.nodes import at, inside, node_text, span
+from pagesift.functions.nodes import at, inside, span
 from pagesift.functions.text import clean_ws
 
 MARKUP_LIMIT = 500
@@ -54,8 +54,12 @@ def parse_selector(css: str) -> list[list[tuple[str, Predicate]]]:
         combinator, at = step[1] or " ", step.end()
 
 
-def hits_of(nodes: Column, css: str, clean: bool = True) -> Column:
-    """``array<struct<index, tag, content, html>>`` for the elements a selector hits."""
+def hits_of(nodes: Column, spelled: Column, css: str, clean: bool = True) -> Column:
+    """``array<struct<index, tag, content, html>>`` for the elements a selector hits.
+
+    What a hit shows is cut from the page's text and markup (``spelled``) by offset, so it costs
+    what it is long, however deep elements nest.
+    """
     branches = [_branch_ids(nodes, steps) for steps in parse_selector(css)]
     ids = branches[0]
     for other in branches[1:]:
@@ -63,85 +67,28 @@ def hits_of(nodes: Column, css: str, clean: bool = True) -> Column:
     if len(branches) > 1:
         ids = F.array_sort(ids)
 
+    def cut(name: str, begin: Column, end: Column) -> Column:
+        return F.substring(spelled[name], begin + 1, end - begin).cast("string")
+
     def hit(node_id: Column, index: Column) -> Column:
         node = at(nodes, node_id)
-        text = node_text(nodes, node)
+        text = cut("text", F.get(spelled["text_at"], node_id), F.get(spelled["text_at"], node["last"] + 1))
         # A selected script or style shows its own string.
         own = F.when(node["last"] > node_id, at(nodes, node_id + 1)["text"])
         content = F.when(node["tag"].isin("script", "style"), F.coalesce(own, F.lit(""))).otherwise(text)
+        begin = F.get(spelled["begins"], node_id)
+        # A character has at most four bytes; one that is cut in two lies behind the limit.
+        end = F.least(F.get(spelled["ends"], node_id), begin + 4 * MARKUP_LIMIT)
         return F.struct(
             index.alias("index"),
             node["tag"].alias("tag"),
             (clean_ws(content) if clean else content).alias("content"),
-            F.substring(markup_of(nodes, node), 1, MARKUP_LIMIT).alias("html"),
+            F.substring(cut("markup", begin, end), 1, MARKUP_LIMIT).alias("html"),
         )
 
     return F.transform(ids, hit)
 
 
-def markup_of(nodes: Column, node: Column, limit: int = MARKUP_LIMIT) -> Column:
-    """At least the first ``limit`` characters of an element's markup, written anew.
-
-    Every node yields a character or more, so nodes past the first ``limit`` are not needed.
-    Tags are put in order by the node they stand at: inner elements end before outer ones.
-    """
-    end = F.least(node["last"], node["id"] + limit - 1)
-
-    def tag(place: Column, ends: int, depth: Column, text: Column) -> Column:
-        return F.struct(place.alias("place"), F.lit(ends).alias("ends"), depth.alias("depth"), text.alias("text"))
-
-    def closes(i: Column) -> Column:
-        other = at(nodes, i)
-        return (other["last"] <= end) & other["pos"].isNotNull() & ~_is_void(other)
-
-    def written(shown: Column) -> Column:
-        begun = F.transform(shown, lambda i: tag(i, 0, F.lit(0), _opening(at(nodes, i), limit)))
-        ended = F.transform(
-            F.filter(shown, closes),
-            lambda i: tag(at(nodes, i)["last"], 1, -i, F.concat(F.lit("</"), at(nodes, i)["tag"], F.lit(">"))),
-        )
-        ordered = F.array_sort(F.concat(begun, ended))
-        return F.array_join(F.transform(ordered, lambda t: t["text"]), "")
-
-    return let(span(node["id"], end), written)
-
-
-def _is_void(node: Column) -> Column:
-    # Fixed values (HTML standard): elements without content.
-    return node["tag"].isin(
-        *"area base br col embed hr img input link meta param source track wbr".split()
-    )
-
-
-def _opening(node: Column, limit: int) -> Column:
-    attrs = F.transform(
-        F.map_entries(node["attrs"]),
-        lambda a: F.concat(F.lit(" "), a["key"], F.lit("="), _quoted(_escaped(a["value"]))),
-    )
-    tag = F.concat(
-        F.lit("<"), node["tag"], F.array_join(attrs, ""), F.when(_is_void(node), "/>").otherwise(">")
-    )
-    return (
-        F.when(node["pos"].isNotNull(), tag)
-        .when(node["tag"] == "#text", _escaped(F.substring(node["text"], 1, limit)))
-        .otherwise(F.substring(node["text"], 1, limit))
-    )
-
-
-def _escaped(text: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
-
-
-def _quoted(value: Column) -> Column:
-    both = value.contains('"') & value.contains("'")
-    single = value.contains('"') & ~value.contains("'")
-    text = F.when(both, F.replace(value, F.lit('"'), F.lit("&quot;"))).otherwise(value)
-    mark = F.when(single, "'").otherwise('"')
-    return F.concat(mark, text, mark)
-
-
 def _branch_ids(nodes: Column, steps: list[tuple[str, Predicate]]) -> Column:
     found = None
     for combinator, predicate in steps:

@@ -264,8 +264,8 @@ def meta_tags(pages: DataFrame) -> DataFrame:
 
 def select(pages: DataFrame, css: str, clean: bool = True) -> DataFrame:
     """One row per element a CSS selector hits: page_id, url, index, tag, content, html."""
-    parsed = page_nodes(pages)
-    return explode_items(parsed.withColumn("items", hits_of(F.col("nodes"), css, clean))).drop("pos")
+    parsed = page_nodes(pages, spelled=True)
+    return explode_items(parsed.withColumn("items", hits_of(F.col("nodes"), F.col("spelled"), css, clean))).drop("pos")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -356,7 +356,10 @@ def extract(
         "images": lambda: (_nodes(pages, ("img",), IMAGE_ATTRS), images_of(F.col("nodes"), F.col("base"))),
         "tables": lambda: (page_nodes(pages, TABLE_TAGS, ()), tables_of(F.col("nodes"), clean)),
         "meta": lambda: (page_nodes(pages, ("meta",), META_ATTRS), meta_of(F.col("nodes"))),
-        "custom": lambda: (page_nodes(pages), hits_of(F.col("nodes"), selector, clean)),
+        "custom": lambda: (
+            page_nodes(pages, spelled=True),
+            hits_of(F.col("nodes"), F.col("spelled"), selector, clean),
+        ),
     }[mode]()
     return parsed.select("page_id", "url", items.alias("items"))
 

@@ -26,6 +26,13 @@ from pyspark.sql import types as T
 # The node code travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: What ``page_nodes`` adds on request to find text and markup by offset, see ``_spell``.
+SPELLED = "text binary, text_at array<int>, markup binary, begins array<int>, ends array<int>"
+_INTS = pa.list_(pa.int32())
+_SPELLED = pa.struct(
+    [("text", pa.binary()), ("text_at", _INTS), ("markup", pa.binary()), ("begins", _INTS), ("ends", _INTS)]
+)
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 NODE_TYPE = (
     "struct<id: int, last: int, parent: int, tag: string, attrs: map<string, string>, "
@@ -98,8 +105,10 @@ def page_nodes(
     attrs: Iterable[str] | None = None,
     keep_noise: bool = False,
     keep: tuple[str, ...] = ("page_id", "url"),
+    spelled: bool = False,
 ) -> DataFrame:
-    """One row per page: the columns in ``keep``, and its ``nodes``.
+    """One row per page: the columns in ``keep``, and its ``nodes``; with ``spelled`` also the
+    struct ``spelled``, in which the text and the markup of any node are found by offset.
 
     ``tags`` and ``attrs`` limit what is emitted, because Spark cannot prune columns
     or array elements through Python; text comes along when an emitted element holds
@@ -112,8 +121,10 @@ def page_nodes(
         tags=None if tags is None else frozenset(tags),
         attrs=None if attrs is None else frozenset(attrs),
         keep_noise=keep_noise,
+        spelled=spelled,
     )
-    return pages.select(*keep, "html").mapInArrow(to_nodes, T.StructType([*columns, nodes]))
+    more = [T.StructField("spelled", T.StructType.fromDDL(SPELLED))] if spelled else []
+    return pages.select(*keep, "html").mapInArrow(to_nodes, T.StructType([*columns, nodes, *more]))
 
 
 class Reads(NamedTuple):
@@ -165,20 +176,27 @@ def _batches_to_asked(
 
 
 def _batches_to_nodes(
-    batches: Iterator[pa.RecordBatch], tags: frozenset | None, attrs: frozenset | None, keep_noise: bool
+    batches: Iterator[pa.RecordBatch],
+    tags: frozenset | None,
+    attrs: frozenset | None,
+    keep_noise: bool,
+    spelled: bool = False,
 ) -> Iterator[pa.RecordBatch]:
     """Turn page batches into node batches of bounded size."""
     for batch in batches:
         kept = batch.schema.names[:-1]
-        first, out = 0, _NodeColumns()
+        first, out, texts = 0, _NodeColumns(), []
         for row in range(batch.num_rows):
             _add_page(out, batch.column(len(kept))[row].as_py() or "", tags, attrs, keep_noise)
+            if spelled:
+                texts.append(_spell(out, out.page_ends[-2]))
             if len(out.tag) >= 100_000 or row == batch.num_rows - 1:
                 part = batch.slice(first, row + 1 - first)
+                more = {"spelled": pa.array(texts, _SPELLED)} if spelled else {}
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], out.to_arrow()], names=[*kept, "nodes"]
+                    [*part.columns[:-1], out.to_arrow(), *more.values()], names=[*kept, "nodes", *more]
                 )
-                first, out = row + 1, _NodeColumns()
+                first, out, texts = row + 1, _NodeColumns(), []
 
 
 class _NodeColumns:
@@ -341,6 +359,59 @@ def _add_page(
     out.page_ends.append(len(out.tag))
 
 
+def _spell(out: _NodeColumns, start: int) -> dict:
+    """The text and the markup of a page, written anew in one pass over its nodes.
+
+    All text inside node ``i`` lies from ``text_at[i]`` to ``text_at[last + 1]``, its markup from
+    ``begins[i]`` to ``ends[i]``, in bytes. Script and style strings are markup, but not text.
+    """
+    text, markup = bytearray(), bytearray()
+    n = len(out.tag) - start
+    text_at, begins, ends, open_ = [], [], [0] * n, []
+
+    def close_before(number: int) -> None:
+        while open_ and out.last[start + open_[-1]] < number:
+            gone = open_.pop()
+            markup.extend(f"</{out.tag[start + gone]}>".encode())
+            ends[gone] = len(markup)
+
+    for number in range(n):
+        row = start + number
+        close_before(number)
+        text_at.append(len(text))
+        begins.append(len(markup))
+        tag = out.tag[row]
+        if out.pos[row] is None:
+            string = out.text[row]
+            if tag == "#text":
+                text.extend(string.encode())
+                string = _escaped(string)
+            markup.extend(string.encode())
+            ends[number] = len(markup)
+            continue
+        of = slice(out.attr_ends[row], out.attr_ends[row + 1])
+        pairs = zip(out.attr_keys[of], out.attr_values[of], strict=True)
+        attrs = "".join(f" {key}={_quoted(_escaped(value))}" for key, value in pairs)
+        markup.extend(f"<{tag}{attrs}{'/>' if tag in _VOID else '>'}".encode())
+        ends[number] = len(markup)
+        if tag not in _VOID:
+            open_.append(number)
+    close_before(n)
+    return {"text": bytes(text), "text_at": [*text_at, len(text)], "markup": bytes(markup), "begins": begins, "ends": ends}
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _quoted(value: str) -> str:
+    if '"' not in value:
+        return f'"{value}"'
+    if "'" not in value:
+        return f"'{value}'"
+    return '"' + value.replace('"', "&quot;") + '"'
+
+
 def _attributes(source: str, wanted: frozenset | None) -> dict[str, str]:
     """Attributes of a start tag: names in lower case, the first of a name wins."""
     seen: dict[str, str] = {}

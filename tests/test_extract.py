@@ -301,3 +301,37 @@ def test_markup_of_nested_and_cut_elements(pages):
     assert hits["b"] == "<b>1<i>2</i></b>"
     assert hits["i"] == "<i>2</i>"
     assert hits["div"] == ("<div><b>1<i>2</i></b><br/><p>" + "x" * 900)[:500]
+
+
+def test_content_and_markup_by_offset(pages):
+    html = (
+        "<div title='a\"b'><p title='\"&#39;'>é&lt;&amp;</p><script>if (a<b) {}</script><img src=x><style>p{}</style>"
+        "<!-- c -->\U0001f600<table><tr><td>1<td>2</table></div>"
+    )
+    hits = {h.tag: (h.content, h.html) for h in X.select(pages(("http://a/", html)), "div, p, script, img, tr", clean=False).collect()}
+    assert hits["p"] == ("é<&", "<p title=\"&quot;'\">é&lt;&amp;</p>")
+    assert hits["script"] == ("if (a<b) {}", "<script>if (a<b) {}</script>")
+    assert hits["img"] == ("", '<img src="x"/>')
+    assert hits["tr"] == ("12", "<tr><td>1</td><td>2</td></tr>")
+    assert hits["div"][0] == "é<&\U0001f60012" and hits["div"][1].startswith("<div title='a\"b'><p title")
+    long = "<b>" + "\U0001f600" * 600 + "</b>"
+    (hit,) = X.select(pages(("http://a/", long)), "b").collect()
+    assert hit.html == "<b>" + "\U0001f600" * 497 and hit.content == "\U0001f600" * 600
+
+
+def test_nested_hits_take_the_time_of_siblings(spark):
+    import time
+
+    def seconds(html, n):
+        df = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+        start = time.perf_counter()
+        assert X.select(df, "div").filter("length(html) > 5 and content = 'x'").count() == n
+        return time.perf_counter() - start
+
+    def nested(n):
+        return "<div>" * n + "x" + "</div>" * n
+
+    seconds(nested(100), 100)
+    siblings = seconds("<div>x</div>" * 40_000, 40_000)
+    once, twice = seconds(nested(20_000), 20_000), seconds(nested(40_000), 40_000)
+    assert twice < 3 * once + 1 and twice < 3 * siblings + 2
