@@ -260,6 +260,33 @@ def stream_manifest(spark, folder):
     return _flat_manifest(spark.read.parquet(out))
 
 
+@query(
+    "stream_late_pages",
+    """SELECT p_partkey AS request_id, CASE WHEN p_size < 30 THEN p_partkey END AS page_id,
+    CASE WHEN p_size >= 30 THEN 'scrape: page not found' END AS error FROM part""",
+)
+def stream_late_pages(spark, folder):
+    """A request and a page per part. Pages land an hour before, five minutes after or an hour
+    after they are asked for, or never; requests wait for ten minutes. A last page and a
+    last request, a day later, move the time on."""
+    out, checkpoint = _places(spark, "late-pages")
+    size, parts = F.col("p_size"), derived.table(spark, folder, "part")
+    start = F.lit("2024-05-06 00:00:00").cast("timestamp")
+    asked_at = F.timestamp_add("SECOND", (F.col("p_partkey") % 3600).cast("int"), start)
+    wait = F.when(size < 15, -3600).when(size < 30, 300).otherwise(3600)
+    day_after = F.lit("2024-05-08 00:00:00").cast("timestamp")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit("end").alias("url"), day_after.alias("at"))
+    url = F.concat(F.lit("https://p.example.com/"), "p_partkey")
+    asked = parts.select(F.col("p_partkey").alias("request_id"), url.alias("url"), asked_at.alias("asked_at"))
+    landed_at = F.timestamp_add("SECOND", wait, asked_at)
+    landed = parts.filter(size < 45).select(F.col("p_partkey").alias("page_id"), url.alias("url"), landed_at.alias("landed_at"))
+    requests = _landed_feed(spark, folder, "requests-in", asked.union(end))
+    pages = _landed_feed(spark, folder, "pages-in", landed.union(end))
+    answered = feeds.stream_awaited_pages(requests, pages, "10 minutes", "2 hours")
+    feeds.append(answered, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).filter("request_id >= 0").select("request_id", "page_id", "error")
+
+
 @query("stream_run_files", FILES)
 def stream_run_files(spark, folder):
     out, checkpoint = _places(spark, "files")

@@ -67,6 +67,27 @@ def stream_runs(
     return _per_batch(requests, work, out, checkpoint, trigger)
 
 
+def stream_awaited_pages(requests: DataFrame, pages: DataFrame, delay: str, before: str = "3650 days") -> DataFrame:
+    """Requests and landed pages, both arriving: one row per request with the page it waited for, or
+    with an ``error`` once the page is overdue.
+
+    ``requests`` has request_id, url and asked_at, ``pages`` has page_id, url and landed_at, each URL
+    once. A request takes a page that landed up to ``before`` earlier or ``delay`` later. The
+    time of both feeds, less ``delay``, tells when nothing can come any more: a request is then
+    forgotten with its error, and a page when no request can reach back to it, which bounds what
+    is kept. Rows without a time or URL find nothing; a request without a time is never answered.
+    """
+    asked = requests.withColumn("asked_at", F.col("asked_at").cast("timestamp")).withWatermark("asked_at", delay)
+    landed = pages.select("page_id", F.col("url").alias("landed_url"), F.col("landed_at").cast("timestamp").alias("landed_at"))
+    landed = landed.withWatermark("landed_at", delay)
+    meets = F.expr(
+        f"url = landed_url and landed_at >= asked_at - interval {before} and landed_at <= asked_at + interval {delay}"
+    )
+    rows = asked.join(landed, meets, "left_outer")
+    error = F.when(F.col("page_id").isNull(), "scrape: page not found")
+    return rows.select("request_id", "url", "asked_at", "page_id", "landed_at", error.alias("error"))
+
+
 def stream_run_bodies(
     requests: DataFrame,
     pages: DataFrame,

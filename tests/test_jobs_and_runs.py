@@ -369,3 +369,33 @@ def test_video_records_are_in_every_export(spark):
     assert "--- VIEW_COUNT ---\n  7\n" in txt[2] and "VIDEO_ID" not in txt[1] and "PDF_LINKS" not in txt[2]
     md = {r.page_id: r.body for r in page_md(both, "essential", "now").collect()}
     assert "## Is Live\nTrue\n" in md[2] and "## Pdf Links\n- a.pdf\n- b.pdf" in md[1]
+
+
+def test_requests_wait_for_their_page_and_then_err(spark, tmp_path):
+    """Pages before, within and after the delay, over several runs of the feed."""
+    requests, pages, out, checkpoint = (str(tmp_path / n) for n in ("requests", "pages", "out", "check"))
+    asked_schema = "request_id bigint, url string, asked_at timestamp"
+    landed_schema = "page_id bigint, url string, landed_at timestamp"
+    minute = [dt.datetime(2024, 5, 6, 12) + dt.timedelta(minutes=m) for m in range(200)]
+    rounds = [
+        ([(1, "a", minute[10]), (2, "b", minute[10]), (3, "c", minute[11]), (4, None, minute[11])], [(1, "a", minute[0])]),
+        ([], [(2, "b", minute[18])]),
+        ([(8, "x", minute[60])], [(8, "x", minute[60])]),
+        ([(9, "c", minute[61])], [(3, "c", minute[62])]),
+        ([(99, "end", minute[199])], [(99, "end", minute[199])]),
+    ]
+    answered = []
+    for asked, landed in rounds:
+        spark.createDataFrame(asked, asked_schema).coalesce(1).write.mode("append").parquet(requests)
+        spark.createDataFrame(landed, landed_schema).coalesce(1).write.mode("append").parquet(pages)
+        rows = feeds.stream_awaited_pages(
+            feeds.read_feed(spark, requests, asked_schema), feeds.read_feed(spark, pages, landed_schema), "10 minutes", "1 hour"
+        )
+        feeds.append(rows, out, checkpoint).awaitTermination()
+        found = spark.read.parquet(out).collect() if (tmp_path / "out").exists() else []
+        answered.append({(r.request_id, r.page_id, r.error) for r in found})
+    late = "scrape: page not found"
+    assert answered[0] == {(1, 1, None)} and answered[1] == {(1, 1, None), (2, 2, None)}
+    # The page of request 3 came when its time was over; the later request 9 takes it.
+    assert answered[4] >= {(1, 1, None), (2, 2, None), (3, None, late), (4, None, late), (8, 8, None), (9, 3, None)}
+    assert len([a for a in answered[4] if a[0] != 99]) == 6
