@@ -10,7 +10,9 @@ from pagesift.catalog.registry import query, table
 from pagesift.catalog.sql import DOC_PAGES, NL, normalise, strip
 from pagesift.functions.text import normalise_page
 from pagesift.operators import grids, paged, reports, summaries
+from pagesift.plans import answers
 from pagesift.plans.documents import process_docs
+from pagesift.plans.scratch import scratch_path
 from pagesift.schema import DEFAULT_PROMPT
 from pagesift.sources import pdf
 
@@ -216,6 +218,36 @@ def summary_status(spark, folder):
     return done.select("doc_id", "summary", summaries.has_summary(F.col("summary")).alias("has_summary"))
 
 
+@query(
+    "summaries_once",
+    f"""SELECT doc_id, CASE WHEN {strip("first")} = '' THEN '[No text content found to summarize.]'
+        WHEN length(prompt) % 7 = 0 THEN '[Summarization failed: again]' ELSE length(prompt) || ' characters' END AS summary
+    FROM (SELECT doc_id, coalesce(string_split(text, {NL})[1], '') AS first,
+                 'Count.' || {NL} || {NL} || 'Document text:' || {NL} || substr(first, 1, 8000) AS prompt FROM documents)""",
+)
+def summaries_once(spark, folder):
+    """The first lines of texts, many of them equal, summarised in two runs over one store. The second
+    run has another function, of which nothing may show but its failures, where the first failed."""
+
+    def first(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("not now")
+        return f"{len(prompt)} characters"
+
+    def second(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("again")
+        return "asked twice"
+
+    store = scratch_path(spark, "answers")
+    lines = table(spark, folder, "documents").select(
+        "doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("full_text")
+    )
+    once = answers.summaries_once(lines, first, store, instruction="Count.")
+    once.write.format("noop").mode("overwrite").save()
+    return answers.summaries_once(lines, second, store, instruction="Count.").select("doc_id", "summary")
+
+
 @query(
     "process_docs",
     f"""WITH {DOC_PAGES}, {DOC_TABLES}, texts AS (

@@ -16,6 +16,8 @@ from pagesift.schema import DEFAULT_PROMPT, NO_TEXT_NOTICE, PROMPT_CHARS, PROMPT
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NO_FUNCTION_NOTICE = "[Summarization needs a summary function; none was given.]"
+#: How the notice of a failure begins.
+FAILED = "[Summarization failed: "
 
 
 def summary_prompt(text: Column, instruction: str | Column | None = None) -> Column:
@@ -37,25 +39,27 @@ def summarise(
     fn: Callable[[str], str] | None = None,
     text: str = "full_text",
     instruction: str | Column | None = None,
+    prompt: str | None = None,
 ) -> DataFrame:
-    """``df`` with a ``summary``.
+    """``df`` with a ``summary``. The prompt is made of ``text`` and ``instruction``, or is the
+    column ``prompt`` as it stands.
 
     ``fn`` gets a prompt and answers with text; it runs in the tasks, on prompts that
     are already cut. Without it, without text, or where it fails, the summary is a
     notice in brackets: one bad document never fails the job.
     """
-    blank = strip(F.coalesce(text, F.lit(""))) == ""
+    blank = strip(F.coalesce(prompt or text, F.lit(""))) == ""
     if fn is None:
         notice = F.when(blank, NO_TEXT_NOTICE).otherwise(NO_FUNCTION_NOTICE)
         return df.withColumn("summary", notice)
-    prompt = F.when(~blank, summary_prompt(F.col(text), instruction))
+    whole = F.when(~blank, F.col(prompt) if prompt else summary_prompt(F.col(text), instruction))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _answer(batches, fn)
 
     # Asked once per row, and with the prompt alone: the other columns stay in the JVM.
     ask = F.pandas_udf(answer, "summary string").asNondeterministic()
-    return df.withColumn("summary", ask(F.struct(prompt.alias("summary")))["summary"])
+    return df.withColumn("summary", ask(F.struct(whole.alias("summary")))["summary"])
 
 
 def answers(fn: Callable[[str], str] | None, text: Column, instructions: Column) -> Column:
@@ -85,4 +89,4 @@ def _answer_one(prompt: str | None, fn: Callable[[str], str]) -> str:
     try:
         return fn(prompt)
     except Exception as error:  # noqa: BLE001 - whatever the caller's function raises
-        return f"[Summarization failed: {error}]"
+        return f"{FAILED}{error}]"
