@@ -128,7 +128,10 @@ def near_duplicates(
     marked = written(marked, "signatures")
     texts = marked.filter("n_shingles > 0 and doc_id is not null")
     # A node is a set, whatever ids have it; an id with several texts ties their nodes together.
+    # Nodes are numbered in the order of their ids: an original mostly comes before its edited copies,
+    # and as the smallest of a bucket it is nearer to each of them than they are to each other.
     nodes = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    nodes = nodes.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     several = texts.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("most"))
     several = several.filter("digest < most").join(nodes.select("digest", F.col("node").alias("other")), "digest")
