@@ -267,23 +267,32 @@ def stream_manifest(spark, folder):
 )
 def stream_late_pages(spark, folder):
     """A request and a page per part. Pages land an hour before, five minutes after or an hour
-    after they are asked for, or never; requests wait for ten minutes. A last page and a
-    last request, a day later, move the time on."""
+    after they are asked for, or never; requests wait for ten minutes. Both come in the order of
+    time, half an hour after the other; a last page and a last request move the time on."""
     out, checkpoint = _places(spark, "late-pages")
+    places = {name: scratch_path(spark, f"late-{name}") for name in ("requests", "pages")}
     size, parts = F.col("p_size"), derived.table(spark, folder, "part")
     start = F.lit("2024-05-06 00:00:00").cast("timestamp")
     asked_at = F.timestamp_add("SECOND", (F.col("p_partkey") % 3600).cast("int"), start)
     wait = F.when(size < 15, -3600).when(size < 30, 300).otherwise(3600)
-    day_after = F.lit("2024-05-08 00:00:00").cast("timestamp")
-    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit("end").alias("url"), day_after.alias("at"))
     url = F.concat(F.lit("https://p.example.com/"), "p_partkey")
     asked = parts.select(F.col("p_partkey").alias("request_id"), url.alias("url"), asked_at.alias("asked_at"))
-    landed_at = F.timestamp_add("SECOND", wait, asked_at)
-    landed = parts.filter(size < 45).select(F.col("p_partkey").alias("page_id"), url.alias("url"), landed_at.alias("landed_at"))
-    requests = _landed_feed(spark, folder, "requests-in", asked.union(end))
-    pages = _landed_feed(spark, folder, "pages-in", landed.union(end))
-    answered = feeds.stream_awaited_pages(requests, pages, "10 minutes", "2 hours")
-    feeds.append(answered, out, checkpoint).awaitTermination()
+    landed = parts.filter(size < 45).select(
+        F.col("p_partkey").alias("page_id"), url.alias("url"), F.timestamp_add("SECOND", wait, asked_at).alias("landed_at")
+    )
+    day_after = F.timestamp_add("DAY", F.lit(2), start)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit("end").alias("url"), day_after.alias("at"))
+    asked, landed = asked.union(end), landed.union(end)
+    bounds = [-100_000, 0, 30, 60, 1000, 100_000]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        low, high = (F.timestamp_add("MINUTE", F.lit(minutes), start) for minutes in (low, high))
+        for name, rows, at in (("requests", asked, "asked_at"), ("pages", landed, "landed_at")):
+            rows.filter((F.col(at) >= low) & (F.col(at) < high)).write.mode("append").parquet(places[name])
+        requests, pages = (
+            feeds.read_feed(spark, places[name], rows.schema, 1_000_000) for name, rows in (("requests", asked), ("pages", landed))
+        )
+        answered = feeds.stream_awaited_pages(requests, pages, "10 minutes", "2 hours")
+        feeds.append(answered, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).filter("request_id >= 0").select("request_id", "page_id", "error")
 
 
