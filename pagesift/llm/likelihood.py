@@ -5,10 +5,12 @@ of the four, weighted by place, pass through tanh to a two-step softmax (group o
 then word). Words are lower-cased; the most frequent ones of the whole corpus have numbers
 of their own, all others share numbers by hash.
 
-Every task trains on a masked part of all positions of its documents, starting from the
-same parameters; the results are averaged, weighted by how much each task has seen. So the
-parameters gathered grow with the number of tasks, and no task holds more than its own
-documents in batches. Scoring masks every position of every document in turn.
+Every task trains on its documents, starting from the same parameters; a round masks one
+position in as many as there are rounds, so that over all rounds every position of every
+document is masked and learned once. The results of the tasks are averaged, weighted by how
+much each task has seen. So the parameters gathered grow with the number of tasks, and no
+task holds more than its own documents in batches. Scoring masks every position of every
+document in turn.
 """
 
 from __future__ import annotations
@@ -32,9 +34,7 @@ SIZE = GROUPS * GROUPS
 RARE = 256
 DIMENSIONS = 32
 PLACES = (-2, -1, 1, 2)
-#: In every round, one in so many positions is masked for training.
-MASKED = 16
-_BATCH = 512
+_BATCH = 4096
 _STEPS = 64
 _TOKENS = 1 << 17
 _COUNTED = 300_000
@@ -70,9 +70,17 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The value of one column of every row."""
     x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    chosen = x[np.arange(len(x)), at]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=-1))
 
 
 def _hidden(context: np.ndarray, model: dict) -> np.ndarray:
@@ -95,38 +103,43 @@ def _by_group(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_probabilities(context: np.ndarray, target: np.ndarray, model: dict) -> np.ndarray:
     """The log-probability of every masked word."""
     hidden = _hidden(context, model)
-    scores = _log_softmax(hidden @ model["groups"] + model["group_shift"])
-    out = scores[np.arange(len(target)), target // GROUPS].astype(np.float64)
+    scores = hidden @ model["groups"] + model["group_shift"]
+    out = _log_softmax_at(scores, target // GROUPS).astype(np.float64)
     for k, rows in _by_group(target):
-        scores = _log_softmax(hidden[rows] @ model["members"][k] + model["member_shift"][k])
-        out[rows] += scores[np.arange(len(rows)), target[rows] % GROUPS]
+        scores = hidden[rows] @ model["members"][k] + model["member_shift"][k]
+        out[rows] += _log_softmax_at(scores, target[rows] % GROUPS)
     return out
 
 
 def train_step(context: np.ndarray, target: np.ndarray, model: dict, squares: dict, rate: float) -> None:
     """One Adagrad step on the mean log-probability of a batch, in place."""
     n = len(target)
+    # The words of a group lie side by side.
+    order = np.argsort(target // GROUPS, kind="stable")
+    context, target = context[order], target[order]
+    bounds = np.searchsorted(target // GROUPS, np.arange(GROUPS + 1))
     hidden = _hidden(context, model)
     gradients = {name: np.zeros_like(model[name]) for name in ("members", "member_shift")}
-    wrong = np.exp(_log_softmax(hidden @ model["groups"] + model["group_shift"]))
+    wrong = _softmax(hidden @ model["groups"] + model["group_shift"])
     wrong[np.arange(n), target // GROUPS] -= 1
     gradients["groups"], gradients["group_shift"] = hidden.T @ wrong, wrong.sum(axis=0)
     back = wrong @ model["groups"].T
-    for k, rows in _by_group(target):
-        wrong = np.exp(_log_softmax(hidden[rows] @ model["members"][k] + model["member_shift"][k]))
-        wrong[np.arange(len(rows)), target[rows] % GROUPS] -= 1
+    for k in np.flatnonzero(np.diff(bounds)):
+        rows = slice(bounds[k], bounds[k + 1])
+        wrong = _softmax(hidden[rows] @ model["members"][k] + model["member_shift"][k])
+        wrong[np.arange(len(wrong)), target[rows] % GROUPS] -= 1
         gradients["members"][k] = hidden[rows].T @ wrong
         gradients["member_shift"][k] = wrong.sum(axis=0)
         back[rows] += wrong @ model["members"][k].T
     back *= 1 - hidden * hidden
     gradients["shift"] = back.sum(axis=0)
-    gradients["places"] = np.stack([(back * model["words"][context[:, k]]).sum(axis=0) for k in range(len(PLACES))])
-    words = np.concatenate([context[:, k] for k in range(len(PLACES))])
-    parts = np.concatenate([back * model["places"][k] for k in range(len(PLACES))])
-    order = np.argsort(words, kind="stable")
-    used, starts = np.unique(words[order], return_index=True)
-    gradients["words"] = np.zeros_like(model["words"])
-    gradients["words"][used] = np.add.reduceat(parts[order], starts, axis=0)
+    gradients["places"], gradients["words"] = np.zeros_like(model["places"]), np.zeros_like(model["words"])
+    for k in range(len(PLACES)):
+        order = np.argsort(context[:, k], kind="stable")
+        used, starts = np.unique(context[order, k], return_index=True)
+        sums = np.add.reduceat(back[order], starts, axis=0)
+        gradients["places"][k] = (sums * model["words"][used]).sum(axis=0)
+        gradients["words"][used] += sums * model["places"][k]
     for name, gradient in gradients.items():
         gradient /= n
         squares[name] += gradient * gradient
@@ -195,14 +208,17 @@ def fit_vocabulary(docs: DataFrame) -> dict[bytes, int]:
     return {bytes(row["word"]): k + 1 for k, row in enumerate(rows)}
 
 
-def _train(batches: Iterator[pa.RecordBatch], start: np.ndarray, turn: int, rate: float) -> Iterator[pa.RecordBatch]:
+def _train(
+    batches: Iterator[pa.RecordBatch], start: np.ndarray, turn: int, rounds: int, rate: float
+) -> Iterator[pa.RecordBatch]:
     model = unflat(start)
     squares = {name: np.full_like(values, 1e-4) for name, values in model.items()}
     seen, waiting, size = 0, [], 0
 
     def learn() -> int:
         context, target = contexts(waiting)
-        masked = np.arange(len(target)) % MASKED == turn * 7 % MASKED
+        # By the place in the document, which is the same in every round.
+        masked = np.concatenate([np.arange(len(text)) for text in waiting]) % rounds == turn
         context, target = context[masked], target[masked]
         order = np.random.default_rng(len(target)).permutation(len(target))
         # Few words are learned in smaller batches.
@@ -232,7 +248,7 @@ def train(numbered: DataFrame, rounds: int = 2, rate: float = 0.1) -> dict[str,
     """Parameters averaged over all tasks, round by round."""
     values = flat(fresh())
     for turn in range(rounds):
-        run = partial(_train, start=values, turn=turn, rate=rate)
+        run = partial(_train, start=values, turn=turn, rounds=rounds, rate=rate)
         trained = numbered.select("numbers").mapInArrow(run, "values array<float>, seen bigint")
         each = trained.select("seen", F.posexplode("values").alias("k", "value"))
         mean = F.sum(F.col("value").cast("double") * F.col("seen")) / F.sum("seen")

@@ -388,6 +388,14 @@ def test_likelihood_prefers_what_the_corpus_says(spark):
     assert all(r.log_prob == pytest.approx(r.mean_log_prob * r.n_tokens) for r in rows)
 
 
+def test_likelihood_learns_every_position(spark):
+    # Words of a place of their own, so that a place never masked is a word never learned.
+    text = " ".join(f"word{k}" for k in range(16))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    scores = {round(r.mean_log_prob, 6) for r in score_likelihood(docs).collect()}
+    assert len(scores) == 1 and scores.pop() > -2
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar">
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="x"><div class="content"><h1>The &amp; title</h1>
