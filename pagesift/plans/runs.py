@@ -73,7 +73,8 @@ def pdf_worklist(requests: DataFrame, pages: DataFrame, links: DataFrame | None
     url = F.col("url")
     follows = F.col("follow_pdfs") & F.col("scrape_mode").isin(*FOLLOW_MODES) & ~is_pdf_url(url)
     hrefs = page_pdf_links(pages) if links is None else links
-    hrefs = hrefs.filter(F.size("hrefs") > 0)
+    # A filter on the links themselves would be moved below and resolve each of them a second time.
+    hrefs = hrefs.select("url", F.explode_outer(F.array("hrefs")).alias("hrefs")).filter(F.size("hrefs") > 0)
     tagged = requests.withColumn("follows", follows).join(hrefs, "url", "left")
     work = (
         F.when(is_pdf_url(url), F.array(_work(url, "direct")))

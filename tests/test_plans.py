@@ -8,6 +8,8 @@ from pagesift.plans import runs
 from pagesift.plans.documents import process_docs
 from pagesift.schema import DOCUMENTS
 
+REQUESTS_ASKED = "request_id bigint, url string, scrape_mode string, follow_pdfs boolean, pdf_op string, pdf_format string"
+
 
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -54,6 +56,12 @@ def test_link_lookup_reads_urls_only(stored):
     assert any("doc_id" in s and "pages" not in s for s in schemas)
 
 
+def test_links_of_runs_are_resolved_once(spark, stored):
+    asked = spark.createDataFrame([(1, "https://a.example.com/1", "all", True, "all", "md")], REQUESTS_ASKED)
+    plan = physical(runs.pdf_worklist(asked, stored[0]))
+    assert plan.count("javascript:") == 1
+
+
 def test_titles_need_no_other_nodes(stored):
     plan = physical(X.page_titles(stored[0]))
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan
