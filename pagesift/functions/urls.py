@@ -24,6 +24,12 @@ _PARTS = {
 # a query or fragment, whose empty forms would have to go, or anything to tidy.
 _PLAIN_ABSOLUTE = r"^https?://[^?#\t\r\n]+\z"
 _PLAIN_ROOTED = r"^/(?:[^/?#\t\r\n.][^?#\t\r\n]*)?\z"
+# References that may end in ``.pdf`` once resolved: their own end says so, apart from what vanishes
+# (line breaks, tabs, empty query and fragment), or they have no path, so that the end is the base's.
+_MAY_END_IN_PDF = (
+    r"(?i)\.[\t\r\n]*p[\t\r\n]*d[\t\r\n]*f[?#\t\r\n]*\z"
+    r"|^[\x00-\x20]*(?:[a-z][a-z0-9+.\-\t\r\n]*:)?[/?#\t\r\n]*\z"
+)
 
 # Schemes that take relative references.
 RELATIVE_SCHEMES = (
@@ -74,6 +80,11 @@ def is_pdf_href(href: Column) -> Column:
     return F.lower(href).endswith(".pdf")
 
 
+def may_be_pdf_href(href: Column) -> Column:
+    """Whether a reference may meet ``is_pdf_href`` once it is resolved; never wrongly no."""
+    return href.rlike(_MAY_END_IN_PDF)
+
+
 def keep_href(href: Column) -> Column:
     """Drop script links only; ``mailto:`` and ``#...`` stay."""
     return ~href.startswith("javascript:")

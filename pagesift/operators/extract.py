@@ -7,7 +7,7 @@ the scan to the extracted array, and its nodes are limited to the tags in use.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +87,11 @@ def links_of(nodes: Column, base: Column, clean: bool = True) -> Column:
     )
 
 
-def hrefs_of(nodes: Column, base: Column) -> Column:
-    """The targets alone of ``links_of``."""
+def hrefs_of(nodes: Column, base: Column, among: Callable[[Column], Column] | None = None) -> Column:
+    """The targets alone of ``links_of``; of those that ``among`` holds for as they are written, if given."""
     hrefs = F.transform(with_tag(nodes, "a"), lambda a: clean_href(a["attrs"].getItem("href")))
-    return F.transform(F.filter(hrefs, keep_href), lambda href: resolve_against(base, href))
+    kept = F.filter(hrefs, lambda href: keep_href(href) & among(href) if among else keep_href(href))
+    return F.transform(kept, lambda href: resolve_against(base, href))
 
 
 def text_blocks_of(nodes: Column, clean: bool = True) -> Column:
@@ -222,10 +223,10 @@ def links(pages: DataFrame, clean: bool = True) -> DataFrame:
     return explode_items(parsed.withColumn("items", links_of(F.col("nodes"), F.col("base"), clean)))
 
 
-def link_targets(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, hrefs in page order."""
-    parsed = _nodes(pages, ("a",), ("href",))
-    return parsed.select("page_id", "url", hrefs_of(F.col("nodes"), F.col("base")).alias("hrefs"))
+def link_targets(pages: DataFrame, among: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per page: page_id, url, hrefs in page order; ``among`` is as in ``hrefs_of``."""
+    parsed = _nodes(pages, ("a",), ("href",), texts=False)
+    return parsed.select("page_id", "url", hrefs_of(F.col("nodes"), F.col("base"), among).alias("hrefs"))
 
 
 def text_blocks(pages: DataFrame, clean: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import file_stem, output_name
-from pagesift.functions.urls import is_pdf_href, is_pdf_url, url_filename
+from pagesift.functions.urls import is_pdf_href, is_pdf_url, may_be_pdf_href, url_filename
 from pagesift.operators.extract import MODES, extract, extract_asked, link_targets
 from pagesift.operators.render import page_bodies, page_body
 from pagesift.operators.write import write_as, write_bodies
@@ -57,8 +57,8 @@ def _lookup(links: DataFrame, docs: DataFrame, how: str, splits: int | None) ->
 
 
 def page_pdf_links(pages: DataFrame) -> DataFrame:
-    """url and the PDF links of each page, in page order."""
-    return link_targets(pages).select("url", F.filter("hrefs", is_pdf_href).alias("hrefs"))
+    """url and the PDF links of each page, in page order. Links that cannot be any are not resolved."""
+    return link_targets(pages, may_be_pdf_href).select("url", F.filter("hrefs", is_pdf_href).alias("hrefs"))
 
 
 def pdf_worklist(requests: DataFrame, pages: DataFrame, links: DataFrame | None = None) -> DataFrame:

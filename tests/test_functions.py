@@ -220,3 +220,17 @@ def test_literal_specs_are_checked_at_once():
     for bad in ("x", "-", "1,a-b", "1--2"):
         with pytest.raises(ValueError, match="Bad page range"):
             pageranges.check_spec(bad)
+
+
+def test_links_left_unresolved_are_never_pdf_links(spark):
+    ends = ("", ".pdf", ".PDF", ".pd\tf", ".p\ndf?", ".pdf#", ".pdf?#", "?", "#", "?#", "#x.pdf", "?x.pdf", ";.pdf", ".pdf;x", "x.html", "/..", ".pdf/.", "/../x.pdf")
+    hrefs = [a + b for a in ("", "/", "//", "https:", "HTTPS://", "ht\ttps:", "mailto:", "..", ".", "a", "a/b", "//h", "http://h/a", "\x01", "\x01https:") for b in ends]
+    bases = [None, "", "https://h/x/y.pdf", "https://h/x?q=y.pdf", "https://h.pdf", "http:z.pdf", "mailto:z.pdf", "x/y.pdf"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    base, href = F.col("base"), F.col("href")
+    is_pdf = urls.is_pdf_href(urls.resolve_url(base, href))
+    resolved = rows.select("base", "href", is_pdf.alias("is_pdf"), urls.may_be_pdf_href(href).alias("may"))
+    found = resolved.collect()
+    assert not [row for row in found if row.is_pdf and not row.may]
+    assert any(row.is_pdf and not row.href.lower().endswith(".pdf") for row in found)
+    assert sum(not row.may for row in found) > len(found) / 4

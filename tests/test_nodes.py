@@ -187,3 +187,9 @@ def test_deep_and_unmatched_tags_take_linear_time(spark):
     for shape in (lambda n: "<b><div>x" * n, lambda n: "<b>" * n + "</i>" * n):
         seconds(shape(100))
         assert seconds(shape(40_000)) < 3 * seconds(shape(20_000)) + 1
+
+
+def test_links_come_without_texts_when_only_their_targets_are_read(spark, pages):
+    html = "<ul><li>a<a href=x>b</a><li><a href=y>c<p>d</a></ul>"
+    parsed = page_nodes(pages(("u", html)), tags=("a",), attrs=("href",), texts=False).first()
+    assert [(n.id, n.last, n.tag, n.attrs["href"]) for n in parsed.nodes] == [(0, 0, "a", "x"), (1, 1, "a", "y")]
