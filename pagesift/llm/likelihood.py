@@ -71,24 +71,36 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x = x - x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The value of one column of every row."""
-    x = x - x.max(axis=-1, keepdims=True)
-    chosen = x[np.arange(len(x)), at]
-    return chosen - np.log(np.exp(x, out=x).sum(axis=-1))
+    """The value of one column of every row, by parts that stay in a core's cache."""
+    out = np.empty(len(x), x.dtype)
+    for begin in range(0, len(x), _BATCH):
+        rows = slice(begin, begin + _BATCH)
+        part = x[rows] - x[rows].max(axis=-1, keepdims=True)
+        chosen = part[np.arange(len(part)), at[rows]]
+        out[rows] = chosen - np.log(np.exp(part, out=part).sum(axis=-1))
+    return out
 
 
 def _hidden(context: np.ndarray, model: dict) -> np.ndarray:
     """``context``: a row of four word numbers for every masked word."""
-    out = np.broadcast_to(model["shift"], (len(context), DIMENSIONS)).copy()
-    for k in range(len(PLACES)):
-        out += model["words"][context[:, k]] * model["places"][k]
-    return np.tanh(out, out=out)
+    out = np.empty((len(context), DIMENSIONS), model["shift"].dtype)
+    # The table is weighted, which is smaller than what is gathered from it.
+    weighted = [model["words"] * weight for weight in model["places"]]
+    for begin in range(0, len(out), _BATCH):
+        rows = slice(begin, begin + _BATCH)
+        part = out[rows]
+        part[:] = model["shift"]
+        for k, table in enumerate(weighted):
+            part += table.take(context[rows, k], axis=0)
+        np.tanh(part, out=part)
+    return out
 
 
 def _by_group(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,7 +118,8 @@ def log_probabilities(context: np.ndarray, target: np.ndarray, model: dict) -> n
     scores = hidden @ model["groups"] + model["group_shift"]
     out = _log_softmax_at(scores, target // GROUPS).astype(np.float64)
     for k, rows in _by_group(target):
-        scores = hidden[rows] @ model["members"][k] + model["member_shift"][k]
+        scores = hidden.take(rows, axis=0) @ model["members"][k]
+        scores += model["member_shift"][k]
         out[rows] += _log_softmax_at(scores, target[rows] % GROUPS)
     return out
 
@@ -115,29 +128,37 @@ def train_step(context: np.ndarray, target: np.ndarray, model: dict, squares: di
     """One Adagrad step on the mean log-probability of a batch, in place."""
     n = len(target)
     # The words of a group lie side by side.
-    order = np.argsort(target // GROUPS, kind="stable")
-    context, target = context[order], target[order]
-    bounds = np.searchsorted(target // GROUPS, np.arange(GROUPS + 1))
-    hidden = _hidden(context, model)
+    group = (target // GROUPS).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    context, target, group = context.take(order, axis=0), target[order], group[order]
+    bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    hidden, each = _hidden(context, model), np.arange(n)
     gradients = {name: np.zeros_like(model[name]) for name in ("members", "member_shift")}
-    wrong = _softmax(hidden @ model["groups"] + model["group_shift"])
-    wrong[np.arange(n), target // GROUPS] -= 1
+    wrong = hidden @ model["groups"]
+    wrong += model["group_shift"]
+    wrong = _softmax(wrong)
+    wrong[each, group] -= 1
     gradients["groups"], gradients["group_shift"] = hidden.T @ wrong, wrong.sum(axis=0)
     back = wrong @ model["groups"].T
-    for k in np.flatnonzero(np.diff(bounds)):
-        rows = slice(bounds[k], bounds[k + 1])
-        wrong = _softmax(hidden[rows] @ model["members"][k] + model["member_shift"][k])
-        wrong[np.arange(len(wrong)), target[rows] % GROUPS] -= 1
-        gradients["members"][k] = hidden[rows].T @ wrong
-        gradients["member_shift"][k] = wrong.sum(axis=0)
-        back[rows] += wrong @ model["members"][k].T
+    used = [(k, slice(bounds[k], bounds[k + 1])) for k in range(GROUPS) if bounds[k] < bounds[k + 1]]
+    # One softmax for the members of all groups.
+    wrong = np.empty((n, GROUPS), np.float32)
+    for k, rows in used:
+        np.matmul(hidden[rows], model["members"][k], out=wrong[rows])
+        wrong[rows] += model["member_shift"][k]
+    wrong = _softmax(wrong)
+    wrong[each, target % GROUPS] -= 1
+    for k, rows in used:
+        gradients["members"][k] = hidden[rows].T @ wrong[rows]
+        gradients["member_shift"][k] = wrong[rows].sum(axis=0)
+        back[rows] += wrong[rows] @ model["members"][k].T
     back *= 1 - hidden * hidden
     gradients["shift"] = back.sum(axis=0)
     gradients["places"], gradients["words"] = np.zeros_like(model["places"]), np.zeros_like(model["words"])
     for k in range(len(PLACES)):
         order = np.argsort(context[:, k], kind="stable")
         used, starts = np.unique(context[order, k], return_index=True)
-        sums = np.add.reduceat(back[order], starts, axis=0)
+        sums = np.add.reduceat(back.take(order, axis=0), starts, axis=0)
         gradients["places"][k] = (sums * model["words"][used]).sum(axis=0)
         gradients["words"][used] += sums * model["places"][k]
     for name, gradient in gradients.items():
@@ -147,7 +168,8 @@ def train_step(context: np.ndarray, target: np.ndarray, model: dict, squares: di
 
 
 def number_words(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    return np.array([known[word] for word in text.lower().split()], np.uint16)
+    words = text.lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
 
 
 class Numbers(dict):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.llm import neardup, repeats
+from pagesift.llm import likelihood, neardup, repeats
 from pagesift.llm.decontaminate import align, find_benchmark
 from pagesift.llm.graph import components
 from pagesift.llm.likelihood import contexts, score_likelihood
@@ -396,6 +396,24 @@ def test_likelihood_learns_every_position(spark):
     assert len(scores) == 1 and scores.pop() > -2
 
 
+def test_a_training_step_takes_two_softmaxes(monkeypatch):
+    """One over the groups and one over the members of all groups, with the right gradient."""
+    rng, calls, plain = np.random.default_rng(3), [], likelihood._softmax
+    monkeypatch.setattr(likelihood, "_softmax", lambda x: calls.append(len(x)) or plain(x))
+    context, target = (rng.integers(0, likelihood.SIZE, shape).astype(np.uint16) for shape in ((500, 4), 500))
+    model, squares = likelihood.fresh(), {name: np.zeros_like(v) for name, v in likelihood.fresh().items()}
+    likelihood.train_step(context, target, model, squares, 0.0)
+    assert calls == [500, 500]
+    for name, at in (("members", (3, 5, 7)), ("words", (int(context[0, 1]), 2)), ("groups", (4, 6)), ("shift", (1,))):
+        sides = []
+        for step in (1e-2, -1e-2):
+            moved = {key: values.astype(np.float64) for key, values in likelihood.fresh().items()}
+            moved[name][at] += step
+            sides.append(-likelihood.log_probabilities(context, target.astype(np.int64), moved).mean())
+        slope = (sides[0] - sides[1]) / 2e-2
+        assert abs(slope) == pytest.approx(squares[name][at] ** 0.5, rel=1e-2)
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar">
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="x"><div class="content"><h1>The &amp; title</h1>
